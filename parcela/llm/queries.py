@@ -10,6 +10,7 @@ from parcela.llm import bpe
 from parcela.llm.common import documents
 from parcela.llm.mixing import op6_mix_sources
 from parcela.llm.quality import op5_quality_rules
+from parcela.llm.substrings import op1_substring_dedup
 from parcela.llm.urls import op8_url_filters
 
 
@@ -22,6 +23,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_bpe": op3_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
