@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from parcela.llm import bpe
 from parcela.llm.common import documents
+from parcela.llm.jaccard import op7_ngram_join
+from parcela.llm.lines import op2_line_dedup
 from parcela.llm.mixing import op6_mix_sources
 from parcela.llm.quality import op5_quality_rules
 from parcela.llm.substrings import op1_substring_dedup
@@ -24,9 +26,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> D
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
+    "op7_ngram_join": op7_ngram_join,
     "op8_url_filters": op8_url_filters,
 }
 

@@ -26,3 +26,57 @@ def substring_dedup(docs, window=20):
             seen.add(w)
         out[doc_id] = (len(ws), len(cut), sha(" ".join(w for i, w in enumerate(ws) if i not in cut)))
     return out
+
+
+def shingle_set(text, n=5):
+    ws = words(text)
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} or ({tuple(ws)} if ws else set())
+
+
+def similar_pairs(sets, threshold=0.8):
+    """sets: key -> set. Pairs of keys with a Jaccard similarity of threshold or more, by an inverted index."""
+    index = {}
+    for k, s in sets.items():
+        for x in s:
+            index.setdefault(x, []).append(k)
+    keys, pairs = list(sets), set()
+    for k in keys:
+        common = {}
+        for x in sets[k]:
+            for o in index[x]:
+                if o > k:
+                    common[o] = common.get(o, 0) + 1
+        pairs |= {(k, o) for o, c in common.items() if c >= threshold * (len(sets[k]) + len(sets[o]) - c)}
+    return pairs
+
+
+def groups(keys, pairs):
+    """Each key's least key among those that chains of pairs lead to."""
+    up = {k: k for k in keys}
+
+    def root(k):
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {k: root(k) for k in keys}
+
+
+def line_dedup(docs, shingle=9, threshold=0.8):
+    """docs: (doc_id, text). {doc_id: removed line numbers}"""
+    first, all_lines = {}, []
+    for doc_id, text in sorted(docs):
+        for i, x in enumerate((text or "").split("\n")):
+            if words(x):
+                all_lines.append((doc_id, i, x))
+                first.setdefault(x, (doc_id, i))
+    sets = {first[x]: ({x[i : i + shingle] for i in range(len(x) - shingle + 1)} or {x}) for x in first}
+    comp = groups(sets, similar_pairs(sets, threshold))
+    out = {doc_id: [] for doc_id, _ in docs}
+    for doc_id, i, x in all_lines:
+        if comp[first[x]] != (doc_id, i):
+            out[doc_id].append(i)
+    return out
