@@ -18,11 +18,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcela.llm.common import documents
+
 #: How byte-level tokenizers split a text before they merge.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The same for texts of characters up to U+00FF, of which classes can be written out; less than half the time.
@@ -31,7 +34,7 @@ LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BL
 #: Words of more bytes go through a heap: rounds over one long word would take the square of its length.
 LONG_WORD = 2048
 #: Words that a task keeps the ids of, and characters that it splits at once.
-KEPT_WORDS, CHUNK_CHARS = 400_000, 1_000_000
+KEPT_WORDS, CHUNK_CHARS = 250_000, 1_000_000
 
 
 def split_words(text: str) -> list[str]:
@@ -249,12 +252,34 @@ def decode(ids: Column, path: str) -> Column:
     return bpe_decode(ids)
 
 
-def ids_digest(ids: Column) -> Column:
-    """SHA-256 of the ids as little-endian unsigned 32-bit integers, lowercase hex."""
-    import hashlib
+def coded(text: Column, path: str) -> Column:
+    """struct<ids: binary, decoded: string>: the ids as little-endian unsigned 32-bit integers, and the text
+    decoded from them. Both in one Python worker, which holds one vocabulary."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def bpe_code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path)
+        for batch in batches:
+            ids, texts = [], []
+            for part in chunks(batch):
+                for x in own.encode(part):
+                    ids.append(x.astype("<u4").tobytes())
+                    texts.append(own.decode(x))
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["ids", "decoded"])
+
+    return bpe_code(text)
+
+
+def stage(spark, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, lang, source, ids (little-endian unsigned 32-bit), n_tokens, and whether decoding the ids gives
+    the text again, of every document."""
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    out = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("code", coded(F.col("text"), tokenizer))
+    return out.select("doc_id", "lang", "source", "code.ids", (F.octet_length("code.ids") / 4).cast("long").alias("n_tokens"), (F.col("code.decoded") == F.col("text")).alias("round_trip"))
 
-    @F.arrow_udf("string")
-    def bpe_digest(batch: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists(batch)], pa.string())
 
-    return bpe_digest(ids)
+def op3_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the text decoded from them, of every document."""
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    docs = documents(spark, sf_dir).select("doc_id", coded(F.col("text"), tokenizer).alias("code"))
+    return docs.select("doc_id", (F.octet_length("code.ids") / 4).cast("long").alias("n_tokens"), F.sha2("code.ids", 256).alias("ids_sha256"), F.sha2(F.col("code.decoded").cast("binary"), 256).alias("decoded_sha256"))
