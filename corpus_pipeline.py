@@ -1,16 +1,27 @@
-"""The corpus pipeline: STAGES in order, each over all that the one before it kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. run() writes what a stage returns as Parquet in the shared folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
-from parcela.llm import mixing, quality
+from parcela.llm import bpe, jaccard, lines, mixing, quality
+from parcela.llm.common import documents, materialize
+
+STAGES = [
+    ("quality_rules", quality.stage),
+    ("line_dedup", lines.stage),
+    ("ngram_join", jaccard.stage),
+    ("mix_sources", mixing.stage),
+    ("bpe", bpe.stage),
+]
 
-STAGES = [("quality_rules", quality.stage), ("mixing", mixing.stage)]
+#: SQL has neither MinHash groups nor merges; tests hold the result against plain statements of the stages.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    from parcela.llm.common import documents, materialize
-
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

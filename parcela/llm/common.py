@@ -68,10 +68,13 @@ class WordHashes(dict):
         return value
 
     def of(self, text: str | None) -> np.ndarray:
+        return self.of_bytes((text or "").encode("utf-8", "surrogatepass"))
+
+    def of_bytes(self, text: bytes) -> np.ndarray:
         """The hashes of the words of a text, which bytes.split() finds: it splits at SPACE only."""
         if len(self) > self.LIMIT:
             self.clear()
-        words = (text or "").encode("utf-8", "surrogatepass").split()
+        words = text.split()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

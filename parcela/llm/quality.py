@@ -2,7 +2,7 @@
 
 Each rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation over the counts of vote
 patterns (three votes a rule, so their number is bounded whatever the input) estimates how often each
-rule is right and how many documents are good; a document's posterior probability of being good replaces
+rule objects to bad and to good documents, and how many documents are good; a document's posterior probability of being good replaces
 the all-must-pass filter. Abstentions say nothing.
 
 A null text is an empty one: no words, which fails the base rules. Equal texts get equal verdicts, so ties
@@ -90,39 +90,56 @@ def votes() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class LabelModel:
+    """prior: share of good documents. caught, alarm: for each rule, how often its vote on a bad document
+    and on a good one is bad."""
+
     prior: float
-    accuracy: Mapping[str, float]
+    caught: Mapping[str, float]
+    alarm: Mapping[str, float]
+
+    def weights(self, rule: str) -> tuple[float, float]:
+        """What a good and a bad vote add to the log odds of a document being good."""
+        c, a = self.caught[rule], self.alarm[rule]
+        return math.log((1 - a) / (1 - c)), math.log(a / c)
 
     def log_odds(self, votes: Mapping[str, Column]) -> Column:
         out = F.lit(math.log(self.prior / (1 - self.prior)))
         for k, v in votes.items():
-            out = out + v * F.lit(math.log(self.accuracy[k] / (1 - self.accuracy[k])))
+            good, bad = self.weights(k)
+            out = out + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
         return out
 
     def posterior(self, votes: Mapping[str, Column]) -> Column:
         return 1 / (1 + F.exp(-self.log_odds(votes)))
 
 
-def fit_labels(df: DataFrame, columns: list[str], rounds: int = 25, start: float = 0.8, bounds: tuple[float, float] = (0.6, 0.97)) -> LabelModel:
+#: Where the accuracies start and what they stay within, so that good can't change places with bad.
+CAUGHT, ALARM, PRIOR = (0.2, 0.1, 0.9), (0.003, 0.0005, 0.01), (0.8, 0.4, 0.95)
+
+
+def fit_labels(df: DataFrame, columns: list[str], rounds: int = 25) -> LabelModel:
     """Expectation-maximisation over all rows of df, by counts of vote patterns: at most 3 ** len(columns)
-    rows come to the driver. Accuracies stay within bounds, which keep good from changing places with bad."""
+    rows come to the driver."""
     if 3 ** len(columns) > 100_000:
         raise ValueError("too many rules for a table of vote patterns")
     counts = [(tuple(r[c] for c in columns), r["count"]) for r in df.groupBy(*columns).count().collect()]
-    accuracy, prior, total = dict.fromkeys(columns, start), 0.7, sum(n for _, n in counts)
+    total = sum(n for _, n in counts)
+    clipped = lambda x, bounds: min(max(x, bounds[1]), bounds[2])
+    model = LabelModel(PRIOR[0], dict.fromkeys(columns, CAUGHT[0]), dict.fromkeys(columns, ALARM[0]))
     for _ in range(rounds if total else 0):
-        right, cast, good = dict.fromkeys(columns, 1.0 * start), dict.fromkeys(columns, 1.0), 0.0
+        # votes cast and bad votes, on good and on bad documents; one document's worth of what we start with
+        cast, bad, good = ({c: [1.0, 1.0] for c in columns}, {c: [ALARM[0], CAUGHT[0]] for c in columns}, 0.0)
         for pattern, n in counts:
-            odds = math.log(prior / (1 - prior)) + sum(v * math.log(accuracy[c] / (1 - accuracy[c])) for c, v in zip(columns, pattern, strict=True))
+            odds = math.log(model.prior / (1 - model.prior)) + sum(model.weights(c)[v < 0] for c, v in zip(columns, pattern, strict=True) if v)
             p = 1 / (1 + math.exp(-odds))
             good += n * p
             for c, v in zip(columns, pattern, strict=True):
                 if v:
-                    cast[c] += n
-                    right[c] += n * (p if v > 0 else 1 - p)
-        accuracy = {c: min(max(right[c] / cast[c], bounds[0]), bounds[1]) for c in columns}
-        prior = min(max(good / total, 0.3), 0.95)
-    return LabelModel(prior, accuracy)
+                    for y, share in enumerate((n * p, n * (1 - p))):
+                        cast[c][y] += share
+                        bad[c][y] += share * (v < 0)
+        model = LabelModel(clipped(good / total, PRIOR), {c: clipped(bad[c][1] / cast[c][1], CAUGHT) for c in columns}, {c: clipped(bad[c][0] / cast[c][0], ALARM) for c in columns})
+    return model
 
 
 def judged(df: DataFrame, columns: list[str], text: str = "text", keep: float = 0.5) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from parcela.llm import bpe
-from parcela.llm.common import documents
+from parcela.llm.bpe import op3_bpe
+from parcela.llm.classifier import op10_quality_classifier
+from parcela.llm.imatch import op4_imatch
 from parcela.llm.jaccard import op7_ngram_join
+from parcela.llm.licenses import op9_license_scan
 from parcela.llm.lines import op2_line_dedup
 from parcela.llm.mixing import op6_mix_sources
 from parcela.llm.quality import op5_quality_rules
@@ -16,22 +14,17 @@ from parcela.llm.substrings import op1_substring_dedup
 from parcela.llm.urls import op8_url_filters
 
 
-def op3_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of the text decoded from them, of every document."""
-    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    docs = documents(spark, sf_dir).select("doc_id", bpe.encode(F.col("text"), tokenizer).alias("ids"))
-    docs = docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), bpe.decode(F.col("ids"), tokenizer).alias("decoded"))
-    return docs.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_bpe": op3_bpe,
+    "op4_imatch": op4_imatch,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
     "op7_ngram_join": op7_ngram_join,
     "op8_url_filters": op8_url_filters,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
