@@ -47,6 +47,7 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(P + "n_lines", F.size(c("lines")).cast("long"))
     df = df.withColumn(P + "n_dup_lines", (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"))
     df = df.withColumn(P + "n_ended", F.size(F.filter(c("lines"), lambda x: x.rlike(rf"[.?!\"…。][{SPACE}]*$"))).cast("long"))
+    df = df.withColumn(P + "n_marked", F.regexp_count(c("t"), F.lit(rf"[{SYMBOLS}](?=[{SPACE}]|$)")).cast("long"))
     df = df.withColumn(P + "n_upper", (F.length(c("t")) - F.length(F.regexp_replace(c("t"), r"\p{Lu}", ""))).cast("long"))
     df = df.withColumn(P + "n_shouts", count_of(c("t"), "!"))
     # three-word windows, by their hashes; those of a text are too few for two to collide
@@ -80,6 +81,7 @@ def votes() -> dict[str, Column]:
     return {
         "repeats": low_is_good(share(c("n_repeat_words"), c("n_words")), 0.12, 0.35),
         "symbols": low_is_good(share(c("n_symbols"), c("n_words")), 0.02, 0.10),
+        "marked_words": low_is_good(share(c("n_marked"), c("n_words")), 0.02, 0.10),
         "dup_lines": F.when(c("n_lines") < 2, 0).otherwise(low_is_good(share(c("n_dup_lines"), c("n_lines")), 0.10, 0.34)),
         "word_length": F.when(mean.between(2.5, 11.0), 1).when(mean.between(1.5, 15.0), 0).otherwise(-1),
         "upper_case": low_is_good(share(c("n_upper"), c("word_chars")), 0.12, 0.40),
@@ -114,7 +116,7 @@ class LabelModel:
 
 
 #: Where the accuracies start and what they stay within, so that good can't change places with bad.
-CAUGHT, ALARM, PRIOR = (0.2, 0.1, 0.9), (0.003, 0.0005, 0.01), (0.8, 0.4, 0.95)
+CAUGHT, ALARM, PRIOR = (0.2, 0.1, 0.9), (0.003, 0.0005, 0.005), (0.8, 0.4, 0.95)
 
 
 def fit_labels(df: DataFrame, columns: list[str], rounds: int = 25) -> LabelModel:
