@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import SPACE, documents, materialize
+from parcela.llm.common import SPACE, SPACE_CHARS, documents, materialize
 from parcela.llm.quality import LabelModel, count_of, fit_labels
 
 #: The most documents that the scorer is fitted on, and the number of hashed features.
@@ -49,7 +49,7 @@ def prepared(df: DataFrame, text: str = "text") -> DataFrame:
         "same_word": low_is_good(c("same") / n, 0.04, 0.20),
         "variety": F.when(c("n") < 30, 0).otherwise(low_is_good(1 - c("distinct") / n, 0.70, 0.90)),
         "length": F.when(c("n") >= 50, 1).when(c("n") < 1, -1).otherwise(0),
-        "letters": low_is_good(1 - letters / F.greatest(F.length(c("t")).cast("double"), F.lit(1.0)), 0.28, 0.45),
+        "letters": low_is_good(1 - letters / F.greatest(F.length(F.translate(c("t"), SPACE_CHARS, "")).cast("double"), F.lit(1.0)), 0.20, 0.50),
     }
     return df.withColumns({C + "v_" + k: v for k, v in votes.items()})
 
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[Labe
     chosen = chosen.filter(F.coalesce(F.col(text), F.lit("")) != "").dropDuplicates([text])
     p = labels.posterior({x: F.col(x) for x in names})
     rows = features(prepared(chosen, text)).withColumn(C + "p", p).select(C + "x", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col(C + "p").alias("k")), F.struct(F.lit(0.0).alias("y"), (1 - F.col(C + "p")).alias("k")))).alias("label")).select(C + "x", "label.*")
-    model = LogisticRegression(featuresCol=C + "x", labelCol="y", weightCol="k", probabilityCol=C + "prob", rawPredictionCol=C + "raw", predictionCol=C + "y", maxIter=30, regParam=1e-4, standardization=False).fit(rows)
+    model = LogisticRegression(featuresCol=C + "x", labelCol="y", weightCol="k", probabilityCol=C + "prob", rawPredictionCol=C + "raw", predictionCol=C + "y", maxIter=40, regParam=1e-3).fit(rows)
     return labels, model
 
 
