@@ -47,8 +47,12 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def grams(text: Column, kind: str, sizes=GRAMS) -> Column:
     """The character n-grams of the text between marks, each with its kind in front."""
     full = F.concat(F.lit("^"), text, F.lit("$"))
-    each = [F.when(F.length(full) >= n, F.transform(F.sequence(F.lit(1), F.length(full) - (n - 1)), lambda i, n=n: F.concat(F.lit(kind), F.substring(full, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*each)
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(full) - (n - 1))
+        return F.when(F.length(full) >= n, F.transform(places, lambda i: F.concat(F.lit(kind), F.substring(full, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, sizes))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
