@@ -26,6 +26,8 @@ from parcela.llm.neardup import BANDS, Forest, band_keys, band_rows, bucket_edge
 
 SHINGLE, THRESHOLD, N_BANDS, ROWS = 9, 0.8, 12, 4
 CHUNK_CHARS = 1_000_000
+#: Cells of at most so many lines need no signatures.
+FEW = 12
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -104,12 +106,27 @@ def line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array([*own], np.uint64).view(np.int64)), pa.array([*own.values()], pa.string())], names=["id", "value"])
 
 
+def few_verified(texts: list[str], ids: np.ndarray, side: np.ndarray, alone: bool) -> pa.RecordBatch | None:
+    """The same for a few lines, all pairs of which are looked at without signatures."""
+    sets = [frozenset([x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)] or [x]) for x in texts]
+    forest, out = Forest(len(texts)), []
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if (alone or side[i] != side[j]) and forest.root(i) != forest.root(j) and jaccard(a, sets[j]) >= THRESHOLD:
+                forest.join(i, j)
+                out.append((ids[i], ids[j]))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]) if out else None
+
+
 def verified(cell: pa.Table) -> pa.RecordBatch | None:
     """a, b: enough pairs of the cell that are similar to connect all that are. Pairs that no band joins,
     or that are connected already, aren't looked at."""
     texts, ids, side, alone = cell["value"].to_pylist(), cell["id"].to_numpy(), cell["side"].to_numpy(), cell["alone"][0].as_py()
     if len(texts) < 2:
         return None
+    if len(texts) <= FEW:
+        return few_verified(texts, ids, side, alone)
     hashes, owner = shingle_hashes(texts)
     keys = band_keys(signatures(hashes, owner, len(texts), N_BANDS * ROWS), ROWS)
     order = np.argsort(owner, kind="stable")
