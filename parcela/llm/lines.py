@@ -156,8 +156,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     groups = line_components(docs)
     found = docs.select("ord", "tkey", "text").mapInArrow(places, "id long, ord long, tkey long, line int")
     found = found.join(groups, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "ord", "tkey", "line")
-    first = found.groupBy("comp").agg(F.min(F.struct("ord", "line", "tkey")).alias("first"))
-    found = found.join(first, "comp").withColumn("again", F.struct("ord", "line", "tkey") != F.col("first"))
+    # written, so that the join below reads two plain shuffles, of which Spark can split a hot component's rows
+    first = materialize(found.groupBy("comp").agg(F.min(F.struct("ord", "line", "tkey")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    found = found.join(first, "comp", "left").withColumn("again", F.coalesce(F.struct("ord", "line", "tkey") != F.col("first"), F.lit(False)))
     return found.groupBy("ord", "tkey").agg(F.count_distinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("again"), F.col("line")))).alias("removed"))
 
 
