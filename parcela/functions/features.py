@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.text import contains_any, first_filled, flag, key_of, parse_bool
+from parcela.functions.text import contains_any, first_filled, flag, key_of, once, parse_bool
 
 # Features and the terms that stand for them.
 BINARY_TERMS = {
@@ -46,13 +46,14 @@ def attribute(attrs: Column, *names: str) -> Column:
     return F.coalesce(*exact, *loose)
 
 
-def binary_features(attrs: Column, haystack: Column) -> dict[str, Column]:
+def binary_said(attrs: Column) -> dict[str, Column]:
+    """What the attributes say of each feature, as text."""
+    return {name: first_filled(*[attribute(attrs, t) for t in terms]) for name, terms in BINARY_TERMS.items()}
+
+
+def binary_features(said: dict[str, Column], haystack: Column) -> dict[str, Column]:
     """1 or 0 for each feature: what an attribute says, or else whether a term occurs in the normalized text."""
-    out = {}
-    for name, terms in BINARY_TERMS.items():
-        said = parse_bool(first_filled(*[attribute(attrs, t) for t in terms]))
-        out[name] = F.coalesce(said, flag(contains_any(haystack, map(key_of, terms))))
-    return out
+    return {name: F.coalesce(once(parse_bool, said[name]), flag(contains_any(haystack, map(key_of, terms)))) for name, terms in BINARY_TERMS.items()}
 
 
 def card_features(folded: Column) -> dict[str, Column]:

@@ -99,3 +99,9 @@ def rounded(x: Column, digits: int = 2) -> Column:
     """To so many decimals, half up on the binary value: the same in every engine with IEEE doubles."""
     scale = float(10**digits)
     return F.floor(x * scale + F.lit(0.5)) / scale
+
+
+def once(f, c: Column | str) -> Column:
+    """f of c, with c worked out once and bound to a lambda's variable. For wide projections, where f names
+    its argument many times and the generated code would grow beyond what a method may hold."""
+    return F.get(F.transform(F.array(col(c)), lambda x: f(x)), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from parcela.functions import features, numbers, urls
 from parcela.functions.address import card_address, commune, parse_address, place_parts
-from parcela.functions.text import clean_text, first_filled, flag, fold, found, normalize_key, parse_bool, plain_text, rounded, token_count, warnings
+from parcela.functions.text import clean_text, first_filled, flag, fold, found, normalize_key, once, parse_bool, plain_text, rounded, token_count, warnings
 from parcela.plans.schema import CARD, LISTING, aligned
 from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, inside, meta, parse_html, text_of, under
 
@@ -119,14 +119,15 @@ def listing(pages: DataFrame, portal: Portal) -> DataFrame:
     amount = r"(?:USD|U\$S|US\$|ARS|\$)\s*"
     own = own.withColumns({
         "title": first_text(els, F.col("texts"), *titles),
-        "money": numbers.parse_money(F.coalesce(value("POSTING_CARD_PRICE", "price", "precio"), found(text, f"(?i){amount}[0-9][0-9.,]*"))),
-        "costs": numbers.parse_money(F.coalesce(value("POSTING_CARD_EXPENSES") if b else F.lit(None).cast("string"), found(text, rf"(?i)expensas?\s*(?:{amount})?[0-9][0-9.,]*"))),
-        "place": parse_address(value("POSTING_CARD_LOCATION", "address", "direccion", "location", "ubicacion")),
+        "raw_money": F.coalesce(value("POSTING_CARD_PRICE", "price", "precio"), found(text, f"(?i){amount}[0-9][0-9.,]*")),
+        "raw_costs": F.coalesce(value("POSTING_CARD_EXPENSES") if b else F.lit(None).cast("string"), found(text, rf"(?i)expensas?\s*(?:{amount})?[0-9][0-9.,]*")),
+        "raw_place": value("POSTING_CARD_LOCATION", "address", "direccion", "location", "ubicacion"),
         "seller": value("POSTING_CARD_PUBLISHER", "seller", "inmobiliaria", "publisher"),
         "images": F.filter(els, tag("img")),
-        "area": numbers.parse_number(found(text, r"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*(?:totales?|total)?", 1)),
+        "area": once(numbers.parse_number, found(text, r"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*(?:totales?|total)?", 1)),
     })
-    count = lambda pattern: numbers.parse_integer(found(text, f"(?i)([0-9]+)\\s*(?:{pattern})", 1))
+    own = own.withColumns({"money": once(numbers.parse_money, "raw_money"), "costs": once(numbers.parse_money, "raw_costs"), "place": once(parse_address, "raw_place")})
+    count = lambda pattern: once(numbers.parse_integer, found(text, f"(?i)([0-9]+)\\s*(?:{pattern})", 1))
     image = first(F.col("images"))
     values = {
         "property_id": urls.stable_id(F.col("link")), "fuente": F.lit(portal.name), "url": F.col("link"), "scraped_at_utc": F.col("captured_at"), "search_url": F.col("search_url"),
@@ -134,7 +135,7 @@ def listing(pages: DataFrame, portal: Portal) -> DataFrame:
         "tipo_operacion": urls.operation(F.col("search_url"), "-" if b else "/"), "tipo_propiedad": F.lit(None) if b else urls.property_type(F.col("search_url")), "inmobiliaria": F.col("seller"),
         "moneda": F.col("money.currency"), "precio": F.col("money.amount"), "precio_texto": F.col("money.text"), "expensas_moneda": F.col("costs.currency"), "expensas": F.col("costs.amount"), "expensas_texto": F.col("costs.text"),
         **address_columns(F.col("place")), "ambientes": count(r"ambientes?|amb\b"), "dormitorios": count(r"dormitorios?|dorm\b"), "banios": count("baños?|banos?"), "cocheras": count("cocheras?|garages?"),
-        "superficie_total_m2": F.col("area"), "superficie_cubierta_m2": numbers.parse_number(found(text, r"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*(?:cubiertos?|cubierta)", 1)),
+        "superficie_total_m2": F.col("area"), "superficie_cubierta_m2": once(numbers.parse_number, found(text, r"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*(?:cubiertos?|cubierta)", 1)),
         "imagen_principal": first_filled(attr(image, "src"), attr(image, "data-src"), *([attr(image, "data-flickity-lazyload")] if b else [])), "cantidad_imagenes": F.nullif(F.size("images"), F.lit(0)),
         "cantidad_atributos_extra": F.lit(1), "atributos_extra_json": F.to_json(F.struct(text.alias("texto_tarjeta"))), "precio_m2_calculado": rounded(numbers.per_unit(F.col("money.amount"), F.col("area"))),
     }
@@ -222,7 +223,7 @@ ATTRIBUTES = (
     ("departamentos_por_piso", "int", ("departamentos por piso", "unidades por piso")), ("apto_credito", "bool", ("apto credito",)), ("apto_profesional", "bool", ("apto profesional",)), ("permite_mascotas", "bool", ("permite mascotas", "mascotas")),
     ("accesibilidad", "bool", ("acceso para movilidad reducida", "accesibilidad")), ("amoblado", "bool", ("amoblado", "amueblado")), ("video_url", "text", ("video", "video url")), ("tour_virtual_url", "text", ("tour virtual", "recorrido virtual")),
 )
-READ = {"text": lambda c: c, "int": numbers.parse_integer, "number": numbers.parse_number, "bool": parse_bool}
+READ = {"text": lambda c: c, "int": lambda c: once(numbers.parse_integer, c), "number": lambda c: once(numbers.parse_number, c), "bool": lambda c: once(parse_bool, c)}
 
 
 def detail(pages: DataFrame, portal: Portal) -> DataFrame:
@@ -241,27 +242,31 @@ def detail(pages: DataFrame, portal: Portal) -> DataFrame:
     geo = F.get(F.filter("objects", lambda o: F.get_json_object(o, "$['@type']") == "GeoCoordinates"), F.lit(0))
     geo_field = lambda name: F.when(F.get_json_object(data, "$.geo").startswith("{"), F.get_json_object(data, f"$.geo.{name}")).otherwise(F.get_json_object(geo, f"$.{name}"))
     address = lambda name: json_field(data, f"$.address.{name}", f"$.location.address.{name}")
+    # each text is found once, in a column of its own; what reads a text names it many times
     own = own.withColumns({
+        **{"raw_" + name: said(*names) for name, _, names in ATTRIBUTES}, **{"raw_" + k: v for k, v in features.binary_said(attrs).items() if k not in {n for n, _, _ in ATTRIBUTES}},
+        "raw_lat": first_filled(geo_field("latitude"), said("latitud")), "raw_lon": first_filled(geo_field("longitude"), said("longitud")),
         "title": first_filled(json_field(data, "$.name"), of_meta(prop("og:title"), tag("h1"))),
         "description": plain_text(first_filled(json_field(data, "$.description"), of_meta(lambda e: (e["tag"] == "meta") & attr_is(e, "name", "description"), prop("og:description"), qa_b("POSTING_DETAILS_DESCRIPTION"), like("description")))),
-        "money": numbers.parse_money(plain_text(first_filled(json_field(data, *in_list_or_not("offers", "price"), *in_list_or_not("offer", "price")), said("precio", "valor"), of_meta(prop("product:price:amount"), qa_b("POSTING_CARD_PRICE"), like("price"))))),
-        "costs": numbers.parse_money(said("expensas", "gastos comunes")),
-        "place": parse_address(plain_text(first_filled(address("streetAddress"), said("direccion", "ubicacion"), of_meta(qa_b("POSTING_CARD_LOCATION"), like("address"), like("location"))))),
+        "raw_money": plain_text(first_filled(json_field(data, *in_list_or_not("offers", "price"), *in_list_or_not("offer", "price")), said("precio", "valor"), of_meta(prop("product:price:amount"), qa_b("POSTING_CARD_PRICE"), like("price")))),
+        "raw_costs": said("expensas", "gastos comunes"),
+        "raw_place": plain_text(first_filled(address("streetAddress"), said("direccion", "ubicacion"), of_meta(qa_b("POSTING_CARD_LOCATION"), like("address"), like("location")))),
+        "raw_type": said("tipo de propiedad", "tipo de unidad"), "raw_town": said("localidad"), "raw_region": said("provincia"), "raw_code": said("codigo postal"), "raw_image": of_meta(prop("og:image")),
         "images": images_of(data),
-        "haystack": normalize_key(F.concat_ws(" ", F.lit(""), F.array_join(F.transform(attrs, lambda a: F.concat_ws(" ", a["k"], a["v"])), " "))),
+        "listing_words": F.array_join(F.transform(attrs, lambda a: F.concat_ws(" ", a["k"], a["v"])), " "),
     })
-    own = own.withColumn("haystack", F.concat_ws("_", normalize_key(F.col("description")), "haystack"))
-    values = {name: READ[kind](said(*names)) for name, kind, names in ATTRIBUTES}
+    own = own.withColumns({"money": once(numbers.parse_money, "raw_money"), "costs": once(numbers.parse_money, "raw_costs"), "place": once(parse_address, "raw_place"), "haystack": normalize_key(F.concat_ws(" ", "description", "listing_words"))})
+    values = {name: READ[kind](F.col("raw_" + name)) for name, kind, names in ATTRIBUTES}
     values |= {
         "property_id": urls.stable_id(F.col("url"), json_field(data, "$.sku", "$.productID")), "fuente": F.lit(portal.name), "url": F.col("url"), "scraped_at_utc": F.col("captured_at"), "search_url": F.col("search_url"),
-        "pagina_origen": F.col("page"), "http_status": F.col("status"), "parse_ok": F.lit(1), "titulo": plain_text(F.col("title")), "descripcion": F.col("description"), "tipo_propiedad": first_filled(json_field(data, "$.category"), said("tipo de propiedad", "tipo de unidad")),
+        "pagina_origen": F.col("page"), "http_status": F.col("status"), "parse_ok": F.lit(1), "titulo": plain_text(F.col("title")), "descripcion": F.col("description"), "tipo_propiedad": first_filled(json_field(data, "$.category"), F.col("raw_type")),
         "estado_publicacion": json_field(data, *in_list_or_not("offers", "availability"), *in_list_or_not("offer", "availability")), "inmobiliaria": plain_text(json_field(data, "$.seller.name")), "seller_id": json_field(data, "$.seller.identifier"),
         "moneda": first_filled(json_field(data, *in_list_or_not("offers", "priceCurrency"), *in_list_or_not("offer", "priceCurrency")), F.col("money.currency")), "precio": F.col("money.amount"), "precio_texto": F.col("money.text"),
         "expensas_moneda": F.col("costs.currency"), "expensas": F.col("costs.amount"), "expensas_texto": F.col("costs.text"), **address_columns(F.col("place")),
-        "localidad": first_filled(address("addressLocality"), said("localidad")), "provincia": first_filled(address("addressRegion"), said("provincia")), "pais": first_filled(address("addressCountry"), F.lit("Argentina")), "codigo_postal": first_filled(address("postalCode"), said("codigo postal")),
-        "latitud": numbers.parse_number(first_filled(geo_field("latitude"), said("latitud"))), "longitud": numbers.parse_number(first_filled(geo_field("longitude"), said("longitud"))),
-        "cantidad_imagenes": F.nullif(F.size("images"), F.lit(0)), "imagen_principal": first_filled(json_field(data, "$.primaryImageOfPage.contentUrl"), F.get("images", F.lit(0)), of_meta(prop("og:image"))),
-        "cantidad_atributos_extra": F.size("pairs"), "atributos_extra_json": F.to_json(F.map_from_entries(F.array_sort("pairs"))), "jsonld_raw": data, **features.binary_features(attrs, F.col("haystack")),
+        "localidad": first_filled(address("addressLocality"), F.col("raw_town")), "provincia": first_filled(address("addressRegion"), F.col("raw_region")), "pais": first_filled(address("addressCountry"), F.lit("Argentina")), "codigo_postal": first_filled(address("postalCode"), F.col("raw_code")),
+        "latitud": once(numbers.parse_number, "raw_lat"), "longitud": once(numbers.parse_number, "raw_lon"),
+        "cantidad_imagenes": F.nullif(F.size("images"), F.lit(0)), "imagen_principal": first_filled(json_field(data, "$.primaryImageOfPage.contentUrl"), F.get("images", F.lit(0)), F.col("raw_image")),
+        "cantidad_atributos_extra": F.size("pairs"), "atributos_extra_json": F.to_json(F.map_from_entries(F.array_sort("pairs"))), "jsonld_raw": data, **features.binary_features({k: F.col("raw_" + k) for k in features.BINARY_TERMS}, F.col("haystack")),
         "parse_warnings": warnings(titulo_no_encontrado=F.col("title").isNull(), precio_no_encontrado=F.col("money.amount").isNull(), sin_tabla_atributos=F.size("pairs") == 0),
     }
     out = own.select(*aligned(values, LISTING))
@@ -287,8 +292,8 @@ def cards(pages: DataFrame) -> DataFrame:
         "images": F.filter(F.transform(F.filter(els, tag("img")), lambda e: F.coalesce(attr(e, "src"), attr(e, "data-src"))), lambda x: x.isNotNull()), "text": F.coalesce(text_of(F.col("card"), texts), F.lit("")),
     })
     slot = lambda pattern: F.get(F.filter("attributes", lambda a: a.rlike(f"(?i){pattern}")), F.lit(0))
-    ranges = {name: numbers.number_range(slot(p)) for name, p in (("ambientes", "amb"), ("banios", "bañ|ban"), ("dormitorios", "dorm"))}
-    area, money, place = numbers.number_range(slot("m²|m2")), numbers.card_money("price_text"), place_parts("place_text")
+    ranges = {name: once(numbers.number_range, slot(p)) for name, p in (("ambientes", "amb"), ("banios", "bañ|ban"), ("dormitorios", "dorm"))}
+    area, money, place = once(numbers.number_range, slot("m²|m2")), once(numbers.card_money, "price_text"), once(place_parts, "place_text")
     values = {
         "item_id": F.col("item_id"), "fuente": F.lit("Mercado Libre"), "url": F.col("item_url"), "search_url": F.col("search_url"), "pagina_origen": F.col("page"), "scraped_at_utc": F.col("captured_at"), "titulo": F.col("title"),
         "tipo_propiedad": F.lit("departamento"), "tipo_operacion": F.lit("venta"), "moneda": money["currency"], "precio": money["amount"], "precio_texto": F.col("price_text"), "desde": flag(F.col("text").rlike(r"(?i)\bdesde\b")), "inmobiliaria": F.col("seller"),

@@ -13,10 +13,11 @@ def read_journal(spark: SparkSession, path: str, schema: str, offset: str | None
     """The JSON lines that can be read; torn ones go. offset: a name for the place of each line, file by file,
     by which the latest is found."""
     fields = T.StructType.fromDDL(schema).add("_torn", T.StringType())
-    lines = spark.read.schema(fields).option("columnNameOfCorruptRecord", "_torn").json(path)
+    lines = spark.read.text(path)
     if offset:
         lines = lines.withColumn(offset, F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")))
-    return lines.filter("_torn is null").drop("_torn")
+    lines = lines.withColumn("value", F.from_json("value", fields, {"columnNameOfCorruptRecord": "_torn"}))
+    return lines.filter("value is not null and value._torn is null").select("value.*", *([offset] if offset else [])).drop("_torn")
 
 
 def journal_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
