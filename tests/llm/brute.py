@@ -80,3 +80,45 @@ def line_dedup(docs, shingle=9, threshold=0.8):
         if comp[first[x]] != (doc_id, i):
             out[doc_id].append(i)
     return out
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""
+    text, ws = text or "", words(text)
+    windows, seen = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)], {}
+    for i, w in enumerate(windows):
+        seen.setdefault(w, []).append(i)
+    covered = {p + k for places in seen.values() if len(places) > 1 for p in places for k in range(3)}
+    lines = [x for x in text.split("\n") if words(x)]
+    failed = len(ws) < 50 or 100 * len(covered) > 50 * len(ws)
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
+
+
+def targets(sizes, weights=(5, 2, 1), cap=3):
+    """sizes: source -> size. Source -> target, capped shares reshared by weight until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, held, out = sum(sizes.values()), {}, {}
+    while True:
+        free = [s for s in order if s not in held]
+        rest = total - sum(held.values())
+        whole = sum(weight[s] for s in free)
+        out = held | {s: rest * weight[s] / whole for s in free}
+        above = [s for s in free if out[s] > cap * sizes[s]]
+        if not above:
+            return out
+        held |= {s: float(cap * sizes[s]) for s in above}
+
+
+def fits(rule, host, path):
+    h, _, p = rule.partition("/")
+    return (host == h or host.endswith("." + h)) and path.startswith("/" + p)
+
+
+def url_parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
