@@ -90,7 +90,14 @@ def gram_hashes(tokens: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> n
     count = len(tokens) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out, base = np.zeros(count, np.uint64), np.uint64(seed | 1)
-    for i in range(n):
-        out = out * base + tokens[i : i + count]
+    # runs of 1, 2, 4, ... tokens, joined where n has that bit: a + b tokens are one of a, shifted, and one of b
+    base, power, size, done = np.uint64(seed | 1), tokens, 1, 0
+    out = np.zeros(count, np.uint64)
+    while size <= n:
+        if n & size:
+            out = out * np.uint64(pow(int(base), size, 1 << 64)) + power[done : done + count]
+            done += size
+        if 2 * size <= n:
+            power = power[: len(power) - size] * np.uint64(pow(int(base), size, 1 << 64)) + power[size:]
+        size *= 2
     return mixed(out)

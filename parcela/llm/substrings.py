@@ -42,14 +42,17 @@ SEGMENTS = "ord long, tkey long, start int, n int, src_ord long, src_tkey long,
 
 
 def runs(tokens: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first window and number of windows of each run of windows with one minimizer at one place."""
-    count = len(tokens) - window + 1
+    """Minimizer, first window and number of windows of each run of windows with one minimizer."""
+    count, width = len(tokens) - window + 1, window - gram + 1
     if count <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = gram_hashes(tokens, gram)
-    place = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(count)
-    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return grams[place[start]], start, np.diff(np.r_[start, count])
+    least, size = gram_hashes(tokens, gram), 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[:count], least[width - size : width - size + count])
+    start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return least[start], start, np.diff(np.r_[start, count])
 
 
 def table(schema: str, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
