@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from parcela.llm.common import SPACE, WordHashes, documents, gram_hashes, materialize, n_words, order_id, text_key
 
-WINDOW, GRAM, HOT = 20, 5, 4096
+WINDOW, GRAM, HOT = 20, 8, 4096
 ANCHORS = "m long, ord long, tkey long, n int"
 WINDOWS = "key long, m long, ord long, tkey long, start int, n int, edges array<long>, src_ord long, src_tkey long, src_start int"
 SEGMENTS = "ord long, tkey long, start int, n int, src_ord long, src_tkey long, src_start int"
