@@ -65,10 +65,17 @@ def joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *parts])
 
 
+def minimizers(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct minimizers of a document, and how often each occurs in it as a run of words. One run of
+    windows may hold one minimizer at several places, so runs themselves don't tell."""
+    m, grams = np.unique(runs(tokens)[0]), np.sort(gram_hashes(tokens, GRAM))
+    return m, np.searchsorted(grams, m, "right") - np.searchsorted(grams, m, "left")
+
+
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        found = [np.unique(runs(hashes.of(t.as_py()))[0], return_counts=True) for t in batch["text"]]
+        found = [minimizers(hashes.of(t.as_py())) for t in batch["text"]]
         each = [len(m) for m, _ in found]
         yield table(ANCHORS, m=joined([m for m, _ in found], np.uint64), n=joined([n for _, n in found]), **{c: np.repeat(batch[c].to_numpy(), each) for c in ("ord", "tkey")})
 
