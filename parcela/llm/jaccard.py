@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose word-shingle sets have a Jaccard similarity of THRESHOLD or more.
 
-Shingles are runs of SHINGLE words (a document with fewer words is one shingle; one without words is like
-no other). Documents with equal sets are one class from the start. MinHash bands find candidates (at
+Shingles are runs of SHINGLE words (a document with fewer words is one shingle, so those without any are
+alike). Documents with equal sets are one class from the start. MinHash bands find candidates (at
 similarity 0.8 all but one pair in 20 000). Candidates' MinHash values are then compared STEP at a time: with
 m of n equal, the similarity has a Beta(m + 1, n - m + 1) posterior, and a pair goes when its probability of
 reaching the threshold falls below TOLERANCE. What is left is verified exactly on the whole sets.
@@ -30,8 +30,8 @@ STEP, TOLERANCE = 25, 1e-5
 
 
 def shingles(tokens: np.ndarray) -> np.ndarray:
-    """The distinct shingle hashes, in order."""
-    return np.unique(gram_hashes(tokens, min(SHINGLE, len(tokens)))) if len(tokens) else np.empty(0, np.uint64)
+    """The distinct shingle hashes, in order; never none: no words are one empty shingle."""
+    return np.unique(gram_hashes(tokens, min(SHINGLE, len(tokens)))) if len(tokens) else np.zeros(1, np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -68,13 +68,11 @@ def set_id(own: np.ndarray) -> int:
 
 
 def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ord, tkey, id of every document with words."""
+    """ord, tkey, id of every document."""
     hashes = WordHashes()
     for batch in batches:
-        sets = [shingles(hashes.of(t.as_py())) for t in batch["text"]]
-        has = np.array([len(x) > 0 for x in sets], bool)
-        ids = np.array([set_id(x) for x in sets if len(x)], np.uint64)
-        yield pa.RecordBatch.from_arrays([*(pa.array(batch[c].to_numpy()[has]) for c in ("ord", "tkey")), pa.array(ids.view(np.int64))], names=["ord", "tkey", "id"])
+        ids = np.array([set_id(shingles(hashes.of(t.as_py()))) for t in batch["text"]], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch["ord"], batch["tkey"], pa.array(ids.view(np.int64))], names=["ord", "tkey", "id"])
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +81,7 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
         for t in batch["text"]:
             x = shingles(hashes.of(t.as_py()))
-            if len(x) and (i := set_id(x)) not in own:
+            if (i := set_id(x)) not in own:
                 own[i] = signature(x)
         keys = band_keys(np.array([*own.values()], np.uint64).reshape(-1, HASHES), ROWS)
         yield band_rows(np.array([*own], np.uint64), keys)

@@ -30,7 +30,7 @@ def substring_dedup(docs, window=20):
 
 def shingle_set(text, n=5):
     ws = words(text)
-    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} or ({tuple(ws)} if ws else set())
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} or {tuple(ws)}
 
 
 def similar_pairs(sets, threshold=0.8):
