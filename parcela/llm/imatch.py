@@ -57,8 +57,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = M
     total = counts.agg(F.sum("df")).first()[0] or 0
     # total / least is the most terms that can have a document frequency of least
     least = max(2, int(np.ceil(low * n)), int(np.ceil(total / most)))
-    rows = counts.filter(F.col("df").between(least, max(2, int(high * n)))).select("term").collect()
-    return np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64))
+    rows = counts.filter(F.col("df").between(least, max(2, int(high * n)))).select("term").toArrow()
+    return np.sort(rows["term"].to_numpy().view(np.uint64))
 
 
 class Fingerprint:

@@ -40,8 +40,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
 
 
 def uniform(seed: int, *columns: Column) -> Column:
-    """In [0, 1), by a seeded hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") / float(1 << 53)
+    """In [0, 1), from the first 52 bits of a seeded MD5, which SQL engines have too."""
+    whole = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def with_takes(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:

@@ -27,4 +27,37 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"select doc_id, unnest(range(1, len(ws) + 1)) as pos, unnest(ws) as w from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents)"
+SIZE_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+#: For ids of their own, as the test tables have. The other operators have no SQL: merges, MinHash groups of lines,
+#: expectation-maximisation, models and alignments.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+with words as ({WORDS_SQL}),
+  windows as (select doc_id, pos, md5(string_agg(w, ' ') over here) as k, count(*) over here as n from words window here as (partition by doc_id order by pos rows between current row and 19 following)),
+  again as (select doc_id, pos, k from (select *, row_number() over (partition by k order by doc_id, pos) as r from windows where n = 20) where r > 1),
+  firsts as (select k, min(doc_id) as src, arg_min(pos, (doc_id, pos)) as src_pos from windows where n = 20 group by k),
+  spans as (select doc_id, count(*) as n_spans from (select doc_id, pos, src, src_pos, lag((src, src_pos + 1, pos + 1)) over (partition by doc_id order by pos) as led from again join firsts using (k)) where led is distinct from (src, src_pos, pos) group by doc_id),
+  gone as (select distinct doc_id, unnest(range(pos, pos + 20)) as pos from again),
+  kept as (select doc_id, string_agg(w, ' ' order by pos) as t, count(*) as n from words anti join gone using (doc_id, pos) group by doc_id),
+  sizes as (select doc_id, {SIZE_SQL} as n_words from documents)
+select doc_id, n_words, n_words - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256, coalesce(n_spans, 0) as n_spans from sizes left join kept using (doc_id) left join spans using (doc_id)""",
+    "op6_mix_sources": f"""
+with sized as (select doc_id, text, source, {SIZE_SQL} as size from documents),
+  sources as (select source, sum(size)::bigint as size, [5e0, 2e0, 1e0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from sized group by source),
+  steps as (select *, 3e0 * size / weight as top from sources),
+  levels as (select *, ((select sum(size) from sources) - coalesce(sum(3e0 * size) over before, 0)) / sum(weight) over after as level from steps window before as (order by top, source rows between unbounded preceding and 1 preceding), after as (order by top, source rows between current row and unbounded following)),
+  targets as (select source, size as source_size, least(3e0 * size, (select level from levels where level <= top order by top, source limit 1) * weight) as target from levels),
+  rates as (select doc_id, size, source_size, target, case when source_size > 0 then least(3e0, target / source_size) else 0 end as rate, ('0x' || left(md5('20240611|' || doc_id || '|' || coalesce(text, '')), 13))::bigint / 4503599627370496e0 as draw
+    from sized join targets on sized.source is not distinct from targets.source)
+select doc_id, size, source_size, target, (size * copies)::bigint as taken, copies from (select *, (floor(rate) + (draw < rate - floor(rate))::int)::int as copies from rates)""",
+    "op7_ngram_join": f"""
+with recursive words as ({WORDS_SQL}),
+  grams as (select doc_id, pos, count(*) over here as n, string_agg(w, ' ') over here as g, count(*) over (partition by doc_id) as size from words window here as (partition by doc_id order by pos rows between current row and 4 following)),
+  sets as (select distinct doc_id, g from grams where n = 5 or (pos = 1 and size < 5) union all select doc_id, '' from documents where {SIZE_SQL} = 0),
+  sizes as (select doc_id, count(*) as n from sets group by doc_id),
+  pairs as (select x, y from (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id <> b.doc_id group by all) join sizes s on s.doc_id = x join sizes t on t.doc_id = y where c >= 0.8 * (s.n + t.n - c)),
+  reach as (select doc_id as x, doc_id as y from documents union select r.x, p.y from reach r join pairs p on p.x = r.y)
+select doc_id, min(y) as class_id, (select count(*) from pairs where pairs.x = doc_id) as n_links from documents join reach on reach.x = doc_id group by doc_id""",
+}
