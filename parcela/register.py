@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from parcela.sources.html import html_page
+
 # SQL bodies for the functions whose Column forms are in parcela.functions.
 BODIES = {
     "clean_text": ("s STRING", "STRING", r"nullif(trim(regexp_replace(s, r'(?U)\s+', ' ')), '')"),
@@ -25,4 +27,5 @@ def register(spark: SparkSession) -> list[str]:
     """Makes the functions callable in this session's SQL; returns their names."""
     for name, (args, kind, body) in BODIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
-    return sorted(BODIES)
+    spark.udf.register("html_page", html_page())
+    return sorted([*BODIES, "html_page"])

@@ -106,14 +106,19 @@ def page_of(html: str | None) -> dict | None:
     return {"title": squeeze(page.texts[titles[0]["t0"] : titles[0]["t1"]]) if titles else None, "visible": squeeze(page.shown), "elements": page.rows, "texts": page.texts, "jsonld": found}
 
 
-def parse_html(html: Column) -> Column:
-    """struct PAGE, or null for a null page."""
+def html_page():
+    """The user-defined function behind parse_html(), to register for SQL."""
 
     @F.arrow_udf(PAGE)
     def html_page(batch: pa.Array) -> pa.Array:
         return pa.array([page_of(x.as_py()) for x in batch], PAGE_TYPE)
 
-    return html_page(html)
+    return html_page
+
+
+def parse_html(html: Column) -> Column:
+    """struct PAGE, or null for a null page."""
+    return html_page()(html)
 
 
 # Selectors. e is an element, els an array of them.

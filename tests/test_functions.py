@@ -125,3 +125,4 @@ def test_block_reason(spark, title, visible, html, reason):
 def test_sql_functions(spark):
     assert "parse_number" in register(spark)
     assert spark.sql("select parse_number('1.250,50'), item_id('https://h/MLA-1'), canonical_url('http://h/a?b')").first()[:] == (1250.5, "MLA1", "http://h/a")
+    assert spark.sql("select html_page('<title>a</title><p>b').title, size(html_page('<p>a<p>b').elements)").first()[:] == ("a", 2)
