@@ -105,12 +105,13 @@ class Scanner:
         spans = set()
         for t, diagonals in hits.items():
             name, template = self.templates[t]
-            last = None
+            # narrower than a short template is long, so that the next match isn't in the band of the last one
+            last, band = None, min(BAND, max(1, len(template) // 2))
             for d in sorted(set(diagonals)):
-                if last is not None and d - last <= BAND // 2:
+                if last is not None and d - last <= band // 2:
                     continue
                 last = d
-                n, a, b = align(template, tokens, d)
+                n, a, b = align(template, tokens, d, band)
                 if n >= COVERAGE * len(template):
                     spans.add((-round(n / len(template), 4), -n, a, b + 1, name))
         free, out = np.ones(len(tokens), bool), []
