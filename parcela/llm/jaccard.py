@@ -142,7 +142,7 @@ def joined(docs: DataFrame) -> DataFrame:
     chosen = sets.join(groups, "id").select("id", "comp", "weight", "first.ord", "first.tkey")
     # one text for each set, however many documents have it
     members = chosen.join(docs.select("ord", "tkey", F.col("text").alias("value")), ["ord", "tkey"]).dropDuplicates(["ord", "tkey"]).select("id", "comp", "weight", "value")
-    found = materialize(cells(members).mapInArrow(by_cell(linked), LINKS), "links")
+    found = materialize(cells(members, groups).mapInArrow(by_cell(linked), LINKS), "links")
     links = found.filter("links is not null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comps = components(found.filter("b is not null").select("a", "b"))
     sets = sets.join(links, "id", "left").join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "first")

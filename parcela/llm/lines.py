@@ -21,11 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import documents, materialize, mixed, order_id, text_key
+from parcela.llm.common import documents, gram_hashes, materialize, mixed, order_id, text_key
 from parcela.llm.neardup import BANDS, Forest, band_keys, band_rows, bucket_edges, by_cell, cells, components, jaccard
 
 SHINGLE, THRESHOLD, N_BANDS, ROWS = 9, 0.8, 12, 4
-CHUNK_CHARS = 1_000_000
+#: Characters hashed at once; the arrays then fit a core's cache.
+CHUNK_CHARS = 100_000
 #: Cells of at most so many lines need no signatures.
 FEW = 12
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -44,15 +45,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all lines, and the line of each."""
     size = np.array([len(x) for x in lines], np.int64)
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    line = np.repeat(np.arange(len(lines)), size)
     end = np.cumsum(size)
-    out, base = np.zeros(len(chars), np.uint64), np.uint64(0x9E3779B97F4A7C15)
-    for i in range(SHINGLE):
-        out[: len(chars) - i] = out[: len(chars) - i] * base + chars[i:]
-    whole = np.arange(len(chars)) + SHINGLE <= end[line]
+    # a run of characters that begins in the last ones of a line would go on in the next
+    whole = np.ones(len(chars), bool)
+    whole[np.maximum(end[:, None] - np.arange(1, SHINGLE), (end - size)[:, None]).ravel()] = False
     short = np.flatnonzero(size < SHINGLE)
     ids = np.array([line_id(lines[i]) for i in short], np.uint64)
-    return np.r_[mixed(out[whole]), ids], np.r_[line[whole], short]
+    runs = gram_hashes(chars, SHINGLE)
+    return np.r_[runs[whole[: len(runs)]], ids], np.r_[np.repeat(np.arange(len(lines)), np.maximum(size - SHINGLE + 1, 0)), short]
 
 
 def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -112,7 +112,8 @@ def few_verified(texts: list[str], ids: np.ndarray, side: np.ndarray, alone: boo
     forest, out = Forest(len(texts)), []
     for i, a in enumerate(sets):
         for j in range(i + 1, len(sets)):
-            if (alone or side[i] != side[j]) and forest.root(i) != forest.root(j) and jaccard(a, sets[j]) >= THRESHOLD:
+            small, large = sorted((len(a), len(sets[j])))
+            if small >= THRESHOLD * large and (alone or side[i] != side[j]) and forest.root(i) != forest.root(j) and jaccard(a, sets[j]) >= THRESHOLD:
                 forest.join(i, j)
                 out.append((ids[i], ids[j]))
     pairs = np.array(out, np.int64).reshape(-1, 2)
@@ -148,7 +149,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     groups = components(bucket_edges(docs.select("text").mapInArrow(bands, BANDS)))
     texts = docs.select("text").mapInArrow(line_texts, "id long, value string")
     members = texts.join(groups, "id").groupBy("id", "comp").agg(F.min("value").alias("value"))
-    return components(cells(members).mapInArrow(by_cell(verified), "a long, b long"))
+    return components(cells(members, groups).mapInArrow(by_cell(verified), "a long, b long"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

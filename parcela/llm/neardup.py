@@ -48,10 +48,10 @@ def band_rows(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
 
 
 def bucket_edges(bands: DataFrame) -> DataFrame:
-    """a < b: each member of a bucket with the bucket's first."""
+    """a < b: each member of a bucket with the bucket's first; one pair may come from several buckets."""
     first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
     linked = bands.withColumn("head", F.coalesce("lead", first)).filter("head <> id")
-    return linked.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    return linked.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
 
 def is_settled(edges: DataFrame) -> bool:
@@ -77,11 +77,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
 
 
-def cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """members (id, comp and more) with cell and side: a row for each cell that its block takes part in,
-    and the rows of a cell together, in order of side and id."""
-    sizes = members.groupBy("comp").count()
-    out = members.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+def cells(members: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """members (id, comp and more; a row for each of groups: id, comp) with cell and side: a row for each cell
+    that its block takes part in, and the rows of a cell together, in order of side and id. Only groups of more
+    than a block are written, counted without what members carry; where they are few enough, Spark broadcasts them."""
+    large = materialize(groups.groupBy("comp").count().filter(F.col("count") > block), "large-groups")
+    out = members.join(large, "comp", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
     out = out.withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.withColumn("cell", F.xxhash64("comp", F.least("side", "other"), F.greatest("side", "other")))
