@@ -148,7 +148,8 @@ def line_components(docs: DataFrame) -> DataFrame:
     """id, comp of the lines that are similar to another one. docs: text."""
     groups = components(bucket_edges(docs.select("text").mapInArrow(bands, BANDS)))
     texts = docs.select("text").mapInArrow(line_texts, "id long, value string")
-    members = texts.join(groups, "id").groupBy("id", "comp").agg(F.min("value").alias("value"))
+    # groups have one narrow row an id: hashed, they spare sorting the texts
+    members = texts.join(groups.hint("shuffle_hash"), "id").groupBy("id", "comp").agg(F.min("value").alias("value"))
     return components(cells(members, groups).mapInArrow(by_cell(verified), "a long, b long"))
 
 
@@ -156,10 +157,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """ord, tkey, n_lines, removed (line numbers, from 0) of every document with lines."""
     groups = line_components(docs)
     found = docs.select("ord", "tkey", "text").mapInArrow(places, "id long, ord long, tkey long, line int")
-    found = found.join(groups, "id", "left").select(F.coalesce("comp", "id").alias("comp"), "ord", "tkey", "line")
+    found = found.join(groups.hint("shuffle_hash"), "id", "left").select(F.coalesce("comp", "id").alias("comp"), "ord", "tkey", "line")
     # written, so that the join below reads two plain shuffles, of which Spark can split a hot component's rows
     first = materialize(found.groupBy("comp").agg(F.min(F.struct("ord", "line", "tkey")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-    found = found.join(first, "comp", "left").withColumn("again", F.coalesce(F.struct("ord", "line", "tkey") != F.col("first"), F.lit(False)))
+    found = found.join(first.hint("shuffle_hash"), "comp", "left").withColumn("again", F.coalesce(F.struct("ord", "line", "tkey") != F.col("first"), F.lit(False)))
     return found.groupBy("ord", "tkey").agg(F.count_distinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("again"), F.col("line")))).alias("removed"))
 
 

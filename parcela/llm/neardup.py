@@ -63,15 +63,16 @@ def is_settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the least id) of every id in edges (a, b), by large and small stars in turn until only stars
     are left. Each step is written to the shared folder. A node's least neighbour is pre-aggregated; written, it
-    meets the edges in a join of two plain shuffles, of which Spark splits a node with very many edges."""
+    meets the edges in a join of two plain shuffles, of which Spark splits a node with very many edges. A node's
+    one narrow row is the side to hash, so edges needn't be sorted."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while not is_settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("shuffle_hash"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("shuffle_hash"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
