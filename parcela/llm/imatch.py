@@ -9,10 +9,12 @@ A document's terms in the lexicon, distinct and in order, are hashed once for ea
 subsets of the lexicon. A subset holds one term in 2 ** level; a document takes the levels at which a quarter
 of a term to two terms of its own are expected in a subset, so that a text of any length keeps some hashes when
 part of it changes. The likeness of two fingerprints is the share of equal hashes, where either has a term,
-at the level where it is greatest.
+at the level where it is greatest. Sets of which one has 8 or more times the terms of the other may share no
+level; their likeness is the share of subsets in whose order both have the same term first.
 
-A document without terms in the lexicon is hashed over all its terms; one without words (or a null text) has
-an empty fingerprint. Equal texts have equal fingerprints, and likeness 1. Rows with equal doc_id follow each
+All terms of a document are hashed in the same way beside. Two fingerprints are compared on these where the
+lexicon has less than THIN of either's terms, as it has of texts with so many copies that their terms pass HIGH.
+A document without words (or a null text) has an empty fingerprint. Equal texts have equal fingerprints, and likeness 1. Rows with equal doc_id follow each
 other in order of a hash of their text; null doc_ids come first in descending order.
 """
 
@@ -30,9 +32,14 @@ from parcela.llm.common import WordHashes, documents, materialize, mixed, order_
 
 LOW, HIGH, MAX_LEXICON = 1 / 4000, 0.10, 1_000_000
 SUBSETS, LEVELS = 64, 3
+#: A text with a smaller share of its terms in the lexicon is compared on all terms.
+THIN = 0.25
 MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_"
 SEEDS = mixed(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
+#: Hashes as text; the last is that of a subset without a term.
+HEX, NO_TERM = np.array([*(b"%04x" % i for i in range(1 << 16)), b"----"]), 1 << 16
+
 
 class TermHashes(WordHashes):
     def of(self, text: str | None) -> np.ndarray:
@@ -61,39 +68,66 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = M
     return np.sort(rows["term"].to_numpy().view(np.uint64))
 
 
+class Terms:
+    """The hashes of a set of terms, one row of SUBSETS each. rows: {level: (hashes, whether the subset has a term)};
+    least: of each subset's order, the hash of the first term, which sets of any size have."""
+
+    def __init__(self, h: np.ndarray):
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.least = mixed(h.min(axis=0)) >> np.uint64(48) if len(h) else np.empty(0, np.uint64)
+        low = max(0, len(h).bit_length() - 1)
+        flat = h.ravel()
+        at = np.flatnonzero(flat < np.uint64(1 << 64 - low)) if low else np.arange(len(flat))
+        picked, place = flat[at], at % SUBSETS
+        deep = mixed(picked)
+        for level in range(low, low + LEVELS) if len(h) else ():
+            if level > low:
+                inside = picked < np.uint64(1 << 64 - level)
+                picked, place, deep = picked[inside], place[inside], deep[inside]
+            # a sum over distinct terms doesn't depend on their order, as a hash of the sorted terms doesn't
+            total = np.zeros(SUBSETS, np.uint64)
+            np.add.at(total, place, deep)
+            self.rows[level] = (total >> np.uint64(48), np.bincount(place, minlength=SUBSETS) > 0)
+
+    def __str__(self) -> str:
+        rows = {str(level): np.where(has, h, np.uint64(NO_TERM)) for level, (h, has) in self.rows.items()} | {"least": self.least}
+        return ";".join(f"{k}:{HEX[x].tobytes().decode()}" for k, x in rows.items())
+
+    def likeness(self, other: Terms) -> float:
+        """Both have terms."""
+        shared = self.rows.keys() & other.rows.keys()
+        if not shared:
+            return float((self.least == other.least).mean())
+        best = 0.0
+        for level in shared:
+            (h, has), (g, got) = self.rows[level], other.rows[level]
+            either = has | got
+            if either.any():
+                best = max(best, float((has & got & (h == g)).sum() / either.sum()))
+        return best
+
+
 class Fingerprint:
-    """levels: {level: (hashes, whether the subset has a term)}"""
+    """kind: b where the lexicon has enough of the terms, a where it has few or none, e without terms."""
 
     def __init__(self, terms: np.ndarray, words: np.ndarray):
         at = np.minimum(np.searchsorted(words, terms), max(len(words) - 1, 0))
-        own = terms[words[at] == terms] if len(words) else terms[:0]
-        self.kind = "b" if len(own) else "a" if len(terms) else "e"
-        own = own if len(own) else terms
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        if len(own):
-            low = max(0, int(np.floor(np.log2(len(own)))))
-            h = mixed(own[:, None] ^ SEEDS)
-            deep = mixed(h)
-            for level in range(low, low + LEVELS):
-                inside = (h >> np.uint64(64 - level)) == 0 if level else np.ones(h.shape, bool)
-                # a sum over distinct terms doesn't depend on their order, as a hash of the sorted terms doesn't
-                self.levels[level] = (np.where(inside, deep, np.uint64(0)).sum(axis=0, dtype=np.uint64) >> np.uint64(48), inside.any(axis=0))
+        inside = words[at] == terms if len(words) else np.zeros(len(terms), bool)
+        h = mixed(terms[:, None] ^ SEEDS)
+        self.whole, self.own = Terms(h), Terms(h[inside])
+        self.kind = "e" if not len(terms) else "b" if inside.sum() >= THIN * len(terms) else "a"
+        self.text = f"{self.kind};{self.own};all;{self.whole}" if len(terms) else "e"
 
     def __str__(self) -> str:
-        return self.kind + "".join(f";{level}:" + "".join(f"{int(x):04x}" if y else "----" for x, y in zip(h, has, strict=True)) for level, (h, has) in self.levels.items())
+        return self.text
 
     def likeness(self, other: Fingerprint) -> float:
-        if self.kind != other.kind:
-            return 0.0
-        if self.kind == "e":
+        """By the terms in the lexicon, or by all where the lexicon has too few of either text's to judge by."""
+        if self.text == other.text:
             return 1.0
-        best = 0.0
-        for level in self.levels.keys() & other.levels.keys():
-            (h, has), (g, got) = self.levels[level], other.levels[level]
-            either = has | got
-            if either.any():
-                best = max(best, float((has & got & (h == g)).sum() / either.sum()))
-        return 1.0 if str(self) == str(other) else best
+        if "e" in (self.kind, other.kind):
+            return 0.0
+        return self.own.likeness(other.own) if self.kind == other.kind == "b" else self.whole.likeness(other.whole)
 
 
 def edited(text: str, after: str) -> str:

@@ -1,6 +1,7 @@
 """The ten operators against plain statements, on the small tables and on edge cases."""
 
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 from parcela.llm import bpe, classifier, imatch, licenses, mixing, neardup, quality, substrings, urls
 from parcela.llm.queries import QUERIES
 from tests.llm import brute
+from tests.llm.conftest import prose, write
 
 OPS = [*QUERIES]
 
@@ -98,6 +100,27 @@ def test_fingerprints(spark, sf_dir):
     assert imatch.edited("abcdefg", "x") == "abcdex"
 
 
+def test_fingerprints_of_copies(spark, tmp_path):
+    rng = random.Random(3)
+    copied = prose(rng, 90)
+    rows = [(i, copied if i % 3 == 0 else " ".join(f"w{rng.randrange(2000)}" for _ in range(90)), "s") for i in range(300)]
+    got = {r.doc_id: r for r in run(spark, 4, write(spark, rows, tmp_path))}
+    # a third of the rows are copies, none of whose terms can be in the lexicon; their edited texts have some that are
+    assert all(got[i].near_edited > 0.25 for i in range(0, 300, 3))
+    assert all(got[i].near_next < 0.2 for i in range(300))
+
+
+def test_fingerprints_of_any_two_texts_compare():
+    of = lambda text: imatch.TermHashes().of(text)
+    text, lexicon_terms = " ".join(f"w{i}" for i in range(60)), of("rare " + " ".join(f"x{i}" for i in range(640)))
+    print_ = lambda text: imatch.Fingerprint(of(text), lexicon_terms)
+    assert print_(text).likeness(print_(text + " rare")) > 0.8  # a near copy with one rare word
+    assert print_("").likeness(print_(text)) == 0 and print_("").likeness(print_(None)) == 1
+    # eight times the terms: no level is shared
+    few, many = (print_(" ".join(f"x{i}" for i in range(n))) for n in (80, 640))
+    assert not few.own.rows.keys() & many.own.rows.keys() and 0.02 < few.likeness(many) < 0.3
+
+
 def test_quality(spark, sf_dir, edge):
     for path in (sf_dir, edge[1]):
         got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in run(spark, 5, path))
