@@ -32,7 +32,7 @@ def host(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """What follows the host, up to ? # or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)?", 1)
 
 
 def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

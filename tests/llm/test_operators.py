@@ -185,6 +185,14 @@ def test_urls(spark, edge):
         assert r.verdict == rules[fit] if fit else r.verdict == ("block" if r.p_unwanted >= 0.5 else "allow")
 
 
+def test_url_path_is_that_of_the_first_host(spark):
+    found = ["http://example.com?u=http://b.com/en/x", "http://example.com#http://b.com/en/x", "http://example.com?u=a://b.com/de/", "http://example.com/en/?u=http://b.com/de/x", "http://://b.com/en/x", "http://example.com"]
+    rows = spark.createDataFrame([(u,) for u in found], "url string")
+    for r in rows.select("url", urls.host(rows.url).alias("host"), urls.path(rows.url).alias("path"), urls.rule(urls.host(rows.url), urls.path(rows.url))[0].alias("rule")).collect():
+        assert (r.host, r.path) == brute.url_parts(r.url)
+        assert r.rule == ("example.com/en/" if r.url.startswith("http://example.com/en/") else None)
+
+
 def test_url_model_on_held_out_words(spark):
     table = urls.labelled_urls(spark)
     held = table.filter("url like '%wiki%' or url like '%museum%' or url like '%pills%' or url like '%casino%'")
