@@ -152,6 +152,12 @@ def fold_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.left(text.normalize_key(F.left("text", F.lit(200))), F.lit(60)).alias("key"), text.flag(F.contains(folded, F.lit("sum"))).alias("has_sum"), text.flag(F.contains(folded, F.lit("cion"))).alias("has_cion"))
 
 
+@query("""select doc_id, md5(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as key_md5 from documents""")
+def fold_key_whole(spark, sf_dir):
+    """A digest of the key of the whole text, of which fold_key shows the beginning."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_key("text").cast("binary")).alias("key_md5"))
+
+
 BOOLS = ("Sí", "no", "TRUE", "sin", "No apto", "quizás", "1", "0", "Incluido", "")
 
 
