@@ -27,23 +27,38 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Folders of sessions on one machine that name no shared folder, by application.
+OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, spark.checkpoint.dir. Only where driver and executors are one process
+    a temporary folder serves instead."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or OWN_DIRS.get(context.applicationId)
     if not found:
-        found = tempfile.mkdtemp(prefix="parcela-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", found)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="parcela-")
     return found
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there, and a lost
-    executor takes nothing with it. The tables stay until the shared folder is emptied."""
+    executor takes nothing with it. The table stays until discard() or until the shared folder is emptied."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() from which the next step was written: nothing will read them again."""
+    for files in filter(None, (t.inputFiles() for t in tables)):
+        session = tables[0].sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def order_id(doc_id: Column) -> Column:
     """doc_id as the place in the order of documents."""
     return F.coalesce(doc_id.cast("long"), F.lit(LAST_ID))
