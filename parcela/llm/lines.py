@@ -7,13 +7,14 @@ empty bins borrowing from the next one; bands of ROWS values find candidates (at
 and union-find joins verified and equal lines. Of a component the first line stays: least doc_id, then
 least line number.
 
-A null text has no lines. A null doc_id orders last. Rows equal in doc_id and text are one document.
-Equal lines are one thing from the start, so ties and thousands of copies cost a row each.
+A null text has no lines. A null doc_id orders last. Rows equal in doc_id and text are one document; an empty
+table gives an empty result. Equal lines are one thing from the start, so ties and thousands of copies cost a row each.
+Only doc_id and text are read; a stage's other columns are carried, those whose names begin with _ln_ apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.llm.common import documents, gram_hashes, materialize, mixed, order_id, text_key
-from parcela.llm.neardup import BANDS, Forest, band_keys, band_rows, bucket_edges, by_cell, cells, components, jaccard
+from parcela.llm.neardup import BANDS, Bands, Forest, Pairs, band_keys, bucket_edges, by_cell, cells, components, jaccard
 
 SHINGLE, THRESHOLD, N_BANDS, ROWS = 9, 0.8, 12, 4
 #: Characters hashed at once; the arrays then fit a core's cache.
 CHUNK_CHARS = 100_000
-#: Cells of at most so many lines need no signatures.
-FEW = 12
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -37,8 +36,10 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\n\x0b\f\r")]
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+def line_ids(line: str) -> tuple[int, int]:
+    """128 bits of hash: by the first 64 lines are compared, by all of them they are told apart."""
+    whole = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+    return whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.ones(len(chars), bool)
     whole[np.maximum(end[:, None] - np.arange(1, SHINGLE), (end - size)[:, None]).ravel()] = False
     short = np.flatnonzero(size < SHINGLE)
-    ids = np.array([line_id(lines[i]) for i in short], np.uint64)
+    ids = np.array([line_ids(lines[i])[0] for i in short], np.uint64)
     runs = gram_hashes(chars, SHINGLE)
     return np.r_[runs[whole[: len(runs)]], ids], np.r_[np.repeat(np.arange(len(lines)), np.maximum(size - SHINGLE + 1, 0)), short]
 
@@ -69,98 +70,102 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndar
     return np.where(empty, mixed(borrowed + far * np.uint64(0xD6E8FEB86659FD93)), out)
 
 
-def line_signatures(lines: list[str]) -> np.ndarray:
-    return signatures(*shingle_hashes(lines), len(lines), N_BANDS * ROWS)
+def line_keys(lines: list[str]) -> np.ndarray:
+    """The band keys of lines, so many at once as fit the cache."""
+    keys, part, size = [np.empty((0, N_BANDS), np.uint64)], [], 0
+    for i, x in enumerate(lines):
+        part.append(x)
+        size += len(x)
+        if size >= CHUNK_CHARS or i == len(lines) - 1:
+            keys.append(band_keys(signatures(*shingle_hashes(part), len(part), N_BANDS * ROWS), ROWS))
+            part, size = [], 0
+    return np.concatenate(keys)
 
 
-def distinct_lines(texts: pa.Array) -> dict[int, str]:
-    return {line_id(x): x for t in texts for _, x in lines_of(t.as_py())}
+def distinct_lines(texts: pa.Array) -> dict[tuple[int, int], str]:
+    return {line_ids(x): x for t in texts for _, x in lines_of(t.as_py())}
+
+
+def longs(values: Sequence[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, ord, tkey, line of every line."""
+    """id, id2, ord, tkey, line of every line."""
     for batch in batches:
         found = [lines_of(t.as_py()) for t in batch["text"]]
         each = [len(x) for x in found]
-        ids = np.array([line_id(x) for ls in found for _, x in ls], np.uint64)
+        ids = [line_ids(x) for ls in found for _, x in ls]
         at = np.array([i for ls in found for i, _ in ls], np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), *(pa.array(np.repeat(batch[c].to_numpy(), each)) for c in ("ord", "tkey")), pa.array(at)], names=["id", "ord", "tkey", "line"])
+        yield pa.RecordBatch.from_arrays([longs([a for a, _ in ids]), longs([b for _, b in ids]), *(pa.array(np.repeat(batch[c].to_numpy(), each)) for c in ("ord", "tkey")), pa.array(at)], names=["id", "id2", "ord", "tkey", "line"])
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = Bands(N_BANDS)
     for batch in batches:
-        own = distinct_lines(batch["text"])
-        texts, keys, part, size = [*own.values()], [], [], 0
-        for i, x in enumerate(texts):
-            part.append(x)
-            size += len(x)
-            if size >= CHUNK_CHARS or i == len(texts) - 1:
-                keys.append(band_keys(line_signatures(part), ROWS))
-                part, size = [], 0
-        yield band_rows(np.array([*own], np.uint64), np.concatenate([np.empty((0, N_BANDS), np.uint64), *keys]))
+        own = {i: x for (i, _), x in distinct_lines(batch["text"]).items() if i not in found.seen}
+        yield from found.add([*own], line_keys([*own.values()]))
+    yield from found.flush()
 
 
 def line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, id2, value of the lines of each batch."""
     for batch in batches:
         own = distinct_lines(batch["text"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([*own], np.uint64).view(np.int64)), pa.array([*own.values()], pa.string())], names=["id", "value"])
+        yield pa.RecordBatch.from_arrays([longs([a for a, _ in own]), longs([b for _, b in own]), pa.array([*own.values()], pa.string())], names=["id", "id2", "value"])
 
 
-def few_verified(texts: list[str], ids: np.ndarray, side: np.ndarray, alone: bool) -> pa.RecordBatch | None:
-    """The same for a few lines, all pairs of which are looked at without signatures."""
-    sets = [frozenset([x[i : i + SHINGLE] for i in range(len(x) - SHINGLE + 1)] or [x]) for x in texts]
-    forest, out = Forest(len(texts)), []
-    for i, a in enumerate(sets):
-        for j in range(i + 1, len(sets)):
-            small, large = sorted((len(a), len(sets[j])))
-            if small >= THRESHOLD * large and (alone or side[i] != side[j]) and forest.root(i) != forest.root(j) and jaccard(a, sets[j]) >= THRESHOLD:
-                forest.join(i, j)
-                out.append((ids[i], ids[j]))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]) if out else None
+def member_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, key of lines (id, value)."""
+    for batch in batches:
+        keys = line_keys(batch["value"].to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["id"].to_numpy(), N_BANDS)), pa.array(keys.ravel().view(np.int64))], names=["id", "key"])
+
+
+EDGES = "a long, a2 long, b long, b2 long"
 
 
 def verified(cell: pa.Table) -> pa.RecordBatch | None:
-    """a, b: enough pairs of the cell that are similar to connect all that are. Pairs that no band joins,
-    or that are connected already, aren't looked at."""
-    texts, ids, side, alone = cell["value"].to_pylist(), cell["id"].to_numpy(), cell["side"].to_numpy(), cell["alone"][0].as_py()
+    """EDGES: enough pairs of the cell that share a bucket and are similar to connect all that are."""
+    texts, ids, more = cell["value"].to_pylist(), cell["id"].to_numpy(), cell["id2"].to_numpy()
     if len(texts) < 2:
         return None
-    if len(texts) <= FEW:
-        return few_verified(texts, ids, side, alone)
     hashes, owner = shingle_hashes(texts)
-    keys = band_keys(signatures(hashes, owner, len(texts), N_BANDS * ROWS), ROWS)
+    pairs = Pairs(cell, band_keys(signatures(hashes, owner, len(texts), N_BANDS * ROWS), ROWS))
     order = np.argsort(owner, kind="stable")
     sets = [frozenset(x.tolist()) for x in np.split(hashes[order], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])]
     forest, out = Forest(len(texts)), []
     for i in range(len(texts) - 1):
-        near = (keys[i + 1 :] == keys[i]).any(axis=1) & (alone | (side[i + 1 :] != side[i]))
-        for j in np.flatnonzero(near) + i + 1:
+        for j in pairs.of(i):
             small, large = sorted((len(sets[i]), len(sets[j])))
             if small >= THRESHOLD * large and forest.root(i) != forest.root(j) and jaccard(sets[i], sets[j]) >= THRESHOLD:
                 forest.join(i, j)
-                out.append((ids[i], ids[j]))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]) if out else None
+                out.append((ids[i], more[i], ids[j], more[j]))
+    found = np.array(out, np.int64).reshape(-1, 4)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], names=["a", "a2", "b", "b2"]) if out else None
 
 
 def line_components(docs: DataFrame) -> DataFrame:
-    """id, comp of the lines that are similar to another one. docs: text."""
+    """id, id2, comp of the lines that are similar to another one. docs: text."""
     groups = components(bucket_edges(docs.select("text").mapInArrow(bands, BANDS)))
-    texts = docs.select("text").mapInArrow(line_texts, "id long, value string")
+    texts = docs.select("text").mapInArrow(line_texts, "id long, id2 long, value string")
     # groups have one narrow row an id: hashed, they spare sorting the texts
-    members = texts.join(groups.hint("shuffle_hash"), "id").groupBy("id", "comp").agg(F.min("value").alias("value"))
-    return components(cells(members, groups).mapInArrow(by_cell(verified), "a long, b long"))
+    members = texts.join(groups.hint("shuffle_hash"), "id").groupBy("id", "id2", "comp").agg(F.min("value").alias("value"))
+    edges = materialize(cells(members, groups, member_keys).mapInArrow(by_cell(verified), EDGES), "similar")
+    ids = edges.select(F.col("a").alias("id"), F.col("a2").alias("id2")).union(edges.select("b", "b2")).distinct()
+    return components(edges.select("a", "b")).join(ids, "id")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """ord, tkey, n_lines, removed (line numbers, from 0) of every document with lines."""
     groups = line_components(docs)
-    found = docs.select("ord", "tkey", "text").mapInArrow(places, "id long, ord long, tkey long, line int")
-    found = found.join(groups.hint("shuffle_hash"), "id", "left").select(F.coalesce("comp", "id").alias("comp"), "ord", "tkey", "line")
+    found = docs.select("ord", "tkey", "text").mapInArrow(places, "id long, id2 long, ord long, tkey long, line int")
+    found = found.join(groups.hint("shuffle_hash"), ["id", "id2"], "left")
+    # a line that is like no other is its own component, known by all its bits
+    found = found.select(F.coalesce("comp", "id").alias("comp"), F.when(F.col("comp").isNull(), F.col("id2")).otherwise(0).alias("comp2"), "ord", "tkey", "line")
     # written, so that the join below reads two plain shuffles, of which Spark can split a hot component's rows
-    first = materialize(found.groupBy("comp").agg(F.min(F.struct("ord", "line", "tkey")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-    found = found.join(first.hint("shuffle_hash"), "comp", "left").withColumn("again", F.coalesce(F.struct("ord", "line", "tkey") != F.col("first"), F.lit(False)))
+    first = materialize(found.groupBy("comp", "comp2").agg(F.min(F.struct("ord", "line", "tkey")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
+    found = found.join(first.hint("shuffle_hash"), ["comp", "comp2"], "left").withColumn("again", F.coalesce(F.struct("ord", "line", "tkey") != F.col("first"), F.lit(False)))
     return found.groupBy("ord", "tkey").agg(F.count_distinct("line").alias("n_lines"), F.sort_array(F.collect_set(F.when(F.col("again"), F.col("line")))).alias("removed"))
 
 

@@ -1,10 +1,17 @@
 """What near-duplicate operators share: banding, distributed union-find, and cells of candidates to verify.
 
 Things to compare have a 64-bit id, a hash of their content, so equal things are one. A band's key joins
-things whose MinHash values agree in a whole band. No pairs are emitted: a bucket links its members to its
-first one, and buckets that share a member join into a group of candidates. A group is cut into blocks of
-at most about BLOCK members, and each pair of blocks, a cell, is one unit of work, so that every pair of a
-group meets in exactly one cell while no task holds a group that grows with the input.
+things whose MinHash values agree in a whole band: they share a bucket. No pairs are emitted: a bucket links its
+members to its first one, and buckets that share a member join into a group of candidates. One rule decides which
+pairs are looked at, whatever the size of a group: those that share a bucket.
+
+A cell is one unit of work, and cells() deals the members out so that each such pair meets in one cell that answers for it:
+
+* a group of at most BLOCK members is a cell;
+* of a larger group each bucket of at most BLOCK members is a cell, so groups that chains of buckets make large cost as
+  much as their buckets do;
+* larger buckets are joined into groups again, on which blocks of about BLOCK members are formed; two blocks are a cell.
+  These are groups of thousands of things alike in a whole band, in most of which all pairs have to be looked at anyway.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import materialize, mixed
+from parcela.llm.common import discard, materialize, mixed
 
 BANDS = "key long, id long, lead long"
 BLOCK = 512
@@ -47,6 +54,29 @@ def band_rows(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out_key.view(np.int64)), pa.array(out_id.view(np.int64)), lead], names=["key", "id", "lead"])
 
 
+class Bands:
+    """What a task has found so far, handed on FLUSH things at a time: so a key has a row for each FLUSH things of a
+    task at most, and a task holds no more than that."""
+
+    FLUSH = 200_000
+
+    def __init__(self, width: int):
+        self.width, self.seen, self.ids, self.keys = width, set(), [], []
+
+    def add(self, ids: list[int], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """ids that aren't in seen."""
+        self.seen.update(ids)
+        self.ids.append(np.array(ids, np.uint64))
+        self.keys.append(keys)
+        if len(self.seen) >= self.FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.seen:
+            yield band_rows(np.concatenate(self.ids), np.concatenate(self.keys))
+        self.seen, self.ids, self.keys = set(), [], []
+
+
 def bucket_edges(bands: DataFrame) -> DataFrame:
     """a < b: each member of a bucket with the bucket's first; one pair may come from several buckets."""
     first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
@@ -62,35 +92,85 @@ def is_settled(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """id, comp (the least id) of every id in edges (a, b), by large and small stars in turn until only stars
-    are left. Each step is written to the shared folder. A node's least neighbour is pre-aggregated; written, it
-    meets the edges in a join of two plain shuffles, of which Spark splits a node with very many edges. A node's
-    one narrow row is the side to hash, so edges needn't be sorted."""
+    are left. Each step is written to the shared folder, and the tables of the step before are deleted. A node's least
+    neighbour is pre-aggregated; written, it meets the edges in a join of two plain shuffles, of which Spark splits a
+    node with very many edges. A node's one narrow row is the side to hash, so edges needn't be sorted."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while not is_settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least.hint("shuffle_hash"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
+        discard(now, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least.hint("shuffle_hash"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(large, least)
     roots = now.select(F.col("v").alias("id")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots.select("id", F.col("id").alias("comp")))
 
 
-def cells(members: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
-    """members (id, comp and more; a row for each of groups: id, comp) with cell and side: a row for each cell
-    that its block takes part in, and the rows of a cell together, in order of side and id. Only groups of more
-    than a block are written, counted without what members carry; where they are few enough, Spark broadcasts them."""
-    large = materialize(groups.groupBy("comp").count().filter(F.col("count") > block), "large-groups")
-    out = members.join(large, "comp", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
+def blocks(members: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """members (comp, id and more) with cell, side and alone: a row for each two blocks of a group that the member's is
+    one of. groups: comp, count."""
+    out = members.join(groups, "comp").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     out = out.withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.withColumn("cell", F.xxhash64("comp", F.least("side", "other"), F.greatest("side", "other")))
-    out = out.withColumn("alone", F.col("side") == F.col("other")).drop("count", "blocks", "other")
+    return out.withColumn("alone", F.col("side") == F.col("other")).drop("count", "blocks", "other", "comp")
+
+
+#: What cells() adds to members. key: the bucket that the cell is; heavy: the member's buckets that are too large to be cells.
+CELL = "cell long, side int, alone boolean, key long, heavy array<long>"
+
+
+def cells(members: DataFrame, groups: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int | None = None) -> DataFrame:
+    """members (id, comp and more; a row for each of groups: id, comp) with CELL: a row for each cell that it takes
+    part in, and the rows of a cell together, in order of side and id. keys_of: members to rows of id, key, all of its
+    buckets; asked only for groups of more than a block."""
+    block = block or BLOCK
+    none = {"key": F.lit(None).cast("long"), "heavy": F.lit(None).cast("array<long>")}
+    large = materialize(groups.groupBy("comp").count().filter(F.col("count") > block).select("comp"), "large-groups")
+    few = members if (no_large := large.isEmpty()) else members.join(large, "comp", "left_anti")
+    out = few.withColumns({"cell": F.xxhash64("comp"), "side": F.lit(0), "alone": F.lit(True), **none}).drop("comp")
+    if not no_large:
+        many = members.join(large, "comp").drop("comp")
+        keys = materialize(many.mapInArrow(keys_of, "id long, key long"), "keys")
+        counts = materialize(keys.groupBy("key").count().filter("count > 1"), "buckets")
+        heavy = keys.join(counts.filter(F.col("count") > block).select("key"), "key")
+        heads = heavy.groupBy("key").agg(F.min("id").alias("head"))
+        joined = materialize(components(heavy.join(heads, "key").select(F.col("head").alias("a"), F.col("id").alias("b"))), "heavy-groups")
+        own = materialize(heavy.groupBy("id").agg(F.collect_set("key").alias("heavy")), "heavy-keys")
+        many = many.join(own, "id", "left")
+        light = many.join(keys.join(counts.filter(F.col("count") <= block).select("key"), "key"), "id")
+        light = light.withColumns({"cell": F.xxhash64("key"), "side": F.lit(0), "alone": F.lit(True)})
+        dense = blocks(many.join(joined, "id"), joined.groupBy("comp").count(), block).withColumn("key", none["key"])
+        out = out.unionByName(light).unionByName(dense)
     return out.repartition("cell").sortWithinPartitions("cell", "side", "id")
 
 
+class Pairs:
+    """Which pairs of a cell's members it answers for. keys: a row of band keys for each member."""
+
+    def __init__(self, cell: pa.Table, keys: np.ndarray):
+        self.keys, self.side, self.alone, self.key = keys, cell["side"].to_numpy(), cell["alone"][0].as_py(), cell["key"][0].as_py()
+        self.heavy = None
+        if any(h.is_valid for h in cell["heavy"]):
+            self.heavy = np.array([np.isin(row, np.array(h.as_py() or [], np.int64).view(np.uint64)) for row, h in zip(keys, cell["heavy"], strict=True)])
+
+    def of(self, i: int) -> np.ndarray:
+        """The members after i that share a bucket with it for which this cell answers."""
+        common = self.keys[i + 1 :] == self.keys[i]
+        near = common.any(axis=1)
+        dense = (common & self.heavy[i]).any(axis=1) if self.heavy is not None else np.zeros(len(near), bool)
+        if self.key is not None:
+            # the first bucket that two members share answers for them, unless they share a heavy one
+            near &= ~dense & (self.keys[i][common.argmax(axis=1)] == np.int64(self.key).view(np.uint64))
+        elif self.heavy is not None:
+            near = dense & (self.alone | (self.side[i + 1 :] != self.side[i]))
+        return np.flatnonzero(near) + i + 1
+
+
 def by_cell(work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Calls work with all rows of each cell; a cell may go on in the next batch."""
 
