@@ -14,8 +14,10 @@ theirs, so they travel together, and a window can only repeat if its minimizer d
 
 Every window is judged on the input, by 128 bits of hash: the minimizer's and the edge's own.
 
-A minimizer with more than HOT occurrences isn't taken as a group: its edges are dealt out one by one, each
-task first settling those that repeat within it. So no group grows with the input.
+The runs of a minimizer with more than HOT occurrences aren't gathered. Runs of equal edges are one run with many
+places (hot_runs()); of each run and then of each edge the earliest place is found by aggregations that combine before
+they shuffle, and joins bring it back to the runs and their places (hot_segments()). The sources are the same as in 3.,
+the earliest places of all, so HOT changes no result; and no task holds a group that grows with the input.
 
 A null text has no words and nothing removed; nor does one of fewer than WINDOW words. A null doc_id orders
 last. Rows with equal doc_id and text are one document and get the same result; rows with equal doc_id and
@@ -30,14 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import SPACE, WordHashes, documents, gram_hashes, materialize, n_words, order_id, text_key
+from parcela.llm.common import SPACE, WordHashes, discard, documents, gram_hashes, materialize, n_words, order_id, text_key
 
 WINDOW, GRAM, HOT = 20, 8, 4096
 ANCHORS = "m long, ord long, tkey long, n int"
-WINDOWS = "key long, m long, ord long, tkey long, start int, n int, edges array<long>, src_ord long, src_tkey long, src_start int"
+WINDOWS = "m long, ord long, tkey long, start int, edges array<long>"
+RUNS = "m long, run long, run2 long, ord long, tkey long, start int, edges array<long>"
 SEGMENTS = "ord long, tkey long, start int, n int, src_ord long, src_tkey long, src_start int"
 
 
@@ -103,94 +107,113 @@ def earliest(order_by: list[np.ndarray], group_by: list[np.ndarray]) -> np.ndarr
     return first
 
 
+def lists(sizes: list[int], values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def marked_runs(batch: pa.RecordBatch, hashes: WordHashes, hot: bool) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """Minimizer, ord, tkey, first window and edges of each run whose minimizer repeats and is hot, or isn't."""
+    seen = set()
+    for i, (text, marks) in enumerate(zip(batch["text"], batch["marks"], strict=True)):
+        place = (batch["ord"][i].as_py(), batch["tkey"][i].as_py())
+        if place in seen:
+            continue
+        seen.add(place)
+        known = np.sort(np.array([x["m"] for x in marks.as_py() if x["hot"] == hot], np.int64).view(np.uint64))
+        if not len(known):
+            continue
+        tokens = hashes.of(text.as_py())
+        m, start, n = runs(tokens)
+        edges = gram_hashes(tokens, WINDOW, seed=0xD6E8FEB86659FD93)
+        kept = known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m
+        for j in np.flatnonzero(kept):
+            yield m[j], *place, start[j], edges[start[j] : start[j] + n[j]]
+
+
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of WINDOWS: runs of windows to be settled, or (edges null) segments that a task settled."""
+    """WINDOWS: the runs of windows of the minimizers that aren't hot."""
     hashes = WordHashes()
     for batch in batches:
-        cold, hot, seen = [], [], set()
-        for i, (text, marks) in enumerate(zip(batch["text"], batch["marks"], strict=True)):
-            place = (batch["ord"][i].as_py(), batch["tkey"][i].as_py())
-            if place in seen:
-                continue
-            seen.add(place)
-            tokens = hashes.of(text.as_py())
-            m, start, n = runs(tokens)
-            edges = gram_hashes(tokens, WINDOW, seed=0xD6E8FEB86659FD93)
-            known = np.array([x["m"] for x in marks.as_py()], np.int64).view(np.uint64)
-            is_hot = np.array([x["hot"] for x in marks.as_py()], bool)
-            order = np.argsort(known)
-            at = np.minimum(np.searchsorted(known[order], m), len(known) - 1)
-            kept, heat = known[order][at] == m, is_hot[order][at]
-            for j in np.flatnonzero(kept & ~heat):
-                cold.append((m[j], *place, start[j], edges[start[j] : start[j] + n[j]]))
-            pick = kept & heat
-            at = np.repeat(start[pick] - np.r_[0, np.cumsum(n[pick])[:-1]], n[pick]) + np.arange(n[pick].sum()) if pick.any() else np.empty(0, np.int64)
-            if len(at):
-                hot.append((np.repeat(m[pick], n[pick]), np.full(len(at), place[0]), np.full(len(at), place[1]), at, edges[at], np.full(len(at), i)))
-        none = np.full(len(cold), None)
-        ms = np.array([x[0] for x in cold], np.uint64)
-        yield table(
-            WINDOWS, key=ms, m=ms, ord=np.array([x[1] for x in cold], np.int64), tkey=np.array([x[2] for x in cold], np.int64), start=np.array([x[3] for x in cold], np.int64), n=np.array([len(x[4]) for x in cold], np.int64),
-            edges=lists([len(x[4]) for x in cold], joined([x[4] for x in cold], np.uint64)), src_ord=none, src_tkey=none, src_start=none,
-        )
-        if not hot:
-            continue
-        m, ords, keys, start, edge, row = (joined([h[k] for h in hot], hot[0][k].dtype) for k in range(6))
-        first = earliest([ords, start, keys], [m, edge])
-        later = np.flatnonzero((ords[first] != ords) | (start[first] != start))
-        begin = segments_of(row[later], start[later], ords[first][later], keys[first][later], start[first][later])
-        size, head = np.diff(np.r_[begin, len(later)]), later[begin]
-        yield table(
-            WINDOWS, key=(ords * 1_000_003 + start)[head], m=m[head], ord=ords[head], tkey=keys[head], start=start[head], n=size, edges=pa.nulls(len(head), pa.list_(pa.int64())),
-            src_ord=ords[first][head], src_tkey=keys[first][head], src_start=start[first][head],
-        )
-        one = np.unique(first)
-        none = np.full(len(one), None)
-        yield table(WINDOWS, key=m[one] ^ edge[one], m=m[one], ord=ords[one], tkey=keys[one], start=start[one], n=np.ones(len(one), np.int64), edges=lists([1] * len(one), edge[one]), src_ord=none, src_tkey=none, src_start=none)
+        found = [*marked_runs(batch, hashes, hot=False)]
+        of = lambda k, kind=np.int64, found=found: np.array([x[k] for x in found], kind)
+        yield table(WINDOWS, m=of(0, np.uint64), ord=of(1), tkey=of(2), start=of(3), edges=lists([len(x[4]) for x in found], joined([x[4] for x in found], np.uint64)))
 
 
-def lists(sizes: list[int], values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values.view(np.int64)))
+def hot_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUNS: the runs of windows of hot minimizers; equal edges, equal run. Each batch gives the edges of a run once."""
+    hashes = WordHashes()
+    for batch in batches:
+        found = [*marked_runs(batch, hashes, hot=True)]
+        whole = [xxhash.xxh3_128_intdigest(x[4].tobytes()) for x in found]
+        first = np.zeros(len(found), bool)
+        first[[*{(x[0], w): i for i, (x, w) in reversed([*enumerate(zip(found, whole, strict=True))])}.values()]] = True
+        of = lambda k, kind=np.int64, found=found: np.array([x[k] for x in found], kind)
+        edges = pa.array([x[4].view(np.int64) if f else None for x, f in zip(found, first, strict=True)], pa.list_(pa.int64()))
+        low, high = (np.array([w >> s & 0xFFFFFFFFFFFFFFFF for w in whole], np.uint64) for s in (0, 64))
+        yield table(RUNS, m=of(0, np.uint64), run=low, run2=high, ord=of(1), tkey=of(2), start=of(3), edges=edges)
 
 
 def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of WINDOWS with equal keys together: the segments that start earlier elsewhere."""
+    """From rows of WINDOWS with equal minimizers together: the segments that start earlier elsewhere."""
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         got = pa.Table.from_batches([batch])
         got = got if rest is None else pa.concat_tables([rest, got])
-        key = got["key"].to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        key = got["m"].to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last minimizer may go on
         rest = got.slice(cut)
         if cut:
-            yield from settled(got.slice(0, cut).combine_chunks())
+            yield settled(got.slice(0, cut).combine_chunks())
     if rest is not None:
-        yield from settled(rest.combine_chunks())
+        yield settled(rest.combine_chunks())
 
 
-def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in SEGMENTS.split(", ")]
-    ready = rows.filter(pa.compute.is_null(rows["edges"]))
-    if ready.num_rows:
-        yield from ready.select(names).combine_chunks().to_batches()
-    rows = rows.filter(pa.compute.is_valid(rows["edges"])).combine_chunks()
-    if not rows.num_rows:
-        return
+def segments_at(ords: np.ndarray, keys: np.ndarray, start: np.ndarray, row: np.ndarray, *source: np.ndarray) -> pa.RecordBatch:
+    """SEGMENTS of windows in order within each row, given each one's source (ord, tkey, start): those that start earlier elsewhere."""
+    later = np.flatnonzero((source[0] != ords) | (source[2] != start))
+    s_ord, s_key, s_start = (x[later] for x in source)
+    begin = segments_of(row[later], start[later], s_ord, s_key, s_start)
+    n, head = np.diff(np.r_[begin, len(later)]), later[begin]
+    return table(SEGMENTS, ord=ords[head], tkey=keys[head], start=start[head], n=n, src_ord=s_ord[begin], src_tkey=s_key[begin], src_start=s_start[begin])
+
+
+def settled(rows: pa.Table) -> pa.RecordBatch:
+    keys = [rows[c].to_numpy() for c in ("m", "ord", "start", "tkey")]
+    rows = rows.filter(pa.array(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])).combine_chunks()  # repeated rows
     edges = rows["edges"].combine_chunks() if isinstance(rows["edges"], pa.ChunkedArray) else rows["edges"]
     size = pa.compute.list_value_length(edges).to_numpy()
     edge = edges.flatten().to_numpy()
     row = np.repeat(np.arange(len(size)), size)
-    of = lambda c: rows[c].to_numpy()[row]
-    key, m, ords, keys = of("key"), of("m"), of("ord"), of("tkey")
-    start = of("start").astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    first = earliest([ords, start, keys], [key, m, edge])
-    later = np.flatnonzero((ords[first] != ords) | (start[first] != start))
-    begin = segments_of(row[later], start[later], ords[first][later], keys[first][later], start[first][later])
-    n, head = np.diff(np.r_[begin, len(later)]), later[begin]
-    src = first[head]
-    yield table(SEGMENTS, ord=ords[head], tkey=keys[head], start=start[head], n=n, src_ord=ords[src], src_tkey=keys[src], src_start=start[src])
+    m, ords, keys, start = (rows[c].to_numpy()[row] for c in ("m", "ord", "tkey", "start"))
+    start = start.astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    first = earliest([ords, start, keys], [m, edge])
+    return segments_at(ords, keys, start, row, ords[first], keys[first], start[first])
+
+
+def hot_segments(marked: DataFrame) -> DataFrame:
+    """SEGMENTS of the windows of hot minimizers. marked: ord, tkey, text, marks."""
+    found = materialize(marked.filter(F.exists("marks", lambda x: x["hot"])).select("ord", "tkey", "text", "marks").mapInArrow(hot_runs, RUNS), "hot-runs")
+    one = ["m", "run", "run2"]
+    distinct = found.groupBy(*one).agg(F.min(F.struct("ord", "start", "tkey")).alias("first"), F.first("edges", ignorenulls=True).alias("edges"))
+    edges = distinct.select(*one, "first", F.posexplode("edges").alias("i", "edge"))
+    edges = materialize(edges.select(*one, "i", "edge", F.struct(F.col("first.ord").alias("ord"), (F.col("first.start") + F.col("i")).alias("start"), F.col("first.tkey").alias("tkey")).alias("place")), "hot-edges")
+    sources = materialize(edges.groupBy("m", "edge").agg(F.min("place").alias("source")), "hot-sources")
+    own = edges.join(sources.hint("shuffle_hash"), ["m", "edge"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("i", "source.ord", "source.tkey", "source.start"))).alias("sources"))
+    own = materialize(own, "hot-run-sources")
+    discard(edges, sources)
+    return found.select(*one, "ord", "tkey", "start").distinct().join(own.hint("shuffle_hash"), one).select("ord", "tkey", "start", "sources").mapInArrow(placed, SEGMENTS)
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ord, tkey, start and sources (of each window of the run) to SEGMENTS."""
+    for batch in batches:
+        flat, size = batch["sources"].flatten(), pa.compute.list_value_length(batch["sources"]).to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        i, s_ord, s_key, s_start = (x.to_numpy().astype(np.int64) for x in flat.flatten())
+        ords, keys, start = (batch[c].to_numpy()[row] for c in ("ord", "tkey", "start"))
+        yield segments_at(ords, keys, start.astype(np.int64) + i, row, s_ord, s_key, s_start)
 
 
 def paths(segments: DataFrame) -> DataFrame:
@@ -228,7 +251,8 @@ def dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, spans (array of start, stop, src_ord, src_start; windows), and kept, the
     words that stay, joined by one space; if not whole, kept_sha256 in its place."""
     docs = docs.select("doc_id", "text").withColumns({"ord": order_id(F.col("doc_id")), "tkey": text_key(F.col("text"))})
-    found = docs.select("ord", "tkey", "text").mapInArrow(anchors, ANCHORS)
+    # written: the minimizers of a text cost more to find than to read again
+    found = materialize(docs.select("ord", "tkey", "text").mapInArrow(anchors, ANCHORS), "anchors")
     counts = found.groupBy("m").agg(F.sum("n").alias("total")).filter("total > 1")
     marks = found.select("m", "ord", "tkey").join(counts, "m").groupBy("ord", "tkey").agg(F.collect_set(F.struct("m", (F.col("total") > HOT).alias("hot"))).alias("marks"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -237,9 +261,13 @@ def dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     pending = F.col("marks").isNotNull()
     docs = docs.join(marks, ["ord", "tkey"], "left").select("doc_id", "ord", "tkey", "marks", n_words(text).alias("n_words"), F.when(pending, text).alias("text"), F.when(~pending, plain if whole else F.sha2(plain.cast("binary"), 256)).alias("done"))
     docs = materialize(docs, "marked")
-    rows = docs.filter(pending).select("ord", "tkey", "text", "marks").mapInArrow(windows, WINDOWS)
-    rows = rows.repartition("key").sortWithinPartitions("key", "ord", "start")
-    segments = materialize(rows.mapInArrow(first_seen, SEGMENTS), "segments")
+    discard(found)
+    marked = docs.filter(pending)
+    rows = marked.select("ord", "tkey", "text", "marks").mapInArrow(windows, WINDOWS)
+    segments = rows.repartition("m").sortWithinPartitions("m", "ord", "start", "tkey").mapInArrow(first_seen, SEGMENTS)
+    if not marked.filter(F.exists("marks", lambda x: x["hot"])).isEmpty():
+        segments = segments.union(hot_segments(marked))
+    segments = materialize(segments, "segments")
     spans = paths(segments).groupBy("ord", "tkey").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "src_ord", "src_start"))).alias("spans"))
     docs = docs.join(spans, ["ord", "tkey"], "left").withColumn("cut", F.when(pending, without(F.col("text"), F.col("spans"))))
     kept = F.coalesce(F.col("cut.kept"), F.col("done")) if whole else F.coalesce(F.sha2(F.col("cut.kept").cast("binary"), 256), F.col("done"))
