@@ -4,10 +4,11 @@ Heuristic labellers, which overlap, vote good or bad on each document or abstain
 estimates their accuracies from the vote patterns of all documents (quality.fit_labels). The posterior
 labels train a logistic regression on hashed features of the text's word shapes, their neighbours and
 repetitions, on at most SAMPLE documents chosen by a hash (each with both labels, weighted by its
-posterior). The scorer then judges every document.
+posterior). The scorer then judges every document. Votes and features are worked out once and written.
 
 A null text is an empty one; a text without words has no features and gets score 0 and kept false. Equal texts
-get equal scores. An empty table gives an empty result without fitting.
+get equal scores, so repeated rows and ties need no care. A table without any words, or without rows, is judged
+without fitting. score and kept replace columns of the caller's of those names; others are carried.
 """
 
 from __future__ import annotations
@@ -67,32 +68,45 @@ def features(df: DataFrame) -> DataFrame:
     return Normalizer(p=2.0, inputCol=C + "tf", outputCol=C + "x").transform(df)
 
 
+def written(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """columns of docs with C + 'n' (words), C + 'key' (a hash of the text), votes and features: one pass over the texts."""
+    key = F.xxhash64(F.lit(20240611), F.col(text)).alias(C + "key")
+    return materialize(features(prepared(docs, text)).select(*columns, C + "n", key, *[C + "v_" + k for k in VOTES], C + "x"), "features")
+
+
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, object]:
+    return fit_written(written(docs, [], text), sample)
+
+
+def fit_written(known: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, object]:
+    """The label model of all documents, and the scorer; None for it where no document has a word."""
     names = [C + "v_" + k for k in VOTES]
-    key = F.xxhash64(F.lit(20240611), F.col(text))
-    known = materialize(prepared(docs.select(text), text).select(*names, key.alias(C + "key"), C + "n"), "labels")
-    labels = fit_labels(known, names)
-    n = known.filter(F.col(C + "n") > 0).count()
-    share = min(1.0, 0.9 * sample / max(n, 1))
-    chosen = docs.filter(F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53) < share).select(text)
-    chosen = chosen.filter(F.coalesce(F.col(text), F.lit("")) != "").dropDuplicates([text])
+    own = known.filter(F.col(C + "n") > 0)
+    labels, n = fit_labels(own, names), own.count()
+    if not n:
+        return labels, None
+    share = min(1.0, 0.9 * sample / n)
+    chosen = own.filter(F.shiftrightunsigned(C + "key", 11).cast("double") / float(1 << 53) < share).dropDuplicates([C + "key"])
     p = labels.posterior({x: F.col(x) for x in names})
-    rows = features(prepared(chosen, text)).withColumn(C + "p", p).select(C + "x", F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col(C + "p").alias("k")), F.struct(F.lit(0.0).alias("y"), (1 - F.col(C + "p")).alias("k")))).alias("label")).select(C + "x", "label.*")
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col(C + "p").alias("k")), F.struct(F.lit(0.0).alias("y"), (1 - F.col(C + "p")).alias("k"))))
+    rows = chosen.withColumn(C + "p", p).select(C + "x", both.alias("label")).select(C + "x", "label.*")
     model = LogisticRegression(featuresCol=C + "x", labelCol="y", weightCol="k", probabilityCol=C + "prob", rawPredictionCol=C + "raw", predictionCol=C + "y", maxIter=40, regParam=1e-3).fit(rows)
     return labels, model
 
 
 def scored(docs: DataFrame, model, text: str = "text", keep: float = 0.5) -> DataFrame:
     """docs with score, the probability that the text is good, and kept."""
-    out = model.transform(features(prepared(docs, text)))
-    score = F.when(F.col(C + "n") > 0, F.get(vector_to_array(C + "prob"), F.lit(1))).otherwise(0.0)
-    return out.withColumn("score", score).withColumn("kept", F.col("score") >= keep).select(*docs.columns, "score", "kept")
+    return scored_written(features(prepared(docs, text)), docs.columns, model, keep)
+
+
+def scored_written(known: DataFrame, columns: list[str], model, keep: float = 0.5) -> DataFrame:
+    out = model.transform(known).withColumn(C + "score", F.get(vector_to_array(C + "prob"), F.lit(1))) if model else known.withColumn(C + "score", F.lit(0.0))
+    score = F.when(F.col(C + "n") > 0, F.col(C + "score")).otherwise(0.0)
+    return out.select(*[c for c in columns if c not in ("score", "kept")], score.alias("score"), (score >= keep).alias("kept"))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """doc_id, score and kept of every document."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    if docs.isEmpty():
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    _, model = fit(docs)
-    return scored(docs, model).select("doc_id", F.round("score", 6).alias("score"), "kept")
+    known = written(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
+    _, model = fit_written(known)
+    return scored_written(known, ["doc_id"], model).withColumn("score", F.round("score", 6))

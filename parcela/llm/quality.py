@@ -1,20 +1,25 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Each rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation over the counts of vote
-patterns (three votes a rule, so their number is bounded whatever the input) estimates how often each
-rule objects to bad and to good documents, and how many documents are good; a document's posterior probability of being good replaces
-the all-must-pass filter. Abstentions say nothing.
+Each rule votes good (1) or bad (-1) or abstains (0). Bad documents are bad in different ways, and a rule is made for
+one of them, so there is a kind of junk for each rule beside the good documents. Expectation-maximisation over the
+counts of vote patterns estimates how many documents are of each kind and how often each rule objects to it. START is
+where it starts and what is expected beforehand; WEIGHT says as how many documents' worth that counts, in shares of all
+documents: much for the objections to good documents, little for the rest, which the data show. A document's posterior
+probability of being good replaces the all-must-pass filter: an objection that comes alone and seldom is outvoted by the
+other rules, one that comes with a kind of junk isn't. Abstentions say nothing.
 
 A null text is an empty one: no words, which fails the base rules. Equal texts get equal verdicts, so ties
-and repeated rows need no care. An empty table leaves the starting accuracies.
+and repeated rows need no care. An empty table gives an empty result and leaves the rates where they start. Columns
+whose names begin with _pq_ are the operator's; others are carried.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +52,6 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn(P + "n_lines", F.size(c("lines")).cast("long"))
     df = df.withColumn(P + "n_dup_lines", (F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"))
     df = df.withColumn(P + "n_ended", F.size(F.filter(c("lines"), lambda x: x.rlike(rf"[.?!\"…。][{SPACE}]*$"))).cast("long"))
-    df = df.withColumn(P + "n_marked", F.regexp_count(c("t"), F.lit(rf"[{SYMBOLS}](?=[{SPACE}]|$)")).cast("long"))
     df = df.withColumn(P + "n_upper", (F.length(c("t")) - F.length(F.regexp_replace(c("t"), r"\p{Lu}", ""))).cast("long"))
     df = df.withColumn(P + "n_shouts", count_of(c("t"), "!"))
     # three-word windows, by their hashes; those of a text are too few for two to collide
@@ -81,7 +85,6 @@ def votes() -> dict[str, Column]:
     return {
         "repeats": low_is_good(share(c("n_repeat_words"), c("n_words")), 0.12, 0.35),
         "symbols": low_is_good(share(c("n_symbols"), c("n_words")), 0.02, 0.10),
-        "marked_words": low_is_good(share(c("n_marked"), c("n_words")), 0.02, 0.10),
         "dup_lines": F.when(c("n_lines") < 2, 0).otherwise(low_is_good(share(c("n_dup_lines"), c("n_lines")), 0.10, 0.34)),
         "word_length": F.when(mean.between(2.5, 11.0), 1).when(mean.between(1.5, 15.0), 0).otherwise(-1),
         "upper_case": low_is_good(share(c("n_upper"), c("word_chars")), 0.12, 0.40),
@@ -90,57 +93,93 @@ def votes() -> dict[str, Column]:
     }
 
 
+#: Share of good documents; how often a rule objects to good documents, to junk of its own kind and to other junk.
+START = {"good": 0.85, "alarm": 0.005, "own": 0.8, "other": 0.1}
+#: Of the shares of the kinds, of the rules' objections to good documents, and of those to junk.
+WEIGHT = {"share": 0.005, "good": 1.0, "junk": 0.02}
+#: Up to so many vote patterns come to the driver; more are summed by Spark in each round.
+PATTERNS = 100_000
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """prior: share of good documents. caught, alarm: for each rule, how often its vote on a bad document
-    and on a good one is bad."""
-
-    prior: float
-    caught: Mapping[str, float]
-    alarm: Mapping[str, float]
-
-    def weights(self, rule: str) -> tuple[float, float]:
-        """What a good and a bad vote add to the log odds of a document being good."""
-        c, a = self.caught[rule], self.alarm[rule]
-        return math.log((1 - a) / (1 - c)), math.log(a / c)
-
-    def log_odds(self, votes: Mapping[str, Column]) -> Column:
-        out = F.lit(math.log(self.prior / (1 - self.prior)))
-        for k, v in votes.items():
-            good, bad = self.weights(k)
-            out = out + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
+    """rules: their columns. share: of good documents, then of each rule's junk. objects: a row for each of these
+    kinds, how often the vote that each rule casts is bad."""
+
+    rules: tuple[str, ...]
+    share: tuple[float, ...]
+    objects: tuple[tuple[float, ...], ...]
+
+    @classmethod
+    def start(cls, rules: Sequence[str]) -> LabelModel:
+        n = len(rules)
+        junk = [tuple(START["own" if i == k else "other"] for i in range(n)) for k in range(n)]
+        return cls(tuple(rules), (START["good"], *[(1 - START["good"]) / n] * n), ((START["alarm"],) * n, *junk))
+
+    def weights(self, kind: int, rule: int) -> tuple[float, float]:
+        """What a good and a bad vote add to the log odds of a kind against good."""
+        x, y = self.objects[kind][rule], self.objects[0][rule]
+        return math.log((1 - x) / (1 - y)), math.log(x / y)
+
+    def odds(self, votes: Mapping[str, Column]) -> list[Column]:
+        """Of each kind of junk, the log odds against good."""
+        out = []
+        for kind in range(1, len(self.share)):
+            total = F.lit(math.log(self.share[kind] / self.share[0]))
+            for i, rule in enumerate(self.rules):
+                good, bad = self.weights(kind, i)
+                total = total + F.when(votes[rule] > 0, good).when(votes[rule] < 0, bad).otherwise(0.0)
+            out.append(total)
         return out
 
     def posterior(self, votes: Mapping[str, Column]) -> Column:
-        return 1 / (1 + F.exp(-self.log_odds(votes)))
-
-
-#: Where the accuracies start and what they stay within, so that good can't change places with bad.
-CAUGHT, ALARM, PRIOR = (0.2, 0.1, 0.9), (0.003, 0.0005, 0.005), (0.8, 0.4, 0.95)
-
-
-def fit_labels(df: DataFrame, columns: list[str], rounds: int = 25) -> LabelModel:
-    """Expectation-maximisation over all rows of df, by counts of vote patterns: at most 3 ** len(columns)
-    rows come to the driver."""
-    if 3 ** len(columns) > 100_000:
-        raise ValueError("too many rules for a table of vote patterns")
-    counts = [(tuple(r[c] for c in columns), r["count"]) for r in df.groupBy(*columns).count().collect()]
-    total = sum(n for _, n in counts)
-    clipped = lambda x, bounds: min(max(x, bounds[1]), bounds[2])
-    model = LabelModel(PRIOR[0], dict.fromkeys(columns, CAUGHT[0]), dict.fromkeys(columns, ALARM[0]))
+        """The probability of being good."""
+        return 1 / (1 + sum((F.exp(x) for x in self.odds(votes)), F.lit(0.0)))
+
+    def refitted(self, total: float, kinds: Sequence[float], bad: Sequence[Sequence[float]], cast: Sequence[Sequence[float]]) -> LabelModel:
+        """The next round's model: documents, bad votes and votes cast of each kind, and START with its weights."""
+        first, own = LabelModel.start(self.rules), WEIGHT["share"] * total
+        share = tuple((k + own * s) / (total + own) for k, s in zip(kinds, first.share, strict=True))
+        rates = []
+        for k, (s, *rows) in enumerate(zip(first.share, bad, cast, first.objects, strict=True)):
+            known = WEIGHT["junk" if k else "good"] * total * s
+            rates.append(tuple((b + known * x) / (c + known) for b, c, x in zip(*rows, strict=True)))
+        return LabelModel(self.rules, share, tuple(rates))
+
+
+def expected(counts: DataFrame, model: LabelModel) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """Documents, bad votes and votes cast of each kind, summed by Spark over patterns (rules, count)."""
+    n = len(model.share)
+    df = counts.withColumns({f"{P}o{k}": o for k, o in enumerate([F.lit(0.0), *model.odds({c: F.col(c) for c in model.rules})])})
+    df = df.withColumn(P + "top", F.greatest(*[f"{P}o{k}" for k in range(n)]))
+    df = df.withColumns({f"{P}e{k}": F.exp(F.col(f"{P}o{k}") - F.col(P + "top")) for k in range(n)})
+    part = [F.col("count") * F.col(f"{P}e{k}") / sum((F.col(f"{P}e{j}") for j in range(n)), F.lit(0.0)) for k in range(n)]
+    sums = part + [F.when(F.col(c) < 0, p) for p in part for c in model.rules] + [F.when(F.col(c) != 0, p) for p in part for c in model.rules]
+    got = [x or 0.0 for x in df.agg(*[F.sum(x).alias(str(i)) for i, x in enumerate(sums)]).first()]
+    r = len(model.rules)
+    rows = lambda a: [got[a + k * r : a + (k + 1) * r] for k in range(n)]
+    return got[:n], rows(n), rows(n + n * r)
+
+
+def expected_here(votes: np.ndarray, counts: np.ndarray, model: LabelModel) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """The same for patterns that are on the driver."""
+    rate = np.array(model.objects)
+    odds = np.log(model.share) + (votes < 0) @ np.log(rate).T + (votes > 0) @ np.log(1 - rate).T
+    part = np.exp(odds - odds.max(axis=1, keepdims=True))
+    part *= (counts / part.sum(axis=1))[:, None]
+    return part.sum(axis=0).tolist(), (part.T @ (votes < 0)).tolist(), (part.T @ (votes != 0)).tolist()
+
+
+def fit_labels(df: DataFrame, columns: Sequence[str], rounds: int = 60, most: int = PATTERNS) -> LabelModel:
+    """Expectation-maximisation over all rows of df, by counts of vote patterns."""
+    counts, model = df.groupBy(*columns).count(), LabelModel.start(columns)
+    if 3 ** len(columns) > most:
+        counts = materialize(counts, "patterns")
+    rows = counts.limit(most + 1).collect()  # more than that are not read here
+    total = sum(r["count"] for r in rows) if len(rows) <= most else counts.agg(F.sum("count")).first()[0]
+    votes, sizes = np.array([[r[c] for c in columns] for r in rows]).reshape(-1, len(columns)), np.array([r["count"] for r in rows], float)
     for _ in range(rounds if total else 0):
-        # votes cast and bad votes, on good and on bad documents; one document's worth of what we start with
-        cast, bad, good = ({c: [1.0, 1.0] for c in columns}, {c: [ALARM[0], CAUGHT[0]] for c in columns}, 0.0)
-        for pattern, n in counts:
-            odds = math.log(model.prior / (1 - model.prior)) + sum(model.weights(c)[v < 0] for c, v in zip(columns, pattern, strict=True) if v)
-            p = 1 / (1 + math.exp(-odds))
-            good += n * p
-            for c, v in zip(columns, pattern, strict=True):
-                if v:
-                    for y, share in enumerate((n * p, n * (1 - p))):
-                        cast[c][y] += share
-                        bad[c][y] += share * (v < 0)
-        model = LabelModel(clipped(good / total, PRIOR), {c: clipped(bad[c][1] / cast[c][1], CAUGHT) for c in columns}, {c: clipped(bad[c][0] / cast[c][0], ALARM) for c in columns})
+        model = model.refitted(total, *(expected_here(votes, sizes, model) if len(rows) <= most else expected(counts, model)))
     return model
 
 
