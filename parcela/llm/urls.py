@@ -1,14 +1,18 @@
 """URL filters: host and path rules, and logistic regression on hashed character n-grams for the rest.
 
-Everything is DataFrame functions and the DataFrame-based spark.ml. The model is trained from a small
-labelled table of URLs: the caller's, or labelled_urls(), which is built by rule from two word lists.
+Everything is DataFrame functions and the DataFrame-based spark.ml. The model is trained from a small table of
+labelled urls (url, label; 1: unwanted): the caller's, or labelled_urls(), which reads the one beside this file.
 
 A null url, or one without ://, has empty host and path and no rule; the model judges the empty string.
-Equal urls get equal verdicts.
+Equal urls get equal verdicts, so repeated rows and ties need no care; an empty table gives an empty result. judged()
+gives its answers as a struct column, so that columns of the caller's of any other name stay as they are.
 """
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -18,10 +22,7 @@ from pyspark.sql import functions as F
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of hosts and paths that the default training table is made of.
-WANTED = ("news", "library", "school", "museum", "docs", "wiki", "garden", "science", "history", "weather", "travel", "recipes", "health", "music", "archive", "theatre", "national", "mountain", "engineering", "blog")
-UNWANTED = ("spam", "farm", "cheap", "pills", "casino", "poker", "loans", "viagra", "jackpot", "replica", "escort", "warez", "clickbait", "adult", "xxx")
-DIMENSIONS, GRAMS = 1 << 12, (3, 4, 5)
+DIMENSIONS, GRAMS = 1 << 14, (3, 4, 5)
 
 
 def host(url: Column) -> Column:
@@ -56,34 +57,43 @@ def grams(text: Column, kind: str, sizes=GRAMS) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, label (1: unwanted): each word with each of four endings and languages, 280 rows."""
-    words = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(y).alias("label")) for y, ws in ((0.0, WANTED), (1.0, UNWANTED)) for w in ws])).alias("w")
-    ends = F.explode(F.array(*[F.struct(F.lit(a).alias("mid"), F.lit(b).alias("end")) for a in ("", "-online") for b in (".example.com/en/", ".example.org/de/", ".example.net/en/", ".example.com/fr/")])).alias("e")
-    rows = spark.range(1, numPartitions=1).select(words).select("w.*", ends).select("word", "label", "e.*")
-    return rows.select(F.concat(F.lit("https://"), "word", "mid", "end", (F.length("word") * 37 + F.length("end")).cast("string")).alias("url"), "label")
+    """url, label (1: unwanted): the table beside this file, which the driver reads."""
+    with (Path(__file__).parent / "labelled_urls.csv").open(encoding="utf-8", newline="") as file:
+        rows = [(r["url"], float(r["label"])) for r in csv.DictReader(file)]
+    return spark.createDataFrame(rows, "url string, label double")
+
+
+U = "_url_"
+
+
+def features(df: DataFrame, url: str) -> DataFrame:
+    """df with the hashed n-grams of host and path, in the column U + 'x'."""
+    df = df.withColumn(U + "grams", F.concat(grams(host(F.col(url)), "h"), grams(path(F.col(url)), "p")))
+    return HashingTF(numFeatures=DIMENSIONS, inputCol=U + "grams", outputCol=U + "x", binary=True).transform(df).drop(U + "grams")
 
 
-def features(df: DataFrame, url: str, out: str) -> DataFrame:
-    """df with the hashed n-gram counts of host and path, in the column out."""
-    df = df.withColumn(out + "_grams", F.concat(grams(host(F.col(url)), "h"), grams(path(F.col(url)), "p")))
-    return HashingTF(numFeatures=DIMENSIONS, inputCol=out + "_grams", outputCol=out, binary=True).transform(df).drop(out + "_grams")
+def fit(labelled: DataFrame, steps: int = 40, penalty: float = 0.02):
+    """A logistic regression on labelled (url, label)."""
+    return LogisticRegression(featuresCol=U + "x", labelCol="label", probabilityCol=U + "p", rawPredictionCol=U + "raw", predictionCol=U + "y", maxIter=steps, regParam=penalty).fit(features(labelled.select("url", "label"), "url"))
 
 
-def fit(labelled: DataFrame, steps: int = 40):
-    return LogisticRegression(featuresCol="_url_features", labelCol="label", probabilityCol="_url_p", rawPredictionCol="_url_raw", predictionCol="_url_y", maxIter=steps, regParam=0.002).fit(features(labelled, "url", "_url_features"))
+JUDGED = ("host", "path", "rule", "verdict", "p_unwanted")
 
 
-def judged(df: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES, block_from: float = 0.5) -> DataFrame:
-    """df with host, path, rule, verdict and the model's probability that the url is unwanted."""
-    scored = fit(labelled).transform(features(df, url, "_url_features"))
-    scored = scored.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url))).withColumn("p_unwanted", F.get(vector_to_array("_url_p"), F.lit(1)))
-    name, verdict = rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("p_unwanted") >= block_from, "block").otherwise("allow")
-    return scored.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, own)).drop("_url_features", "_url_p", "_url_raw", "_url_y")
+def judged(df: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES, block_from: float = 0.5, out: str = "judged") -> DataFrame:
+    """df with the column out (which replaces one of that name): a struct of JUDGED. p_unwanted is the model's
+    probability that the url is unwanted."""
+    kept = [c for c in df.columns if c != out]
+    scored = fit(labelled).transform(features(df.withColumn(U + "url", F.col(url)), U + "url"))
+    scored = scored.withColumns({U + "host": host(F.col(U + "url")), U + "path": path(F.col(U + "url")), U + "unwanted": F.get(vector_to_array(U + "p"), F.lit(1))})
+    name, verdict = rule(F.col(U + "host"), F.col(U + "path"), rules)
+    own = F.when(F.col(U + "unwanted") >= block_from, "block").otherwise("allow")
+    values = (F.col(U + "host"), F.col(U + "path"), name, F.coalesce(verdict, own), F.col(U + "unwanted"))
+    return scored.select(*kept, F.struct(*[v.alias(k) for k, v in zip(JUDGED, values, strict=True)]).alias(out))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict and p_unwanted of every page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    out = judged(pages, labelled_urls(spark))
-    return out.select("page_id", "host", "path", "rule", "verdict", F.round("p_unwanted", 6).alias("p_unwanted"))
+    out = judged(pages, labelled_urls(spark)).select("page_id", "judged.*")
+    return out.withColumn("p_unwanted", F.round("p_unwanted", 6))
