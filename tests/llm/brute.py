@@ -122,3 +122,37 @@ def url_parts(url):
     host = re.split("[/?#]", rest)[0]
     path = re.split("[?#]", rest[len(host) :])[0]
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+
+def matched(template, words):
+    """Longest common subsequence of two lists of words: words matched, over the whole length of both."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        new = [0]
+        for j, w in enumerate(words):
+            new.append(row[j] + 1 if w == t else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def label_model(rows, start, weight, rounds):
+    """Plain expectation-maximisation over single rows of votes. start: (share, objects), both by kind."""
+    share, objects = start
+    n, own = len(rows[0]), weight["share"] * len(rows)
+    known = [len(rows) * start[0][k] * weight["junk" if k else "good"] for k in range(len(share))]
+    for _ in range(rounds):
+        kinds, bad, cast = [0.0] * len(share), [[0.0] * n for _ in share], [[0.0] * n for _ in share]
+        for votes in rows:
+            p = list(share)
+            for k in range(len(share)):
+                for v, x in zip(votes, objects[k], strict=True):
+                    p[k] *= x if v < 0 else 1 - x if v > 0 else 1
+            for k in range(len(share)):
+                q = p[k] / sum(p)
+                kinds[k] += q
+                for i, v in enumerate(votes):
+                    bad[k][i] += q * (v < 0)
+                    cast[k][i] += q * (v != 0)
+        share = [(kinds[k] + own * start[0][k]) / (len(rows) + own) for k in range(len(share))]
+        objects = [[(bad[k][i] + known[k] * start[1][k][i]) / (cast[k][i] + known[k]) for i in range(n)] for k in range(len(share))]
+    return share, objects
