@@ -15,7 +15,7 @@ from parcela.functions import features, numbers, urls
 from parcela.functions.address import card_address, commune, parse_address, place_parts
 from parcela.functions.text import clean_text, first_filled, flag, fold, found, normalize_key, once, parse_bool, plain_text, rounded, token_count, warnings
 from parcela.plans.schema import CARD, LISTING, aligned
-from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, inside, meta, parse_html, text_of, under
+from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, subtree, text_of, under
 
 tag = lambda *names: lambda e: e["tag"].isin(*names)
 like = lambda part: lambda e: class_like(e, part)
@@ -99,22 +99,31 @@ def listing(pages: DataFrame, portal: Portal) -> DataFrame:
     """LISTING rows from the cards of results pages, without opening the properties' own pages."""
     b = portal.variant == "b"
     own = captured(pages).select("url", "search_url", "page", "status", "captured_at", F.col("doc.elements").alias("els"), F.col("doc.texts").alias("texts"))
-    own = own.withColumn("anchors", F.filter("els", lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull()))
-    own = own.withColumn("link", F.explode(listing_links(portal, F.col("els"), F.col("url"))))
-    at = lambda test: first(F.filter("anchors", test))
-    own = own.withColumn("anchor", F.coalesce(at(lambda e: attr(e, "href") == urls.path(F.col("link"))), at(lambda e: attr(e, "href") == F.col("link")), at(lambda e: urls.canonical(urls.resolve(F.col("url"), attr(e, "href"))) == F.col("link"))))
-    own = own.filter("anchor is not null")
-    above = lambda test: closest(F.col("els"), F.col("anchor"), test)
-    named = lambda pattern: lambda e: F.coalesce(attr(e, "class").rlike(pattern), F.lit(False))
-    parent = above(lambda e: e["pos"] == F.col("anchor.parent"))
-    if b:
-        card = F.coalesce(above(lambda e: attr(e, "data-posting-type").isNotNull()), above(named("(?i)postingCard|posting-card|card")), above(tag("article")), parent)
-    else:
-        card = F.coalesce(above(tag("article")), above(named("(?i)listing__item|card|posting")), parent)
-    own = own.withColumn("card", card).withColumn("text", F.coalesce(text_of(F.col("card"), F.col("texts")), F.lit("")))
-    own = own.withColumn("els", F.filter("els", lambda e: inside(e, F.array(F.col("card")))))
+    els, texts = F.col("els"), F.col("texts")
+    anchors = F.filter(els, lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull())
+    own = own.withColumn("links", listing_links(portal, els, F.col("url"))).withColumn("anchors", anchors)
+
+    def anchor(link: Column) -> Column:
+        at = lambda test: first(F.filter("anchors", test))
+        return F.coalesce(at(lambda e: attr(e, "href") == urls.path(link)), at(lambda e: attr(e, "href") == link), at(lambda e: urls.canonical(urls.resolve(F.col("url"), attr(e, "href"))) == link))
+
+    def card(a: Column) -> Column:
+        above = lambda test: closest(els, a, test)
+        named = lambda pattern: lambda e: F.coalesce(attr(e, "class").rlike(pattern), F.lit(False))
+        parent = F.get(els, a["parent"])
+        if b:
+            return F.coalesce(above(lambda e: attr(e, "data-posting-type").isNotNull()), above(named("(?i)postingCard|posting-card|card")), above(tag("article")), parent)
+        return F.coalesce(above(tag("article")), above(named("(?i)listing__item|card|posting")), parent)
+
+    # each link with its card, cut out of the page before rows are made: no row carries the page
+    own = own.withColumn("found", F.filter(F.transform("links", lambda u: F.struct(u.alias("link"), anchor(u).alias("anchor"))), lambda x: x["anchor"].isNotNull()))
+    own = own.withColumn("found", F.transform("found", lambda x: F.struct(x["link"].alias("link"), card(x["anchor"]).alias("card"))))
+    own = own.withColumn("found", F.transform("found", lambda x: F.struct(x["link"].alias("link"), subtree(x["card"], els, texts).alias("sub"))))
+    own = own.select("search_url", "page", "status", "captured_at", F.explode("found").alias("found"))
+    own = own.select("search_url", "page", "status", "captured_at", "found.link", F.col("found.sub.top").alias("card"), "found.sub.els", "found.sub.texts")
+    own = own.withColumn("text", F.coalesce(text_of(F.col("card"), texts), F.lit("")))
     value = lambda qa_name, *classes: first_text(F.col("els"), F.col("texts"), *([qa(qa_name)] if b and qa_name else []), *map(like, classes))
-    text, els = F.col("text"), F.col("els")
+    text = F.col("text")
     titles = [*([qa("POSTING_CARD_DESCRIPTION")] if b else []), tag("h2"), tag("h3"), like("title"), like("titulo")]
     amount = r"(?:USD|U\$S|US\$|ARS|\$)\s*"
     own = own.withColumns({
@@ -279,8 +288,9 @@ def detail(pages: DataFrame, portal: Portal) -> DataFrame:
 def cards(pages: DataFrame) -> DataFrame:
     """CARD rows of results pages of the third portal: the first card of each item on a page."""
     own = captured(pages).select("url", "search_url", "page", "captured_at", F.col("doc.elements").alias("all"), F.col("doc.texts").alias("texts"))
-    own = own.select("*", F.posexplode(F.filter("all", lambda e: has_class(e, "ui-search-layout__item"))).alias("position", "card"))
-    own = own.withColumn("els", F.filter("all", lambda e: inside(e, F.array(F.col("card")))))
+    items = F.transform(F.filter("all", lambda e: has_class(e, "ui-search-layout__item")), lambda e: subtree(e, F.col("all"), F.col("texts")))
+    own = own.select("url", "search_url", "page", "captured_at", F.posexplode(items).alias("position", "sub"))
+    own = own.select("url", "search_url", "page", "captured_at", "position", F.col("sub.top").alias("card"), "sub.els", "sub.texts")
     els, texts = F.col("els"), F.col("texts")
     links = lambda test: F.transform(F.filter(els, lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull() & test(e)), lambda e: attr(e, "href"))
     href = F.coalesce(F.get(links(like("poly-component__title")), F.lit(0)), F.get(links(lambda e: attr_like(e, "href", "MLA-")), F.lit(0)))

@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela import portal_queries
 from parcela.functions import address, features, numbers, text, urls
 from parcela.operators import incremental as inc
 from parcela.plans import portals
 from parcela.sources import tables
 from parcela.streaming import journal
 
-QUERIES, ORACLE_SQL = {}, {}
+QUERIES, ORACLE_SQL = {**portal_queries.QUERIES}, {**portal_queries.ORACLE_SQL}
 
 
 def query(sql: str | None = None):
@@ -278,38 +279,6 @@ def response_classes(spark, sf_dir):
     return p.select("page_id", text.token_count(F.replace("url", F.lit("/"), F.lit("|"))).alias("tokens"), "response")
 
 
-def as_portal(spark, sf_dir):
-    """pages as if they came from a portal, each with a card, a feature list and an offer around its text."""
-    p = table(spark, sf_dir, "pages")
-    n = F.col("page_id").cast("string")
-    offer = F.concat(F.lit('<script type="application/ld+json">{"@type":["Apartment"],"name":"Depto '), n, F.lit('","offers":[{"price":"'), F.col("page_id") * 1000, F.lit('","priceCurrency":"USD"}],"geo":{"@type":"GeoCoordinates","latitude":"-34.6037"}}</script>'))
-    pairs = F.concat(F.lit("<table><tr><th>Superficie total</th><td>"), F.col("page_id") % 90 + 20, F.lit(" m2</td></tr></table><dl><dt>Ambientes</dt><dd>"), F.col("page_id") % 5 + 1, F.lit('</dd></dl><ul><li class="feature">Balcón</li><li class="feature">Apto crédito: Sí</li></ul>'))
-    card = F.concat(F.lit('<div class="listing__item"><article><a class="card" href="/departamento-en-venta-'), n, F.lit('?x=1"><h2>Depto '), n, F.lit('</h2></a><p class="card__price">USD 98.500</p><p class="card__address">Gorriti 4500 Piso 3</p> 3 ambientes 45 m² totales</article></div>'))
-    item = F.concat(F.lit('<ol><li class="ui-search-layout__item"><a class="poly-component__title" href="https://x.example/MLA-'), n, F.lit('-x#p">Depto con balcón</a><span class="poly-price__current">US$ 120.000</span><span class="poly-component__location">Gorriti 4500, Palermo, Capital Federal</span><ul><li class="poly-attributes_list__item">2 a 3 ambs.</li><li class="poly-attributes_list__item">45 - 60 m² cubiertos</li></ul></li></ol>'))
-    html = F.concat(offer, pairs, card, item, F.col("html"))
-    return p.select(F.concat(F.lit("https://www.argenprop.com/departamentos/venta/"), n).alias("url"), F.lit("https://www.argenprop.com/departamentos/venta/palermo").alias("search_url"), F.col("page_id").cast("int").alias("page"), F.lit(200).alias("status"), html.alias("html"))
-
-
-@query()
-def portal_links(spark, sf_dir):
-    return portals.links(as_portal(spark, sf_dir), portals.PORTAL_A)
-
-
-@query()
-def portal_listing(spark, sf_dir):
-    return portals.listing(as_portal(spark, sf_dir), portals.PORTAL_A)
-
-
-@query()
-def portal_detail(spark, sf_dir):
-    return portals.detail(as_portal(spark, sf_dir), portals.PORTAL_A)
-
-
-@query()
-def portal_cards(spark, sf_dir):
-    return portals.cards(as_portal(spark, sf_dir))
-
-
 @query("select user_id, max(event_id) as event_id, min(event_id) as first_seen from events group by user_id")
 def journal_snapshot(spark, sf_dir):
     path = scratch(spark, "journal")

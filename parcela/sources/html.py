@@ -159,6 +159,15 @@ def first(els: Column) -> Column:
     return F.get(els, F.lit(0))
 
 
+def subtree(e: Column, els: Column, texts: Column) -> Column:
+    """struct<top, els, texts>: an element, the elements below it and their texts, as a page of their own. Both lie next to
+    each other in the page, so they are slices of it."""
+    moved = lambda x: x.withField("t0", x["t0"] - e["t0"]).withField("t1", x["t1"] - e["t0"])
+    below = F.coalesce(F.transform(F.slice(els, e["pos"] + 2, e["last"] - e["pos"]), moved), F.slice(els, 1, 0))
+    own = F.coalesce(F.slice(texts, e["t0"] + 1, e["t1"] - e["t0"]), F.slice(texts, 1, 0))
+    return F.struct(moved(e).alias("top"), below.alias("els"), own.alias("texts"))
+
+
 def closest(els: Column, e: Column, test) -> Column:
     """The innermost ancestor of e that satisfies test, or null."""
     return F.try_element_at(F.filter(els, lambda a: (a["pos"] < e["pos"]) & (a["last"] >= e["pos"]) & test(a)), F.lit(-1))
