@@ -107,18 +107,24 @@ def member_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LINKS = "a long, a2 long, b long, links long"
 
 
-def linked(cell: pa.Table) -> pa.RecordBatch | None:
+def prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The band keys, and the shingles and MinHash values, of documents (value)."""
+    hashes = WordHashes()
+    sets = [shingles(hashes.of(t.as_py())) for t in batch["value"]]
+    signs = np.array([signature(x) for x in sets])
+    return band_keys(signs, ROWS), [*zip(sets, signs, strict=True)]
+
+
+def linked(cell: pa.Table, keys: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
     """Of the similar pairs of a cell: (id, id2, null, documents linked) of each member, and enough pairs
     (a, null, b, null) to connect all that are linked."""
     ids, more, weight = (cell[c].to_numpy() for c in ("id", "id2", "weight"))
     n = len(ids)
     if n < 2:
         return None
-    hashes, need = WordHashes(), least_matches()
-    sets = [shingles(hashes.of(t.as_py())) for t in cell["value"]]
+    need, near = least_matches(), Pairs(cell, keys)
+    sets, signs = [x for x, _ in own], np.array([x for _, x in own])
     size = np.array([len(x) for x in sets])
-    signs = np.array([signature(x) for x in sets])
-    near = Pairs(cell, band_keys(signs, ROWS))
     links, forest, pairs = np.zeros(n, np.int64), Forest(n), []
     known: dict[int, frozenset] = {}
     for i in range(n - 1):
@@ -163,7 +169,7 @@ def joined(docs: DataFrame) -> DataFrame:
     chosen = sets.join(groups, "id").select("id", "id2", "comp", "weight", "first.ord", "first.tkey")
     # one text for each set, however many documents have it
     members = chosen.join(docs.select("ord", "tkey", F.col("text").alias("value")), ["ord", "tkey"]).dropDuplicates(["ord", "tkey"]).select("id", "id2", "comp", "weight", "value")
-    found = materialize(cells(members, groups, member_keys).mapInArrow(by_cell(linked), LINKS), "links")
+    found = materialize(cells(members, groups, member_keys, N_BANDS).mapInArrow(by_cell(prepared, linked), LINKS), "links")
     links = found.filter("links is not null").groupBy(F.col("a").alias("id"), F.col("a2").alias("id2")).agg(F.sum("links").alias("links"))
     comps = components(found.filter("b is not null").select("a", "b"))
     # a set without links is its own class, known by all its bits

@@ -70,16 +70,23 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndar
     return np.where(empty, mixed(borrowed + far * np.uint64(0xD6E8FEB86659FD93)), out)
 
 
-def line_keys(lines: list[str]) -> np.ndarray:
-    """The band keys of lines, so many at once as fit the cache."""
-    keys, part, size = [np.empty((0, N_BANDS), np.uint64)], [], 0
-    for i, x in enumerate(lines):
+def parts_of(lines: list[str]) -> Iterator[list[str]]:
+    """Lines, so many at once as fit the cache."""
+    part, size = [], 0
+    for x in lines:
         part.append(x)
         size += len(x)
-        if size >= CHUNK_CHARS or i == len(lines) - 1:
-            keys.append(band_keys(signatures(*shingle_hashes(part), len(part), N_BANDS * ROWS), ROWS))
+        if size >= CHUNK_CHARS:
+            yield part
             part, size = [], 0
-    return np.concatenate(keys)
+    if part:
+        yield part
+
+
+def line_keys(lines: list[str]) -> np.ndarray:
+    """The band keys of lines."""
+    keys = [band_keys(signatures(*shingle_hashes(part), len(part), N_BANDS * ROWS), ROWS) for part in parts_of(lines)]
+    return np.concatenate([np.empty((0, N_BANDS), np.uint64), *keys])
 
 
 def distinct_lines(texts: pa.Array) -> dict[tuple[int, int], str]:
@@ -125,17 +132,25 @@ def member_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 EDGES = "a long, a2 long, b long, b2 long"
 
 
-def verified(cell: pa.Table) -> pa.RecordBatch | None:
+def prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The band keys and the shingle hashes of lines (value)."""
+    keys, sets = [], []
+    for part in parts_of(batch["value"].to_pylist()):
+        hashes, owner = shingle_hashes(part)
+        keys.append(band_keys(signatures(hashes, owner, len(part), N_BANDS * ROWS), ROWS))
+        order = np.argsort(owner, kind="stable")
+        sets += np.split(hashes[order], np.cumsum(np.bincount(owner, minlength=len(part)))[:-1])
+    return np.concatenate(keys), sets
+
+
+def verified(cell: pa.Table, keys: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch | None:
     """EDGES: enough pairs of the cell that share a bucket and are similar to connect all that are."""
-    texts, ids, more = cell["value"].to_pylist(), cell["id"].to_numpy(), cell["id2"].to_numpy()
-    if len(texts) < 2:
+    if len(hashes) < 2:
         return None
-    hashes, owner = shingle_hashes(texts)
-    pairs = Pairs(cell, band_keys(signatures(hashes, owner, len(texts), N_BANDS * ROWS), ROWS))
-    order = np.argsort(owner, kind="stable")
-    sets = [frozenset(x.tolist()) for x in np.split(hashes[order], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])]
-    forest, out = Forest(len(texts)), []
-    for i in range(len(texts) - 1):
+    ids, more = cell["id"].to_numpy(), cell["id2"].to_numpy()
+    pairs, sets = Pairs(cell, keys), [frozenset(x.tolist()) for x in hashes]
+    forest, out = Forest(len(sets)), []
+    for i in range(len(sets) - 1):
         for j in pairs.of(i):
             small, large = sorted((len(sets[i]), len(sets[j])))
             if small >= THRESHOLD * large and forest.root(i) != forest.root(j) and jaccard(sets[i], sets[j]) >= THRESHOLD:
@@ -151,7 +166,7 @@ def line_components(docs: DataFrame) -> DataFrame:
     texts = docs.select("text").mapInArrow(line_texts, "id long, id2 long, value string")
     # groups have one narrow row an id: hashed, they spare sorting the texts
     members = texts.join(groups.hint("shuffle_hash"), "id").groupBy("id", "id2", "comp").agg(F.min("value").alias("value"))
-    edges = materialize(cells(members, groups, member_keys).mapInArrow(by_cell(verified), EDGES), "similar")
+    edges = materialize(cells(members, groups, member_keys, N_BANDS).mapInArrow(by_cell(prepared, verified), EDGES), "similar")
     ids = edges.select(F.col("a").alias("id"), F.col("a2").alias("id2")).union(edges.select("b", "b2")).distinct()
     return components(edges.select("a", "b")).join(ids, "id")
 

@@ -7,11 +7,12 @@ pairs are looked at, whatever the size of a group: those that share a bucket.
 
 A cell is one unit of work, and cells() deals the members out so that each such pair meets in one cell that answers for it:
 
-* a group of at most BLOCK members is a cell;
-* of a larger group each bucket of at most BLOCK members is a cell, so groups that chains of buckets make large cost as
-  much as their buckets do;
-* larger buckets are joined into groups again, on which blocks of about BLOCK members are formed; two blocks are a cell.
-  These are groups of thousands of things alike in a whole band, in most of which all pairs have to be looked at anyway.
+* a group is cut into blocks of about BLOCK members; two blocks are a cell, so a member is in as many cells as there are
+  blocks. That is the least work until there are more blocks than bands;
+* of a group with more blocks than that each bucket of at most BLOCK members is a cell, so groups that chains of buckets
+  make large cost as much as their buckets do: a member is in as many cells as there are bands at most;
+* larger buckets of such a group are joined into groups again, which are cut into blocks. These are groups of things
+  alike in a whole band, in most of which all pairs have to be looked at anyway.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def blocks(members: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """members (comp, id and more) with cell, side and alone: a row for each two blocks of a group that the member's is
-    one of. groups: comp, count."""
-    out = members.join(groups, "comp").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+    one of. groups: comp, count, of those of more than a block at least."""
+    out = members.join(groups, "comp", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))
     out = out.withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.withColumn("cell", F.xxhash64("comp", F.least("side", "other"), F.greatest("side", "other")))
@@ -124,17 +125,20 @@ def blocks(members: DataFrame, groups: DataFrame, block: int) -> DataFrame:
 CELL = "cell long, side int, alone boolean, key long, heavy array<long>"
 
 
-def cells(members: DataFrame, groups: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], block: int | None = None) -> DataFrame:
+def cells(members: DataFrame, groups: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], bands: int, block: int | None = None) -> DataFrame:
     """members (id, comp and more; a row for each of groups: id, comp) with CELL: a row for each cell that it takes
     part in, and the rows of a cell together, in order of side and id. keys_of: members to rows of id, key, all of its
-    buckets; asked only for groups of more than a block."""
+    buckets; asked only for groups of more blocks than bands. Where few groups have more than a block, Spark broadcasts them."""
     block = block or BLOCK
     none = {"key": F.lit(None).cast("long"), "heavy": F.lit(None).cast("array<long>")}
-    large = materialize(groups.groupBy("comp").count().filter(F.col("count") > block).select("comp"), "large-groups")
-    few = members if (no_large := large.isEmpty()) else members.join(large, "comp", "left_anti")
-    out = few.withColumns({"cell": F.xxhash64("comp"), "side": F.lit(0), "alone": F.lit(True), **none}).drop("comp")
-    if not no_large:
-        many = members.join(large, "comp").drop("comp")
+    large = materialize(groups.groupBy("comp").count().filter(F.col("count") > block), "large-groups")
+    chained = large.filter(F.col("count") > block * bands)
+    if chained.isEmpty():
+        out = blocks(members, large, block).withColumns(none)
+    else:
+        chained = materialize(chained.select("comp"), "chained-groups")
+        out = blocks(members.join(chained, "comp", "left_anti"), large, block).withColumns(none)
+        many = members.join(chained, "comp").drop("comp")
         keys = materialize(many.mapInArrow(keys_of, "id long, key long"), "keys")
         counts = materialize(keys.groupBy("key").count().filter("count > 1"), "buckets")
         heavy = keys.join(counts.filter(F.col("count") > block).select("key"), "key")
@@ -155,7 +159,7 @@ class Pairs:
     def __init__(self, cell: pa.Table, keys: np.ndarray):
         self.keys, self.side, self.alone, self.key = keys, cell["side"].to_numpy(), cell["alone"][0].as_py(), cell["key"][0].as_py()
         self.heavy = None
-        if any(h.is_valid for h in cell["heavy"]):
+        if cell["heavy"].null_count < len(cell):
             self.heavy = np.array([np.isin(row, np.array(h.as_py() or [], np.int64).view(np.uint64)) for row, h in zip(keys, cell["heavy"], strict=True)])
 
     def of(self, i: int) -> np.ndarray:
@@ -166,31 +170,44 @@ class Pairs:
         if self.key is not None:
             # the first bucket that two members share answers for them, unless they share a heavy one
             near &= ~dense & (self.keys[i][common.argmax(axis=1)] == np.int64(self.key).view(np.uint64))
-        elif self.heavy is not None:
-            near = dense & (self.alone | (self.side[i + 1 :] != self.side[i]))
+        else:
+            near = dense if self.heavy is not None else near
+            if not self.alone:
+                near &= self.side[i + 1 :] != self.side[i]
         return np.flatnonzero(near) + i + 1
 
 
-def by_cell(work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Calls work with all rows of each cell; a cell may go on in the next batch."""
+Prepared = tuple[np.ndarray, list]
+
+
+def by_cell(prepare: Callable[[pa.RecordBatch], Prepared], work: Callable[[pa.Table, np.ndarray, list], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Calls work with all rows of each cell, their band keys and what else prepare() makes of each row, a batch at a
+    time; a cell may go on in the next batch."""
+
+    def whole(parts: list[tuple[pa.Table, np.ndarray, list]]) -> Iterator[pa.RecordBatch]:
+        tables, keys, items = zip(*parts, strict=True)
+        done = work(pa.concat_tables(tables), np.concatenate(keys), [x for own in items for x in own])
+        if done is not None:
+            yield done
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.Table] = []
+        rest: list[tuple[pa.Table, np.ndarray, list]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             got, cell = pa.Table.from_batches([batch]), batch["cell"].to_numpy()
+            keys, items = prepare(batch)
             cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
-            if rest and rest[0]["cell"][0].as_py() != cell[0]:
-                yield from filter(None, [work(pa.concat_tables(rest))])
+            if rest and rest[0][0]["cell"][0].as_py() != cell[0]:
+                yield from whole(rest)
                 rest = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                rest.append(got.slice(a, b - a))
+                rest.append((got.slice(a, b - a), keys[a:b], items[a:b]))
                 if b < len(cell):
-                    yield from filter(None, [work(pa.concat_tables(rest))])
+                    yield from whole(rest)
                     rest = []
         if rest:
-            yield from filter(None, [work(pa.concat_tables(rest))])
+            yield from whole(rest)
 
     return run
 
