@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parcela.llm import bpe, classifier, imatch, licenses, mixing, neardup, quality, substrings, urls
-from parcela.llm.queries import QUERIES
+from parcela.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import brute
 from tests.llm.conftest import prose, write
 
@@ -55,6 +56,31 @@ def test_substring_dedup(spark, sf_dir, edge, monkeypatch):
     assert three == [(400, 400)] * 3  # equal rows, equal results: document 4 has the text first
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_substring_dedup_whatever_is_hot(spark, sf_dir, tmp_path, monkeypatch, hot):
+    """The SQL's result, spans included, on a table of many files."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    want = con.execute(f"select {', '.join(names)} from ({ORACLE_SQL['op1_substring_dedup']})").fetchall()
+    assert sorted(tuple(r[n] for n in names) for r in run(spark, 1, str(tmp_path))) == sorted(want)
+
+
+@pytest.mark.parametrize("hot", [4096, 3, 1])
+def test_substring_dedup_of_rows_that_share_an_id(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(8)
+    passage = prose(rng, 30)
+    others = [(d, f"{passage} {prose(rng, 20 + i)}") for i, d in enumerate([None] * 6 + [7] * 3)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(1, f"{prose(rng, 12)} {passage}")], "doc_id long, text string").write.parquet(path)
+    spark.createDataFrame(others + others[:1], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    got = run(spark, 1, str(tmp_path))
+    assert Counter((r.doc_id, r.n_removed, r.n_spans) for r in got) == {(1, 0, 0): 1, (None, 30, 1): 7, (7, 30, 1): 3}
+
+
 def test_line_dedup(spark, sf_dir, monkeypatch):
     want = brute.line_dedup(docs_of(spark, sf_dir))
     for block in (512, 2):
