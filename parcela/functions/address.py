@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.functions.text import clean_text, col, fold, found
+from parcela.sources.tables import shared_dir
 
 # Neighbourhoods and their communes, in the order in which they are tried.
 COMMUNES = (
@@ -26,6 +29,7 @@ def parse_address(c: Column | str) -> Column:
     any word that starts with p counts as one."""
     full = clean_text(c)
     raw = F.coalesce(full, F.lit(""))
+    # fixed values: the marks of floors, units and numbers
     floor = found(raw, r"(?i)\b(?:piso|p\.?)[\s:]*([A-Za-z0-9-]+)", 1)
     unit = found(raw, r"(?i)\b(?:depto|dpto|unidad|uf)[\s:]*([A-Za-z0-9-]+)", 1)
     base = F.get(F.split(raw, r"(?i),|\bpiso\b|\bdpto\b|\bdepto\b|\bunidad\b", 2), F.lit(0))
@@ -63,13 +67,27 @@ def commune(c: Column | str) -> Column:
     return out
 
 
+GRAM = 3
+
+
 def first_contained(df: DataFrame, text: str, lookup: DataFrame, most: int = 10_000) -> DataFrame:
-    """df with k and v of the first row (least ord) of lookup (ord, k, v) whose k the text contains. For a
-    lookup of at most `most` rows, which is checked: it becomes one array literal of each row, and no rows are
-    paired.."""
+    """df with k and v of the first row (least ord) of lookup (ord, k, v) whose k the text contains; null if there is
+    none. A lookup of at most `most` rows, which is checked, becomes one array literal of each row, and no rows are
+    paired; of a larger one the names meet the texts in a join on their first GRAM characters."""
     rows = lookup.select("ord", "k", "v").orderBy("ord").limit(most + 1).collect()
     if len(rows) <= most:
         table = F.array(*[F.struct(F.lit(r.k).alias("k"), F.lit(r.v).alias("v")) for r in rows])
         hit = F.get(F.filter(table, lambda x: F.contains(F.col(text), x["k"])), F.lit(0)) if rows else F.lit(None).cast("struct<k:string,v:int>")
         return df.withColumn("_hit", hit).withColumns({"k": F.col("_hit.k"), "v": F.col("_hit.v")}).drop("_hit")
-    raise ValueError(f"more than {most} names: split the lookup, or match on words with an equi-join")
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)  # written, so that a row keeps its number
+    own = spark.read.parquet(path)
+    starts = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n)))))
+    names = lookup.select("ord", "k", "v", F.left("k", F.lit(GRAM)).alias("_gram"))
+    grams = own.filter(F.col(text).isNotNull()).select("_row", starts(GRAM).alias("_gram"))
+    for n in range(GRAM):  # names shorter than a gram
+        grams = grams.union(own.filter(F.col(text).isNotNull()).select("_row", starts(n).alias("_gram") if n else F.lit("").alias("_gram")))
+    near = grams.distinct().join(names, "_gram").join(own.select("_row", F.col(text).alias("_text")), "_row").filter(F.contains("_text", "k"))
+    first = near.groupBy("_row").agg(F.min_by(F.struct("k", "v"), "ord").alias("_hit"))
+    return own.join(first, "_row", "left").select(*df.columns, "_hit.k", "_hit.v")

@@ -60,14 +60,18 @@ def card_features(folded: Column) -> dict[str, Column]:
     return {k: flag(contains_any(folded, terms)) for k, terms in CARD_TERMS.items()}
 
 
-def delivery_status(folded: Column) -> Column:
-    """The first status one of whose terms occurs."""
+def first_class(folded: Column, classes) -> Column:
+    """Of (name, terms) the first name one of whose terms occurs."""
     out = F.lit(None).cast("string")
-    for name, terms in reversed(DELIVERY):
+    for name, terms in reversed(classes):
         out = F.when(contains_any(folded, terms), name).otherwise(out)
     return out
 
 
+def delivery_status(folded: Column) -> Column:
+    return first_class(folded, DELIVERY)
+
+
 def block_reason(title: Column, visible: Column, html: Column, widgets=WIDGETS_A) -> Column:
     """Why a page looks like a block and not like content; null if it doesn't."""
     title, visible, html = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, visible, html))

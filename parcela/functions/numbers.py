@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.text import clean_text, col, found
+from parcela.functions.text import clean_text, col, found, plain_text
 
 NUMBER = "[0-9][0-9.,]*"
 
@@ -26,10 +26,15 @@ def comma_to_point(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("."))
 
 
+def without_markup(c: Column | str) -> Column:
+    """plain_text() of texts that may hold tags or entities, which few do."""
+    return F.when(F.contains(col(c), F.lit("<")) | F.contains(col(c), F.lit("&")), plain_text(c)).otherwise(col(c))
+
+
 def parse_number(c: Column | str) -> Column:
-    """The first number, signed. Points and commas: both mean thousands and decimals; several of one kind are
+    """The first number outside markup, signed. Points and commas: both mean thousands and decimals; several of one kind are
     thousands; one comma is decimal before at most two digits; one point is thousands before exactly three."""
-    n = found(col(c), "-?" + NUMBER)
+    n = found(without_markup(c), "-?" + NUMBER)
     points, commas = occurrences(n, "."), occurrences(n, ",")
     text = (
         F.when((points > 0) & (commas > 0), comma_to_point(without(n, ".")))

@@ -49,6 +49,9 @@ def stable_id(url: Column, external: Column | None = None) -> Column:
     return F.substring(F.sha1(F.regexp_replace(source, r"(?U)^\s+|\s+$", "")), 1, 20)
 
 
+# The patterns of page addresses, items and images below.
+
+
 def page_url_a(url: Column | str, page: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(col(url), "/+$", ""), "/pagina-[0-9]+$", "")
     return F.when(page <= 1, col(url)).otherwise(F.concat(clean, F.lit("/pagina-"), page.cast("string")))

@@ -1,7 +1,9 @@
 """A run over captured pages, as a command: python -m parcela.jobs --input PAGES --output DIR --portal a --mode listing
 
-Pages in the range and budget asked for become rows; rows that the journal doesn't have yet are appended; the snapshot, the
-state and the failures are written anew. Everything but the one-row state stays distributed.
+Pages in the range and budget asked for become rows; rows that the journal doesn't have yet are appended; the snapshot,
+the state, the failures and the dumps of intermediate responses are written anew, so a run that is repeated changes
+nothing. Pages are parsed once and written, and so are the rows, under DIR/work. Results pages end at the second empty
+one in a row. Everything but the one-row state stays distributed.
 """
 
 from __future__ import annotations
@@ -46,28 +48,41 @@ def rows_of(pages: DataFrame, options: Options) -> tuple[DataFrame, str]:
     return (portals.listing if options.mode == "listing" else portals.detail)(pages, portal), "url"
 
 
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder of that name, in any store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def up_to_empty_pages(good: DataFrame, rows: DataFrame, most: int = 2) -> DataFrame:
+    """The rows of the pages up to the last of `most` pages in a row that have none."""
+    found = rows.groupBy("pagina_origen").count()
+    each = good.filter("page is not null").select("page").distinct().join(found, F.col("page") == F.col("pagina_origen"), "left")
+    stop = inc.stop_page(each.withColumn("empty", F.col("count").isNull()), "page", "empty", most).first()[0]
+    return rows if stop is None else rows.filter(F.coalesce(F.col("pagina_origen") <= stop, F.lit(True)))
+
+
 def run(spark: SparkSession, options: Options) -> None:
+    written = lambda df, name: (df.write.mode("overwrite").parquet(f"{options.output}/work/{name}"), spark.read.schema(df.schema).parquet(f"{options.output}/work/{name}"))[1]
     pages = spark.read.parquet(options.input)
     pages = inc.page_range(pages, "page", options.page_start, options.max_pages) if "page" in pages.columns else pages
     widgets = portals.features.WIDGETS_B if options.portal == "b" else portals.features.WIDGETS_A
-    seen = portals.classified(pages, widgets)
+    seen = written(portals.classified(pages, widgets, parsed=True), "pages")
     good = seen.filter("response = 'ok'").drop("block_reason", "response")
     failed = seen.filter("response <> 'ok'").withColumn("reason", F.coalesce(F.concat(F.col("response"), F.lit(":"), F.col("block_reason")), F.col("response")))
-    tables.failures(failed, "reason", "captured_at").write.mode("append").json(f"{options.output}/failures")
+    tables.failures(failed, "reason", "captured_at").write.mode("overwrite").json(f"{options.output}/failures")
+    tables.diagnostics(seen).write.mode("overwrite").parquet(f"{options.output}/diagnostics")
     rows, key = rows_of(good, options)
-    rows = inc.earliest(rows.filter(F.col(key).isNotNull()), [key], "pagina_origen")
+    rows = written(inc.earliest(rows.filter(F.col(key).isNotNull()), [key], "pagina_origen"), "rows")
+    rows = rows if options.mode == "detail" else up_to_empty_pages(good, rows)
     journal = f"{options.output}/journal"
-    try:
-        known = spark.read.parquet(journal)
-        rows = inc.new_only(rows, known, key).select(*known.columns)
-    except Exception as error:  # no journal yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    rows = inc.budget(rows, ["pagina_origen", key], options.max_properties) if options.max_properties else rows
-    rows.write.mode("append").parquet(journal)
+    new = inc.new_only(rows, spark.read.parquet(journal), key).select(*rows.columns) if is_table(spark, journal) else rows
+    new = inc.budget(new, ["pagina_origen", key], options.max_properties) if options.max_properties else new
+    new.write.mode("append").parquet(journal)
     whole = spark.read.parquet(journal)
     tables.write_snapshot(whole, f"{options.output}/snapshot", files=options.snapshot_files)
-    tables.state(whole, key, "pagina_origen").write.mode("overwrite").json(f"{options.output}/state")
+    done = tables.last_completed(good, "page", inc.new_only(rows, whole, key), "pagina_origen")
+    tables.state(whole, key, "pagina_origen").withColumn("last_completed_page", F.lit(done).cast("int")).write.mode("overwrite").json(f"{options.output}/state")
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -50,14 +50,16 @@ def numbered(found: DataFrame, within: list[str], order: str, name: str = "posit
 
 
 def stop_page(pages: DataFrame, column: str, empty: str, most: int = 2) -> DataFrame:
-    """One row: the page at which a run ends because `most` pages in a row were empty; null if none did."""
-    order = Window.orderBy(column)
-    runs = pages.filter(F.col(empty)).select(column).withColumn("run", F.col(column) - F.row_number().over(order))
-    full = runs.groupBy("run").agg(F.min(column).alias("first"), F.count("*").alias("n")).filter(F.col("n") >= most)
-    return full.agg((F.min("first") + most - 1).alias("stop_page"))
+    """One row: the page at which a run ends because `most` pages in a row were empty; null if none did. Each empty page
+    counts for itself and for the pages up to most - 1 after it; the first that `most` pages count for is the end. So
+    no task sees all pages in order."""
+    own = pages.filter(F.col(empty)).select(F.col(column).alias("_page")).distinct()
+    reached = own.select(F.explode(F.sequence("_page", F.col("_page") + (most - 1))).alias("_page")).groupBy("_page").count()
+    return reached.filter(F.col("count") == most).agg(F.min("_page").alias("stop_page"))
 
 
 def counters(rows: DataFrame, key: str) -> DataFrame:
+    """Numbers of rows and of distinct keys."""
     return rows.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"))
 
 

@@ -32,19 +32,20 @@ PORTAL_A, PORTAL_B = Portal("Argenprop", "a"), Portal("Zonaprop", "b")
 
 
 def captured(pages: DataFrame) -> DataFrame:
-    """pages with every column that the plans read, and the parsed page."""
+    """pages with every column that the plans read, and the parsed page (doc), unless they have it."""
     for name, kind in (("search_url", "string"), ("page", "int"), ("status", "int"), ("captured_at", "timestamp")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
-    return pages.withColumn("doc", parse_html(F.col("html")))
+    return pages if "doc" in pages.columns else pages.withColumn("doc", parse_html(F.col("html")))
 
 
-def classified(pages: DataFrame, widgets=features.WIDGETS_A) -> DataFrame:
-    """pages with block_reason and response (what the capture is)."""
+def classified(pages: DataFrame, widgets=features.WIDGETS_A, parsed: bool = False) -> DataFrame:
+    """pages with block_reason and response (what the capture is), and if asked for with the parsed page."""
     out = captured(pages)
     reason = features.block_reason(F.col("doc.title"), F.col("doc.visible"), F.col("html"), widgets)
     out = out.withColumn("block_reason", reason)
-    return out.withColumn("response", features.response_class(F.col("status"), F.col("block_reason"), F.col("html"))).drop("doc")
+    out = out.withColumn("response", features.response_class(F.col("status"), F.col("block_reason"), F.col("html")))
+    return out if parsed else out.drop("doc")
 
 
 # Links
@@ -196,6 +197,7 @@ def feature_pairs(portal: Portal, els: Column, texts: Column) -> Column:
     return F.filter(whole, lambda p: p.isNotNull() & (p["v"] != "") & ((F.length(p["k"]).between(2, 80)) | (p["v"] == "Sí")))
 
 
+# Types of objects, the most wanted first.
 JSONLD_TYPES = ("RealEstateListing", "Apartment", "House", "Residence", "Product", "Offer")
 
 
@@ -221,7 +223,7 @@ def images_of(data: Column) -> Column:
     return F.filter(every, lambda x: x.isNotNull() & (x != ""))
 
 
-#: column, type, names of the attribute
+# Column, type, names of the attribute.
 ATTRIBUTES = (
     ("tipo_operacion", "text", ("tipo de operacion", "operacion")), ("fecha_publicacion", "text", ("fecha de publicacion", "publicado")), ("barrio", "text", ("barrio",)), ("partido", "text", ("partido",)),
     ("ambientes", "int", ("cantidad de ambientes", "ambientes")), ("dormitorios", "int", ("cantidad de dormitorios", "dormitorios")), ("banios", "int", ("cantidad de banos", "banos")), ("toilettes", "int", ("cantidad de toilettes", "toilettes")),

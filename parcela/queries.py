@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a temporary one where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parcela-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{tables.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 HREF = '<a [^>]*href="([^"]*)"'
@@ -146,16 +144,17 @@ def money_parse(spark, sf_dir):
     return own.select("c_custkey", F.col("a.currency").alias("currency"), F.col("a.amount").alias("amount"), F.col("b.currency").alias("card_currency"), F.col("b.amount").alias("card_amount"))
 
 
-@query("""select doc_id, left(regexp_replace(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) as key,
+@query("""select doc_id, md5(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as key_md5,
   contains(lower(strip_accents(text)), 'sum')::int as has_sum, contains(lower(strip_accents(text)), 'cion')::int as has_cion from documents""")
 def fold_key(spark, sf_dir):
+    """A digest of the key of the whole text, and whether terms occur in it."""
     folded = text.fold("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.left(text.normalize_key(F.left("text", F.lit(200))), F.lit(60)).alias("key"), text.flag(F.contains(folded, F.lit("sum"))).alias("has_sum"), text.flag(F.contains(folded, F.lit("cion"))).alias("has_cion"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_key("text").cast("binary")).alias("key_md5"), text.flag(F.contains(folded, F.lit("sum"))).alias("has_sum"), text.flag(F.contains(folded, F.lit("cion"))).alias("has_cion"))
 
 
 @query("""select doc_id, md5(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as key_md5 from documents""")
 def fold_key_whole(spark, sf_dir):
-    """A digest of the key of the whole text, of which fold_key shows the beginning."""
+    """The key alone."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_key("text").cast("binary")).alias("key_md5"))
 
 
@@ -173,10 +172,8 @@ def bool_parse(spark, sf_dir):
   contains(t, 'the')::int as f_the, (contains(t, 'der') or contains(t, 'des'))::int as f_der from (select doc_id, lower(strip_accents(text)) as t from documents)""")
 def ordered_classes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.fold("text").alias("t"))
-    out = F.lit(None).cast("string")
-    for name, terms in reversed((("a", ("ation",)), ("b", ("ment",)), ("c", ("cion", "keit")))):
-        out = F.when(text.contains_any(F.col("t"), terms), name).otherwise(out)
-    return d.select("doc_id", out.alias("status"), text.flag(F.contains("t", F.lit("the"))).alias("f_the"), text.flag(text.contains_any(F.col("t"), ("der", "des"))).alias("f_der"))
+    status = features.first_class(F.col("t"), (("a", ("ation",)), ("b", ("ment",)), ("c", ("cion", "keit"))))
+    return d.select("doc_id", status.alias("status"), text.flag(F.contains("t", F.lit("the"))).alias("f_the"), text.flag(text.contains_any(F.col("t"), ("der", "des"))).alias("f_der"))
 
 
 # addresses made of names and keys
@@ -262,7 +259,7 @@ def json_sorted(spark, sf_dir):
 def derived_prices(spark, sf_dir):
     price, q, n = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_linenumber")
     now = price * (1 - F.col("l_discount"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.rounded(numbers.per_unit(price, q)).alias("unit_price"), text.rounded((price - now) / price * 100).alias("discount_pct"), (q != n).cast("int").alias("is_range"), F.floor(q - n).cast("double").alias("span"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.rounded(numbers.per_unit(price, q)).alias("unit_price"), text.rounded(numbers.discount_percent(price, now)).alias("discount_pct"), (q != n).cast("int").alias("is_range"), F.floor(q - n).cast("double").alias("span"))
 
 
 @query("""select doc_id, floor((1 + (lang is not null and lang <> '')::int + (quality is not null)::int + (toxic is not null)::int) / 4.0e0 * 100 * 10e0 + 0.5e0) / 10 as completeness from documents left join labels using (doc_id)""")
@@ -293,3 +290,14 @@ def stream_dedup(spark, sf_dir):
     rows = journal.captured_rows(spark, f"{base}/in", "user_id long, event_id long", files=1, fmt="parquet")
     journal.write_journal(journal.first_wins(rows, "user_id"), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema("user_id long, event_id long").parquet(f"{base}/out").select("user_id")
+
+
+@query("""select user_id, max(event_id) as event_id, min(event_id) as first_seen from events group by user_id""")
+def stream_snapshot(spark, sf_dir):
+    """The snapshot that the last micro-batch of a stream left."""
+    base = scratch(spark, "snapshots")
+    table(spark, sf_dir, "events").select("user_id", "event_id").repartition(4).write.parquet(f"{base}/in")
+    rows = journal.captured_rows(spark, f"{base}/in", "user_id long, event_id long", files=1, fmt="parquet")
+    journal.with_snapshots(rows, "user_id", "event_id", f"{base}/out", f"{base}/state", every=2).awaitTermination()
+    journal.write_state(spark, "user_id", "event_id", f"{base}/out")
+    return spark.read.schema("user_id long, event_id long, first_seen long").option("header", "true").csv(f"{base}/out/snapshot")

@@ -1,31 +1,85 @@
-"""SQL names for the library's functions: SQL user-defined functions, whose bodies Catalyst inlines."""
+"""SQL names for the library's functions: SQL user-defined functions, whose bodies Catalyst inlines, and table functions
+over pages, which parse a page as html_page does."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from parcela.functions.address import COMMUNES
+from parcela.functions.text import NO, YES, folding
+from parcela.sources.html import html_page, page_of
+
+
+def listed(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
-from parcela.sources.html import html_page
 
-# SQL bodies for the functions whose Column forms are in parcela.functions.
+NUMBER = "[0-9][0-9.,]*"
+FOLD = r"lower(translate(regexp_replace(coalesce(s, ''), r'\p{M}+', ''), '%s', '%s'))" % tuple(x.replace("\\", r"\\").replace("'", r"\'") for x in folding())
+# tags and comments out, entities decoded, white space collapsed
+PLAIN = r"regexp_replace(s, r'(?s)<!--.*?-->|</?[A-Za-z][^>]*>', ' ')"
+for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    PLAIN = f"replace({PLAIN}, '{entity}', '{char}')"
+FIRST = f"nullif(regexp_extract({PLAIN}, '-?{NUMBER}', 0), '')"
+COUNTED = "SELECT n, length(n) - length(replace(n, '.', '')) AS p, length(n) - length(replace(n, ',', '')) AS k"
+
+# SQL bodies for the functions whose Column forms are in parcela.functions. Later ones call earlier ones.
 BODIES = {
     "clean_text": ("s STRING", "STRING", r"nullif(trim(regexp_replace(s, r'(?U)\s+', ' ')), '')"),
-    "canonical_url": ("u STRING", "STRING", "regexp_replace(u, r'(?s)[?#].*$', '')"),
-    "property_id": ("u STRING", "STRING", "substring(sha1(trim(u)), 1, 20)"),
+    "fold": ("s STRING", "STRING", FOLD),
+    "normalize_key": ("s STRING", "STRING", "regexp_replace(regexp_replace(fold(s), '[^a-z0-9]+', '_'), '^_+|_+$', '')"),
+    "parse_bool": ("s STRING", "INT", f"CASE WHEN s IS NULL THEN NULL WHEN normalize_key(s) IN ({listed(YES)}) THEN 1 WHEN normalize_key(s) IN ({listed(NO)}) THEN 0 END"),
+    "canonical_url": ("u STRING", "STRING", r"regexp_replace(u, r'(?s)[?#].*$', '')"),
+    "property_id": ("u STRING", "STRING", r"substring(sha1(regexp_replace(u, r'(?U)^\s+|\s+$', '')), 1, 20)"),
     "item_id": ("u STRING", "STRING", "coalesce(concat('MLA', nullif(regexp_extract(u, '(?i)MLA-?([0-9]+)', 1), '')), u)"),
-    "first_number": ("s STRING", "STRING", "nullif(regexp_extract(s, '-?[0-9][0-9.,]*', 0), '')"),
+    "page_url_a": ("u STRING, page INT", "STRING", "CASE WHEN page <= 1 THEN u ELSE concat(regexp_replace(regexp_replace(u, '/+$', ''), '/pagina-[0-9]+$', ''), '/pagina-', page) END"),
+    "page_url_c": ("u STRING, page INT", "STRING", "concat(regexp_replace(regexp_replace(u, '/+$', ''), '/_Desde_[0-9]+_NoIndex_True/?$', '/'), CASE WHEN page <= 1 THEN '/' ELSE concat('/_Desde_', 1 + (page - 1) * 48, '_NoIndex_True') END)"),
+    "first_number": ("s STRING", "STRING", FIRST),
     "parse_number": (
         "s STRING", "DOUBLE",
         "(SELECT try_cast(CASE WHEN p > 0 AND k > 0 THEN replace(replace(n, '.', ''), ',', '.') WHEN p > 1 THEN replace(n, '.', '') WHEN k > 1 THEN replace(n, ',', '') "
         "WHEN k = 1 THEN CASE WHEN length(substring_index(n, ',', -1)) <= 2 THEN replace(n, ',', '.') ELSE replace(n, ',', '') END "
         "WHEN p = 1 AND length(substring_index(n, '.', -1)) = 3 THEN replace(n, '.', '') ELSE n END AS DOUBLE) "
-        "FROM (SELECT n, length(n) - length(replace(n, '.', '')) AS p, length(n) - length(replace(n, ',', '')) AS k FROM (SELECT nullif(regexp_extract(s, '-?[0-9][0-9.,]*', 0), '') AS n)))",
+        f"FROM ({COUNTED} FROM (SELECT {FIRST} AS n)))",
+    ),
+    "parse_card_number": (
+        "s STRING", "DOUBLE",
+        "(SELECT try_cast(CASE WHEN k > 0 THEN replace(replace(n, '.', ''), ',', '.') WHEN p > 1 OR (p = 1 AND length(substring_index(n, '.', -1)) = 3) THEN replace(n, '.', '') ELSE n END AS DOUBLE) "
+        f"FROM ({COUNTED} FROM (SELECT nullif(regexp_extract(s, '{NUMBER}', 0), '') AS n)))",
     ),
+    "currency": ("s STRING", "STRING", r"CASE WHEN lower(clean_text(s)) RLIKE r'\b(usd|u\$s|us\$|d[oó]lares?)\b' THEN 'USD' WHEN lower(clean_text(s)) RLIKE r'\b(ars|pesos?)\b|\$' THEN 'ARS' END"),
+    "commune": ("s STRING", "INT", "CASE " + " ".join(f"WHEN contains(fold(s), '{k}') THEN {v}" for k, v in COMMUNES) + " END"),
 }
 
 
+@F.udtf(returnType="pos int, href string")
+class HtmlLinks:
+    """The links of a page, in order."""
+
+    def eval(self, html: str | None) -> Iterator[tuple[int, str]]:
+        found = [dict(r["attrs"]).get("href") for r in (page_of(html) or {"elements": []})["elements"] if r["tag"] == "a"]
+        yield from enumerate(h for h in found if h)
+
+
+@F.udtf(returnType="pos int, object string")
+class JsonldObjects:
+    """Every object of a page's JSON-LD, outer ones first."""
+
+    def eval(self, html: str | None) -> Iterator[tuple[int, str]]:
+        yield from enumerate((page_of(html) or {"jsonld": []})["jsonld"])
+
+
+TABLES = {"html_links": HtmlLinks, "jsonld_objects": JsonldObjects}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions callable in this session's SQL; returns their names."""
     for name, (args, kind, body) in BODIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
     spark.udf.register("html_page", html_page())
-    return sorted([*BODIES, "html_page"])
+    for name, table in TABLES.items():
+        spark.udtf.register(name, table)
+    return sorted([*BODIES, "html_page", *TABLES])

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Folders of sessions on one machine that name no shared folder, by application.
+OWN_DIRS: dict[str, str] = {}
 FAILURES = "url string, page int, reason string, timestamp_utc timestamp"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only where driver and executors are one process
+    a temporary folder serves instead."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or OWN_DIRS.get(context.applicationId)
+    if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="parcela-")
+    return found
+
+
 def read_journal(spark: SparkSession, path: str, schema: str, offset: str | None = None) -> DataFrame:
     """The JSON lines that can be read; torn ones go. offset: a name for the place of each line, file by file,
     by which the latest is found."""
@@ -42,6 +58,12 @@ def state(rows: DataFrame, key: str, page: str) -> DataFrame:
     return rows.agg(F.max(page).alias("last_page"), F.count_distinct(key).alias("unique_properties"))
 
 
+def last_completed(pages: DataFrame, page: str, left: DataFrame, left_page: str) -> int | None:
+    """The last of the pages before the first one of which rows are left to do: where the next run takes up."""
+    first = left.agg(F.min(left_page)).first()[0]
+    return pages.filter(F.lit(True) if first is None else F.col(page) < first).agg(F.max(page)).first()[0]
+
+
 def failures(rows: DataFrame, reason: str, at: str) -> DataFrame:
     """FAILURES of rows (url, page) with a reason column and the time column at."""
     return rows.filter(F.col(reason).isNotNull()).select("url", F.col("page").cast("int").alias("page"), F.col(reason).alias("reason"), F.col(at).cast("timestamp").alias("timestamp_utc"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcela.operators.incremental import latest
+from parcela.sources import tables
 
 
 def captured_rows(spark: SparkSession, path: str, schema: str, files: int = 1, fmt: str = "json") -> DataFrame:
@@ -43,3 +44,22 @@ def with_dead_letters(rows: DataFrame, reason: str, good: str, dead: str, checkp
 
 def snapshot(journal: DataFrame, key: str, order: str) -> DataFrame:
     return latest(journal, key, order)
+
+
+def with_snapshots(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, every: int = 1) -> StreamingQuery:
+    """Each micro-batch to a journal under path; after every so many of them the snapshot (latest of each key) and the state of the whole journal are written anew. A snapshot reads the
+    whole journal, so a long run wants a wide cadence. A batch that is run again overwrites its own folder."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/journal/batch={number}")
+        if number % every == 0:
+            write_state(batch.sparkSession, key, order, path)
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_state(spark: SparkSession, key: str, order: str, path: str) -> None:
+    """The snapshot and the state of the journal under path; also to be called at the end of a run."""
+    whole = spark.read.parquet(f"{path}/journal").drop("batch")
+    tables.write_snapshot(latest(whole, key, order), f"{path}/snapshot")
+    whole.agg(F.max(order).alias("last"), F.count_distinct(key).alias("n_keys")).write.mode("overwrite").json(f"{path}/state")

@@ -26,33 +26,28 @@ def test_numbers(spark):
     assert column(spark, NUMBERS, numbers.parse_card_number) == [b for _, b in NUMBERS.values()]
 
 
-def plain_number(s):
-    """The same rule, written plainly."""
-    import re
-
-    m = re.search(r"-?[0-9][0-9.,]*", s)
-    if not m:
-        return None
-    n = m[0]
-    dots, commas = n.count("."), n.count(",")
-    if dots and commas:
-        n = n.replace(".", "").replace(",", ".")
-    elif dots > 1 or commas > 1:
-        n = n.replace(".", "").replace(",", "")
-    elif commas:
-        n = n.replace(",", "." if len(n) - n.index(",") <= 3 else "")
-    elif dots and len(n) - n.index(".") == 4:
-        n = n.replace(".", "")
-    try:
-        return float(n)
-    except ValueError:
-        return None
+def notations(value):
+    """A number of cents in the notations that have one reading: (text, value)."""
+    whole, cents = divmod(value, 100)
+    points, commas = f"{whole:,}".replace(",", "."), f"{whole:,}"
+    out = [(f"{whole},{cents:02d}", value / 100), (str(whole), float(whole)), (f"{whole}.{cents:02d}", value / 100)]
+    if whole >= 1000:
+        out += [(f"{points},{cents:02d}", value / 100), (points, float(whole))]
+    if whole >= 1_000_000:
+        out.append((commas, float(whole)))
+    return out
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.text("0123456789.,-$ USDARS", max_size=14), min_size=30, max_size=60))
-def test_numbers_against_a_plain_rule(spark, texts):
-    assert column(spark, texts, numbers.parse_number) == [plain_number(t) for t in texts]
+@given(st.lists(st.tuples(st.integers(0, 10**10), st.sampled_from(["", "USD ", "$ ", "precio: "]), st.sampled_from(["", " por mes", "-"])), min_size=20, max_size=40))
+def test_numbers_of_known_values(spark, found):
+    texts = [(before + text + after, value) for n, before, after in found for text, value in notations(n)]
+    assert column(spark, [t for t, _ in texts], numbers.parse_number) == [pytest.approx(v) for _, v in texts]
+
+
+def test_numbers_outside_markup(spark):
+    texts = ['<a href="12">5</a>', "&#39;7&#39;", "1.250<b>x</b>", "<!-- 3 --> 4,5 &amp; 6", None]
+    assert column(spark, texts, numbers.parse_number) == [5.0, 7.0, 1250.0, 4.5, None]
 
 
 def test_ranges(spark):
@@ -123,6 +118,30 @@ def test_block_reason(spark, title, visible, html, reason):
 
 
 def test_sql_functions(spark):
-    assert "parse_number" in register(spark)
+    assert {"parse_number", "html_links", "jsonld_objects"} <= {*register(spark)}
     assert spark.sql("select parse_number('1.250,50'), item_id('https://h/MLA-1'), canonical_url('http://h/a?b')").first()[:] == (1250.5, "MLA1", "http://h/a")
     assert spark.sql("select html_page('<title>a</title><p>b').title, size(html_page('<p>a<p>b').elements)").first()[:] == ("a", 2)
+
+
+def test_sql_functions_answer_as_columns_do(spark):
+    register(spark)
+    texts = ["", None, "  Sí ", "Núñez", "No apto", "US$120.000", "USD 1.250,50", "<a href='12'>5</a>", "&#39;7", "1,25", "\u00a0https://h/MLA-7/\t", "https://h/venta/x/pagina-3/", "https://h/x/_Desde_97_NoIndex_True", "Palermo Hollywood"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    df.createOrReplaceTempView("texts")
+    both = {
+        "clean_text(s)": text.clean_text("s"), "fold(s)": text.fold("s"), "normalize_key(s)": text.normalize_key("s"), "parse_bool(s)": text.parse_bool("s"), "property_id(s)": urls.stable_id(F.col("s")), "item_id(s)": urls.item_id("s"),
+        "parse_number(s)": numbers.parse_number("s"), "parse_card_number(s)": numbers.parse_card_number("s"), "currency(s)": numbers.parse_money("s")["currency"], "commune(s)": address.commune("s"),
+        "page_url_a(s, 5)": urls.page_url_a("s", F.lit(5)), "page_url_c(s, 1)": urls.page_url_c("s", F.lit(1)), "page_url_c(s, 3)": urls.page_url_c("s", F.lit(3)),
+    }
+    got = spark.sql("select " + ", ".join(both) + " from texts").collect()
+    want = df.select(*[c.alias(str(i)) for i, c in enumerate(both.values())]).collect()
+    for g, w in zip(got, want, strict=True):
+        assert tuple(g) == tuple(w)
+
+
+def test_sql_tables(spark):
+    register(spark)
+    page = '<a href="/a">x</a><a>y</a><a href="/b">z</a><script type="application/ld+json">{"b": {"c": 1}}</script>'
+    spark.createDataFrame([(page,), (None,)], "html string").createOrReplaceTempView("captured")
+    assert sorted(map(tuple, spark.sql("select l.pos, l.href from captured, lateral html_links(html) l").collect())) == [(0, "/a"), (1, "/b")]
+    assert sorted(map(tuple, spark.sql("select l.pos, l.object from captured, lateral jsonld_objects(html) l").collect())) == [(0, '{"b": {"c": 1}}'), (1, '{"c": 1}')]

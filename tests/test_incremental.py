@@ -1,5 +1,6 @@
 """Journals, snapshots, streams and dead letters."""
 
+from parcela.functions import address
 from parcela.operators import incremental as inc
 from parcela.sources import tables
 from parcela.streaming import journal
@@ -33,6 +34,8 @@ def test_joins_and_limits(spark):
     assert [r.pos for r in inc.budget(found, ["pos"], 2).collect()] == [1, 2] and inc.budget(found, ["pos"], -1).count() == 0
     flags = spark.createDataFrame([(1, False), (2, True), (3, False), (4, True), (5, True)], "page int, empty boolean")
     assert inc.stop_page(flags, "page", "empty").first()[0] == 5
+    three = spark.createDataFrame([(p, p in (1, 2, 4, 5, 6, 7)) for p in range(9)] + [(1, True)], "page int, empty boolean")
+    assert inc.stop_page(three, "page", "empty", 3).first()[0] == 6 and inc.stop_page(three, "page", "empty", 5).first()[0] is None
 
 
 def test_stream_is_taken_up_again(spark, tmp_path):
@@ -56,3 +59,28 @@ def test_dead_letters(spark, tmp_path):
     journal.with_dead_letters(rows, "reason", str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "state")).awaitTermination()
     assert [r.url for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["a"]
     assert [r.url for r in spark.read.parquet(str(tmp_path / "dead")).collect()] == ["b"]
+
+
+def test_snapshots_at_a_cadence(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run():
+        rows = journal.captured_rows(spark, src, "url string, n int")
+        journal.with_snapshots(rows, "url", "n", out, state, every=1).awaitTermination()
+        return {r.url: r.n for r in spark.read.option("header", "true").schema("url string, n int, first_seen int").csv(f"{out}/snapshot").collect()}
+
+    spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "url string, n int").coalesce(1).write.mode("append").json(src)
+    assert run() == {"a": 2, "b": 1}
+    spark.createDataFrame([("a", 3), ("c", 1)], "url string, n int").coalesce(1).write.mode("append").json(src)
+    assert run() == {"a": 3, "b": 1, "c": 1}
+    got = spark.read.json(f"{out}/state").first()
+    assert (got["last"], got["n_keys"]) == (3, 3)
+
+
+def test_first_contained_in_small_and_large_lookups(spark):
+    texts = [("villa luro norte",), ("el retiro",), ("a",), ("",), (None,), ("zz top",), ("el retiro",)]
+    lookup = [(3, "retiro", 1), (1, "villa luro", 10), (2, "luro", 7), (5, "a", 5), (4, "zz", 4), (6, "nada de esto", 6)]
+    df, table = spark.createDataFrame(texts, "t string"), spark.createDataFrame(lookup, "ord int, k string, v int")
+    want = sorted([("villa luro norte", "villa luro", 10), ("el retiro", "retiro", 1), ("el retiro", "retiro", 1), ("a", "a", 5), ("", None, None), (None, None, None), ("zz top", "zz", 4)], key=repr)
+    for most in (10, 2):
+        assert sorted(map(tuple, address.first_contained(df, "t", table, most).select("t", "k", "v").collect()), key=repr) == want
