@@ -14,10 +14,12 @@ theirs, so they travel together, and a window can only repeat if its minimizer d
 
 Every window is judged on the input, by 128 bits of hash: the minimizer's and the edge's own.
 
-The runs of a minimizer with more than HOT occurrences aren't gathered. Runs of equal edges are one run with many
-places (hot_runs()); of each run and then of each edge the earliest place is found by aggregations that combine before
-they shuffle, and joins bring it back to the runs and their places (hot_segments()). The sources are the same as in 3.,
-the earliest places of all, so HOT changes no result; and no task holds a group that grows with the input.
+The runs of a minimizer with more than HOT occurrences aren't gathered. Neighbouring hot runs make a chunk, which ends
+where the next minimizer is a multiple of CHUNK, so that it depends on the words alone and texts that share a passage
+share its chunks. Equal chunks are one with many places (hot_chunks()); of each chunk and then of each edge the earliest
+place is found by aggregations that combine before they shuffle, and joins bring it back to the chunks and their places
+(hot_segments()). The sources are the same as in 3., the earliest places of all, so HOT changes no result; and no task
+holds a group that grows with the input.
 
 A null text has no words and nothing removed; nor does one of fewer than WINDOW words. A null doc_id orders
 last. Rows with equal doc_id and text are one document and get the same result; rows with equal doc_id and
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 
 from parcela.llm.common import SPACE, WordHashes, discard, documents, gram_hashes, materialize, n_words, order_id, text_key
 
-WINDOW, GRAM, HOT = 20, 8, 4096
+WINDOW, GRAM, HOT, CHUNK = 20, 8, 4096, 8
 ANCHORS = "m long, ord long, tkey long, n int"
 WINDOWS = "m long, ord long, tkey long, start int, edges array<long>"
-RUNS = "m long, run long, run2 long, ord long, tkey long, start int, edges array<long>"
+CHUNKS = "chunk long, chunk2 long, ord long, tkey long, start int, m array<long>, edge array<long>"
 SEGMENTS = "ord long, tkey long, start int, n int, src_ord long, src_tkey long, src_start int"
 
 
@@ -139,18 +141,34 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(WINDOWS, m=of(0, np.uint64), ord=of(1), tkey=of(2), start=of(3), edges=lists([len(x[4]) for x in found], joined([x[4] for x in found], np.uint64)))
 
 
-def hot_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """RUNS: the runs of windows of hot minimizers; equal edges, equal run. Each batch gives the edges of a run once."""
+def chunks_of(found: Iterator[tuple[int, int, int, int, np.ndarray]]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """ord, tkey, first window, and the minimizer and the edge of each window, of neighbouring runs."""
+    own: list[tuple] = []
+    for m, *place, start, edges in found:
+        if own and ([*own[0][1:3]] != place or own[-1][3] + len(own[-1][4]) != start or not int(m) % CHUNK):
+            yield chunk(own)
+            own = []
+        own.append((m, *place, start, edges))
+    if own:
+        yield chunk(own)
+
+
+def chunk(own: list[tuple]) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    return *own[0][1:4], np.repeat(np.array([x[0] for x in own], np.uint64), [len(x[4]) for x in own]), np.concatenate([x[4] for x in own])
+
+
+def hot_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CHUNKS: the windows of hot minimizers. Each batch gives the windows of a chunk once."""
     hashes = WordHashes()
     for batch in batches:
-        found = [*marked_runs(batch, hashes, hot=True)]
-        whole = [xxhash.xxh3_128_intdigest(x[4].tobytes()) for x in found]
+        found = [*chunks_of(marked_runs(batch, hashes, hot=True))]
+        whole = [xxhash.xxh3_128_intdigest(m.tobytes() + e.tobytes()) for *_, m, e in found]
         first = np.zeros(len(found), bool)
-        first[[*{(x[0], w): i for i, (x, w) in reversed([*enumerate(zip(found, whole, strict=True))])}.values()]] = True
-        of = lambda k, kind=np.int64, found=found: np.array([x[k] for x in found], kind)
-        edges = pa.array([x[4].view(np.int64) if f else None for x, f in zip(found, first, strict=True)], pa.list_(pa.int64()))
+        first[[*{w: i for i, w in reversed([*enumerate(whole)])}.values()]] = True
+        of = lambda k, found=found: np.array([x[k] for x in found], np.int64)
+        once = lambda k, found=found, first=first: pa.array([x[k].view(np.int64) if f else None for x, f in zip(found, first, strict=True)], pa.list_(pa.int64()))
         low, high = (np.array([w >> s & 0xFFFFFFFFFFFFFFFF for w in whole], np.uint64) for s in (0, 64))
-        yield table(RUNS, m=of(0, np.uint64), run=low, run2=high, ord=of(1), tkey=of(2), start=of(3), edges=edges)
+        yield table(CHUNKS, chunk=low, chunk2=high, ord=of(0), tkey=of(1), start=of(2), m=once(3), edge=once(4))
 
 
 def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,20 +212,22 @@ def settled(rows: pa.Table) -> pa.RecordBatch:
 
 def hot_segments(marked: DataFrame) -> DataFrame:
     """SEGMENTS of the windows of hot minimizers. marked: ord, tkey, text, marks."""
-    found = materialize(marked.filter(F.exists("marks", lambda x: x["hot"])).select("ord", "tkey", "text", "marks").mapInArrow(hot_runs, RUNS), "hot-runs")
-    one = ["m", "run", "run2"]
-    distinct = found.groupBy(*one).agg(F.min(F.struct("ord", "start", "tkey")).alias("first"), F.first("edges", ignorenulls=True).alias("edges"))
-    edges = distinct.select(*one, "first", F.posexplode("edges").alias("i", "edge"))
-    edges = materialize(edges.select(*one, "i", "edge", F.struct(F.col("first.ord").alias("ord"), (F.col("first.start") + F.col("i")).alias("start"), F.col("first.tkey").alias("tkey")).alias("place")), "hot-edges")
+    found = materialize(marked.filter(F.exists("marks", lambda x: x["hot"])).select("ord", "tkey", "text", "marks").mapInArrow(hot_chunks, CHUNKS), "hot-chunks")
+    one = ["chunk", "chunk2"]
+    windows_ = F.first(F.when(F.col("edge").isNotNull(), F.arrays_zip("m", "edge")), ignorenulls=True).alias("windows")
+    distinct = found.groupBy(*one).agg(F.min(F.struct("ord", "start", "tkey")).alias("first"), windows_)
+    edges = distinct.select(*one, "first", F.posexplode("windows").alias("i", "w"))
+    place = F.struct(F.col("first.ord").alias("ord"), (F.col("first.start") + F.col("i")).alias("start"), F.col("first.tkey").alias("tkey"))
+    edges = materialize(edges.select(*one, "i", "w.m", "w.edge", place.alias("place")), "hot-edges")
     sources = materialize(edges.groupBy("m", "edge").agg(F.min("place").alias("source")), "hot-sources")
     own = edges.join(sources.hint("shuffle_hash"), ["m", "edge"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("i", "source.ord", "source.tkey", "source.start"))).alias("sources"))
-    own = materialize(own, "hot-run-sources")
+    own = materialize(own, "hot-chunk-sources")
     discard(edges, sources)
     return found.select(*one, "ord", "tkey", "start").distinct().join(own.hint("shuffle_hash"), one).select("ord", "tkey", "start", "sources").mapInArrow(placed, SEGMENTS)
 
 
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ord, tkey, start and sources (of each window of the run) to SEGMENTS."""
+    """ord, tkey, start and sources (of each window of the chunk) to SEGMENTS."""
     for batch in batches:
         flat, size = batch["sources"].flatten(), pa.compute.list_value_length(batch["sources"]).to_numpy()
         row = np.repeat(np.arange(len(size)), size)

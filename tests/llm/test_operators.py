@@ -73,7 +73,7 @@ def test_substring_dedup_of_rows_that_share_an_id(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(substrings, "HOT", hot)
     rng = random.Random(8)
     passage = prose(rng, 30)
-    others = [(d, f"{passage} {prose(rng, 20 + i)}") for i, d in enumerate([None] * 6 + [7] * 3)]
+    others = [(d, " ".join([passage, *(f"w{i}_{k}" for k in range(20 + i))])) for i, d in enumerate([None] * 6 + [7] * 3)]
     path = f"{tmp_path}/documents.parquet"
     spark.createDataFrame([(1, f"{prose(rng, 12)} {passage}")], "doc_id long, text string").write.parquet(path)
     spark.createDataFrame(others + others[:1], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
