@@ -272,7 +272,7 @@ def coded(text: Column, path: str) -> Column:
 
 def stage(spark, docs: DataFrame, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """doc_id, lang, source, ids (little-endian unsigned 32-bit), n_tokens, and whether decoding the ids gives
-    the text again, of every document."""
+    the text again, of every document. docs must have doc_id, text, lang and source; other columns are left out."""
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     out = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("code", coded(F.col("text"), tokenizer))
     return out.select("doc_id", "lang", "source", "code.ids", (F.octet_length("code.ids") / 4).cast("long").alias("n_tokens"), (F.col("code.decoded") == F.col("text")).alias("round_trip"))

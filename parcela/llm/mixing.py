@@ -59,7 +59,8 @@ def with_takes(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = S
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, with all its columns. docs must have doc_id, text and source; columns whose
+    names begin with _mix_ are the operator's."""
     taken = with_takes(docs).filter(F.col(S + "copies") > 0)
     return taken.withColumn(S + "copy", F.explode(F.sequence(F.lit(1), F.col(S + "copies")))).select(*docs.columns)
 

@@ -263,6 +263,16 @@ def test_mixing(spark, sf_dir, edge):
     assert 0.7 * sum(r.size for r in got) < sum(taken.values()) < 1.3 * sum(r.size for r in got)
 
 
+def test_each_source_comes_near_its_target(spark):
+    path = "/root/testdata/sf0.1"
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "source").collect()}
+    taken, target = Counter(), {}
+    for r in run(spark, 6, path):
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert all(0.8 * x <= taken[s] <= 1.25 * x for s, x in target.items())
+
+
 def test_capped_targets(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, None: 0}
     got = mixing.source_targets(spark.createDataFrame([*sizes.items()], "source string, size long"))
