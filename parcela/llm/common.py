@@ -101,3 +101,18 @@ def gram_hashes(tokens: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> n
             power = power[: len(power) - size] * np.uint64(pow(int(base), size, 1 << 64)) + power[size:]
         size *= 2
     return mixed(out)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """df, written, with `name`: places from 1 in an order, which should be total. Ranges are sorted by themselves, and the
+    numbers of rows of the ranges before are carried: a row a range, as many as shuffle partitions, comes to the driver."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, name)
+    counts, before, carried = placed.groupBy(F.shiftright("_at", 33).alias("_range")).count().collect(), 0, []
+    for r in sorted(counts):
+        carried.append((r["_range"], before))
+        before += r["count"]
+    carried = F.broadcast(df.sparkSession.createDataFrame(carried, "_range long, _before long"))
+    out = placed.join(carried, F.shiftright("_at", 33) == F.col("_range"))
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_range", "_before", "_at")
