@@ -16,10 +16,12 @@ Every window is judged on the input, by 128 bits of hash: the minimizer's and th
 
 The runs of a minimizer with more than HOT occurrences aren't gathered. Neighbouring hot runs make a chunk, which ends
 where the next minimizer is a multiple of CHUNK, so that it depends on the words alone and texts that share a passage
-share its chunks. Equal chunks are one with many places (hot_chunks()); of each chunk and then of each edge the earliest
-place is found by aggregations that combine before they shuffle, and joins bring it back to the chunks and their places
-(hot_segments()). The sources are the same as in 3., the earliest places of all, so HOT changes no result; and no task
-holds a group that grows with the input.
+share its chunks. Equal chunks are one with many places (hot_chunks()), equal runs of different chunks are one with the
+earliest of their places (hot_runs()). A minimizer with few different runs is settled as in 3.; of one with more than HOT, each
+edge's earliest place is found by an aggregation that combines before it shuffles. Runs get their sources as segments, not by
+window, chunks get those of their runs, put together where they go on, and places those of their chunk, by joins that
+Spark can split (hot_segments()). The sources are the same as in 3., the earliest places of all, so HOT changes no
+result; and no task holds a group that grows with the input.
 
 A null text has no words and nothing removed; nor does one of fewer than WINDOW words. A null doc_id orders
 last. Rows with equal doc_id and text are one document and get the same result; rows with equal doc_id and
@@ -40,10 +42,12 @@ from pyspark.sql import functions as F
 
 from parcela.llm.common import SPACE, WordHashes, discard, documents, gram_hashes, materialize, n_words, order_id, text_key
 
-WINDOW, GRAM, HOT, CHUNK = 20, 8, 4096, 8
+WINDOW, GRAM, HOT, CHUNK = 20, 8, 4096, 32
 ANCHORS = "m long, ord long, tkey long, n int"
 WINDOWS = "m long, ord long, tkey long, start int, edges array<long>"
 CHUNKS = "chunk long, chunk2 long, ord long, tkey long, start int, m array<long>, edge array<long>"
+RUNS = "chunk long, chunk2 long, i int, m long, run long, ord long, tkey long, start int, edges array<long>"
+SOURCES = "m long, run long, i int, n int, src_ord long, src_tkey long, src_start int"
 SEGMENTS = "ord long, tkey long, start int, n int, src_ord long, src_tkey long, src_start int"
 
 
@@ -171,8 +175,8 @@ def hot_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(CHUNKS, chunk=low, chunk2=high, ord=of(0), tkey=of(1), start=of(2), m=once(3), edge=once(4))
 
 
-def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of WINDOWS with equal minimizers together: the segments that start earlier elsewhere."""
+def by_minimizer(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.RecordBatch]:
+    """settle of rows with equal minimizers together, at the ends of batches too."""
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -183,57 +187,125 @@ def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = int(np.searchsorted(key, key[-1]))  # the last minimizer may go on
         rest = got.slice(cut)
         if cut:
-            yield settled(got.slice(0, cut).combine_chunks())
+            yield settle(got.slice(0, cut).combine_chunks())
     if rest is not None:
-        yield settled(rest.combine_chunks())
+        yield settle(rest.combine_chunks())
 
 
-def segments_at(ords: np.ndarray, keys: np.ndarray, start: np.ndarray, row: np.ndarray, *source: np.ndarray) -> pa.RecordBatch:
-    """SEGMENTS of windows in order within each row, given each one's source (ord, tkey, start): those that start earlier elsewhere."""
-    later = np.flatnonzero((source[0] != ords) | (source[2] != start))
-    s_ord, s_key, s_start = (x[later] for x in source)
-    begin = segments_of(row[later], start[later], s_ord, s_key, s_start)
-    n, head = np.diff(np.r_[begin, len(later)]), later[begin]
-    return table(SEGMENTS, ord=ords[head], tkey=keys[head], start=start[head], n=n, src_ord=s_ord[begin], src_tkey=s_key[begin], src_start=s_start[begin])
+def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of WINDOWS with equal minimizers together: the segments that start earlier elsewhere."""
+    return by_minimizer(batches, settled)
 
 
-def settled(rows: pa.Table) -> pa.RecordBatch:
-    keys = [rows[c].to_numpy() for c in ("m", "ord", "start", "tkey")]
-    rows = rows.filter(pa.array(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])).combine_chunks()  # repeated rows
+def first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SOURCES from different runs (WINDOWS with run) with equal minimizers together."""
+    return by_minimizer(batches, run_sources)
+
+
+def sources(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of rows of WINDOWS: its row, its place in the document, its place in the row, and the index of the window that is its source."""
     edges = rows["edges"].combine_chunks() if isinstance(rows["edges"], pa.ChunkedArray) else rows["edges"]
     size = pa.compute.list_value_length(edges).to_numpy()
-    edge = edges.flatten().to_numpy()
     row = np.repeat(np.arange(len(size)), size)
     m, ords, keys, start = (rows[c].to_numpy()[row] for c in ("m", "ord", "tkey", "start"))
-    start = start.astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    first = earliest([ords, start, keys], [m, edge])
-    return segments_at(ords, keys, start, row, ords[first], keys[first], start[first])
+    i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    start = start.astype(np.int64) + i
+    return row, start, i, earliest([ords, start, keys], [m, edges.flatten().to_numpy()])
 
 
-def hot_segments(marked: DataFrame) -> DataFrame:
-    """SEGMENTS of the windows of hot minimizers. marked: ord, tkey, text, marks."""
-    found = materialize(marked.filter(F.exists("marks", lambda x: x["hot"])).select("ord", "tkey", "text", "marks").mapInArrow(hot_chunks, CHUNKS), "hot-chunks")
-    one = ["chunk", "chunk2"]
-    windows_ = F.first(F.when(F.col("edge").isNotNull(), F.arrays_zip("m", "edge")), ignorenulls=True).alias("windows")
-    distinct = found.groupBy(*one).agg(F.min(F.struct("ord", "start", "tkey")).alias("first"), windows_)
-    edges = distinct.select(*one, "first", F.posexplode("windows").alias("i", "w"))
-    place = F.struct(F.col("first.ord").alias("ord"), (F.col("first.start") + F.col("i")).alias("start"), F.col("first.tkey").alias("tkey"))
-    edges = materialize(edges.select(*one, "i", "w.m", "w.edge", place.alias("place")), "hot-edges")
-    sources = materialize(edges.groupBy("m", "edge").agg(F.min("place").alias("source")), "hot-sources")
-    own = edges.join(sources.hint("shuffle_hash"), ["m", "edge"]).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("i", "source.ord", "source.tkey", "source.start"))).alias("sources"))
-    own = materialize(own, "hot-chunk-sources")
-    discard(edges, sources)
-    return found.select(*one, "ord", "tkey", "start").distinct().join(own.hint("shuffle_hash"), one).select("ord", "tkey", "start", "sources").mapInArrow(placed, SEGMENTS)
+def settled(rows: pa.Table) -> pa.RecordBatch:
+    keys = [rows[c].to_numpy() for c in ("m", "ord", "start", "tkey")]
+    rows = rows.filter(pa.array(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])).combine_chunks()  # repeated rows
+    row, start, _, first = sources(rows)
+    ords, keys = (rows[c].to_numpy()[row] for c in ("ord", "tkey"))
+    later = np.flatnonzero((ords[first] != ords) | (start[first] != start))
+    s_ord, s_key, s_start = (x[first[later]] for x in (ords, keys, start))
+    begin = segments_of(row[later], start[later], s_ord, s_key, s_start)
+    n, head = np.diff(np.r_[begin, len(later)]), later[begin]
+    return table(SEGMENTS, ord=ords[head], tkey=keys[head], start=start[head], n=n, src_ord=s_ord[begin], src_tkey=s_key[begin], src_start=s_start[begin])
+
+
+def run_sources(rows: pa.Table) -> pa.RecordBatch:
+    row, start, i, first = sources(rows)
+    ords, keys = (rows[c].to_numpy()[row] for c in ("ord", "tkey"))
+    return in_segments(row, i, rows["m"].to_numpy()[row], rows["run"].to_numpy()[row], ords[first], keys[first], start[first])
 
 
-def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ord, tkey, start and sources (of each window of the chunk) to SEGMENTS."""
+def in_segments(row, i, m, run, *source) -> pa.RecordBatch:
+    """SOURCES of the windows i of runs, in order within each, given each one's source (ord, tkey, start)."""
+    begin = segments_of(row, i, *source)
+    return table(SOURCES, m=m[begin], run=run[begin], i=i[begin], n=np.diff(np.r_[begin, len(row)]), src_ord=source[0][begin], src_tkey=source[1][begin], src_start=source[2][begin])
+
+
+def hot_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RUNS of different chunks, each with its chunk's first place; the edges of equal runs once a batch."""
+    for batch in batches:
+        flat, size = batch["m"].flatten().to_numpy(), pa.compute.list_value_length(batch["m"]).to_numpy()
+        edge, row = batch["edge"].flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])][: len(row)])
+        ends = np.r_[begin[1:], len(row)]
+        own = [edge[a:b] for a, b in zip(begin, ends, strict=False)]
+        run, seen, lists_of = np.array([xxhash.xxh3_64_intdigest(e.tobytes()) for e in own], np.uint64), set(), []
+        for key, e in zip(zip(flat[begin].tolist(), run.tolist(), strict=True), own, strict=True):
+            lists_of.append(None if key in seen else e)
+            seen.add(key)
+        i, row = begin - (np.cumsum(size) - size)[row[begin]], row[begin]
+        of = lambda c, batch=batch, row=row: batch[c].to_numpy()[row]
+        yield table(RUNS, chunk=of("chunk"), chunk2=of("chunk2"), i=i, m=flat[begin], run=run, ord=of("ord"), tkey=of("tkey"), start=of("start") + i, edges=pa.array(lists_of, pa.list_(pa.int64())))
+
+
+def window_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """m, run and sources (i, ord, tkey, start of each window) to SOURCES."""
     for batch in batches:
         flat, size = batch["sources"].flatten(), pa.compute.list_value_length(batch["sources"]).to_numpy()
         row = np.repeat(np.arange(len(size)), size)
-        i, s_ord, s_key, s_start = (x.to_numpy().astype(np.int64) for x in flat.flatten())
-        ords, keys, start = (batch[c].to_numpy()[row] for c in ("ord", "tkey", "start"))
-        yield segments_at(ords, keys, start.astype(np.int64) + i, row, s_ord, s_key, s_start)
+        i, *source = (x.to_numpy().astype(np.int64) for x in flat.flatten())
+        yield in_segments(row, i, *(batch[c].to_numpy()[row] for c in ("m", "run")), *source)
+
+
+def put_together(parts: Column) -> Column:
+    """Segments (i, n, ord, tkey, start) of a chunk, in order: those that go on, in the chunk and in the source, are one."""
+    kind = "array<struct<i: int, n: int, ord: bigint, tkey: bigint, start: int>>"
+
+    @F.arrow_udf(kind)
+    def merged(column: pa.Array) -> pa.Array:
+        size = pa.compute.list_value_length(column).to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        i, n, s_ord, s_key, s_start = (x.to_numpy().astype(np.int64) for x in column.flatten().flatten())
+        same = (row[1:] == row[:-1]) & (i[1:] == i[:-1] + n[:-1]) & (s_ord[1:] == s_ord[:-1]) & (s_key[1:] == s_key[:-1]) & (s_start[1:] == s_start[:-1] + n[:-1])
+        begin = np.flatnonzero(np.r_[True, ~same][: len(row)])
+        total = np.add.reduceat(n, begin) if len(begin) else n
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        own = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((i[begin], total, s_ord[begin], s_key[begin], s_start[begin]), kinds, strict=True)], ["i", "n", "ord", "tkey", "start"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[begin], minlength=len(size)))], pa.int32()), own)
+
+    return merged(parts)
+
+
+def hot_segments(marked: DataFrame) -> DataFrame:
+    """SEGMENTS of the windows of hot minimizers. marked: ord, tkey, text, marks."""
+    found = materialize(marked.filter(F.exists("marks", lambda x: x["hot"])).select("ord", "tkey", "text", "marks").mapInArrow(hot_chunks, CHUNKS), "hot-chunks")
+    one, where = ["chunk", "chunk2"], F.min(F.struct("ord", "start", "tkey")).alias("first")
+    content = F.first(F.when(F.col("edge").isNotNull(), F.struct("m", "edge")), ignorenulls=True).alias("own")
+    chunks = found.groupBy(*one).agg(where, content).select(*one, "first.ord", "first.tkey", F.col("first.start").cast("int").alias("start"), "own.m", "own.edge")
+    of_chunks = materialize(chunks.mapInArrow(hot_runs, RUNS), "hot-runs")
+    runs_ = of_chunks.groupBy("m", "run").agg(where, F.first("edges", ignorenulls=True).alias("edges"))
+    runs_ = materialize(runs_.select("m", "run", "first.ord", "first.tkey", "first.start", "edges"), "different-runs")
+    many = runs_.groupBy("m").count().withColumn("many", F.col("count") > HOT).select("m", "many")
+    runs_ = runs_.join(many, "m")
+    few = runs_.filter(~F.col("many")).drop("many").repartition("m").sortWithinPartitions("m", "ord", "start", "tkey").mapInArrow(first_runs, SOURCES)
+    windows_ = runs_.filter("many").select("m", "run", "ord", "tkey", "start", F.posexplode("edges").alias("i", "edge"))
+    windows_ = windows_.select("m", "run", "i", "edge", F.struct("ord", (F.col("start") + F.col("i")).alias("start"), "tkey").alias("place"))
+    first = windows_.groupBy("m", "edge").agg(F.min("place").alias("source"))
+    each = windows_.join(first.hint("shuffle_hash"), ["m", "edge"]).groupBy("m", "run").agg(F.sort_array(F.collect_list(F.struct("i", "source.ord", "source.tkey", "source.start"))).alias("sources"))
+    of_runs = materialize(few.union(each.mapInArrow(window_sources, SOURCES)), "hot-run-sources")
+    parts = of_chunks.select(*one, F.col("i").alias("at"), "m", "run").join(of_runs, ["m", "run"])
+    parts = parts.select(*one, F.struct((F.col("at") + F.col("i")).alias("i"), "n", F.col("src_ord").alias("ord"), F.col("src_tkey").alias("tkey"), F.col("src_start").alias("start")).alias("part"))
+    own = parts.groupBy(*one).agg(F.sort_array(F.collect_list("part")).alias("parts")).select(*one, put_together(F.col("parts")).alias("parts"))
+    own = materialize(own, "hot-chunk-sources")
+    placed = found.select(*one, "ord", "tkey", "start").distinct().join(own.hint("shuffle_hash"), one).select("ord", "tkey", "start", F.explode("parts").alias("s"))
+    placed = placed.select("ord", "tkey", (F.col("start") + F.col("s.i")).alias("start"), "s.n", F.col("s.ord").alias("src_ord"), F.col("s.tkey").alias("src_tkey"), F.col("s.start").alias("src_start"))
+    return placed.filter((F.col("src_ord") != F.col("ord")) | (F.col("src_start") != F.col("start")))
 
 
 def paths(segments: DataFrame) -> DataFrame:
