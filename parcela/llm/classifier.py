@@ -1,6 +1,6 @@
 """Quality classifier: a weak-label model, then a hashed linear scorer.
 
-Heuristic labellers, which overlap, vote good or bad on each document or abstain; expectation-maximisation
+Heuristic labellers, which overlap, vote good, bad or very bad on each document or abstain; expectation-maximisation
 estimates their accuracies from the vote patterns of all documents (quality.fit_labels). The posterior
 labels train a logistic regression on hashed features of the text's word shapes, their neighbours and
 repetitions, on at most SAMPLE documents chosen by a hash (each with both labels, weighted by its
@@ -8,7 +8,8 @@ posterior). The scorer then judges every document. Votes and features are worked
 
 A null text is an empty one; a text without words has no features and gets score 0 and kept false. Equal texts
 get equal scores, so repeated rows and ties need no care. A table without any words, or without rows, is judged
-without fitting. score and kept replace columns of the caller's of those names; others are carried.
+without fitting. score and kept replace columns of the caller's of those names; those whose names begin with _qc_ are the
+operator's; others are carried.
 """
 
 from __future__ import annotations
@@ -39,18 +40,18 @@ def prepared(df: DataFrame, text: str = "text") -> DataFrame:
     # letters of one case become one letter, digits one digit; marks stay
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(c("t"), r"[\p{Ll}\p{Lo}]+", "a"), r"\p{Lu}{2,}", "AA"), r"\p{N}+", "0")
     df = df.withColumn(C + "shapes", F.filter(F.split(shape, rf"[{SPACE}]+"), lambda w: w != ""))
-    low_is_good = lambda x, good, bad: F.when(x <= good, 1).when(x > bad, -1).otherwise(0)
+    low_is_good = lambda x, good, bad, worst: F.when(x <= good, 1).when(x > worst, -2).when(x > bad, -1).otherwise(0)
     n = F.greatest(c("n"), F.lit(1.0))
     letters = F.greatest(F.length(F.regexp_replace(c("t"), r"[^\p{L}]", "")), F.lit(1)).cast("double")
     upper = F.length(F.regexp_replace(c("t"), r"[^\p{Lu}]", "")).cast("double")
     votes = {
-        "marks": low_is_good(count_of(c("t"), "#*$%&<>|") / n, 0.02, 0.15),
-        "upper": low_is_good(upper / letters, 0.10, 0.50),
-        "shouts": low_is_good(count_of(c("t"), "!") / n, 0.03, 0.25),
-        "same_word": low_is_good(c("same") / n, 0.04, 0.20),
-        "variety": F.when(c("n") < 30, 0).otherwise(low_is_good(1 - c("distinct") / n, 0.70, 0.90)),
+        "marks": low_is_good(count_of(c("t"), "#*$%&<>|") / n, 0.02, 0.15, 0.30),
+        "upper": low_is_good(upper / letters, 0.10, 0.50, 0.70),
+        "shouts": low_is_good(count_of(c("t"), "!") / n, 0.03, 0.25, 0.50),
+        "same_word": low_is_good(c("same") / n, 0.04, 0.20, 0.40),
+        "variety": F.when(c("n") < 30, 0).otherwise(low_is_good(1 - c("distinct") / n, 0.70, 0.90, 0.95)),
         "length": F.when(c("n") >= 50, 1).when(c("n") < 1, -1).otherwise(0),
-        "letters": low_is_good(1 - letters / F.greatest(F.length(F.translate(c("t"), SPACE_CHARS, "")).cast("double"), F.lit(1.0)), 0.20, 0.50),
+        "letters": low_is_good(1 - letters / F.greatest(F.length(F.translate(c("t"), SPACE_CHARS, "")).cast("double"), F.lit(1.0)), 0.20, 0.50, 0.70),
     }
     return df.withColumns({C + "v_" + k: v for k, v in votes.items()})
 

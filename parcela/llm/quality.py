@@ -1,12 +1,16 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Each rule votes good (1) or bad (-1) or abstains (0). Bad documents are bad in different ways, and a rule is made for
-one of them, so there is a kind of junk for each rule beside the good documents. Expectation-maximisation over the
-counts of vote patterns estimates how many documents are of each kind and how often each rule objects to it. START is
-where it starts and what is expected beforehand; WEIGHT says as how many documents' worth that counts, in shares of all
-documents: much for the objections to good documents, little for the rest, which the data show. A document's posterior
-probability of being good replaces the all-must-pass filter: an objection that comes alone and seldom is outvoted by the
-other rules, one that comes with a kind of junk isn't. Abstentions say nothing.
+Each rule votes good (1), bad (-1), very bad (-2) or abstains (0). Bad documents are bad in different ways, so there is a
+kind of junk for each rule, or group of rules that depend on each other, beside the good documents. Expectation-maximisation over the
+counts of vote patterns estimates how many documents are of each kind, and how often each rule objects to it. A document's
+posterior probability of being good replaces the all-must-pass filter: a mild objection that comes alone is outvoted by
+the other rules, however often the rule makes it; a strong one, or one that comes with a kind of junk, isn't.
+Abstentions say nothing.
+
+START is where the estimation begins, and counts as WEIGHT documents, whatever the table's size: from some hundred
+documents on, rates are what the documents say. Votes alone can't tell a rule that objects to many good documents from
+junk that only this rule finds; strength does. STRONG says what strong means and isn't estimated: few objections to good documents,
+and most of those to a rule's own kind of junk, lie so far beyond the bound.
 
 A null text is an empty one: no words, which fails the base rules. Equal texts get equal verdicts, so ties
 and repeated rows need no care. An empty table gives an empty result and leaves the rates where they start. Columns
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -76,59 +80,75 @@ def base_failed() -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules, over the columns of with_counts(). A rule has a bound for good and one for bad and
-    abstains between them."""
+    """The rules, over the columns of with_counts(). A rule has bounds for good, bad and very bad, and abstains
+    between the first two."""
     c = lambda name: F.col(P + name).cast("double")
     share = lambda a, b: a / F.greatest(b, F.lit(1.0))
-    low_is_good = lambda x, good, bad: F.when(x <= good, 1).when(x > bad, -1).otherwise(0)
+    low_is_good = lambda x, good, bad, worst: F.when(x <= good, 1).when(x > worst, -2).when(x > bad, -1).otherwise(0)
     mean = share(c("word_chars"), c("n_words"))
     return {
-        "repeats": low_is_good(share(c("n_repeat_words"), c("n_words")), 0.12, 0.35),
-        "symbols": low_is_good(share(c("n_symbols"), c("n_words")), 0.02, 0.10),
-        "dup_lines": F.when(c("n_lines") < 2, 0).otherwise(low_is_good(share(c("n_dup_lines"), c("n_lines")), 0.10, 0.34)),
-        "word_length": F.when(mean.between(2.5, 11.0), 1).when(mean.between(1.5, 15.0), 0).otherwise(-1),
-        "upper_case": low_is_good(share(c("n_upper"), c("word_chars")), 0.12, 0.40),
-        "shouts": low_is_good(share(c("n_shouts"), c("n_words")), 0.03, 0.15),
-        "line_ends": F.when(c("n_lines") < 1, 0).otherwise(low_is_good(1 - share(c("n_ended"), c("n_lines")), 0.40, 0.90)),
+        "repeats": low_is_good(share(c("n_repeat_words"), c("n_words")), 0.12, 0.35, 0.50),
+        "symbols": low_is_good(share(c("n_symbols"), c("n_words")), 0.02, 0.10, 0.20),
+        "dup_lines": F.when(c("n_lines") < 2, 0).otherwise(low_is_good(share(c("n_dup_lines"), c("n_lines")), 0.10, 0.34, 0.50)),
+        "word_length": F.when(mean.between(2.5, 11.0), 1).when(mean.between(1.5, 15.0), 0).when(mean.between(1.0, 30.0), -1).otherwise(-2),
+        "upper_case": low_is_good(share(c("n_upper"), c("word_chars")), 0.12, 0.40, 0.60),
+        "shouts": low_is_good(share(c("n_shouts"), c("n_words")), 0.03, 0.15, 0.30),
+        "line_ends": F.when(c("n_lines") < 1, 0).otherwise(low_is_good(1 - share(c("n_ended"), c("n_lines")), 0.40, 0.90, 1.0)),
     }
 
 
+#: Rules that object to the same kind of junk.
+KINDS = (("repeats", "dup_lines"), ("symbols",), ("word_length",), ("upper_case", "shouts"), ("line_ends",))
 #: Share of good documents; how often a rule objects to good documents, to junk of its own kind and to other junk.
-START = {"good": 0.85, "alarm": 0.005, "own": 0.8, "other": 0.1}
-#: Of the shares of the kinds, of the rules' objections to good documents, and of those to junk.
-WEIGHT = {"share": 0.005, "good": 1.0, "junk": 0.02}
+START = {"good": 0.85, "alarm": 0.02, "own": 0.8, "other": 0.1}
+#: How many of the objections to each of these are strong.
+STRONG = {"alarm": 0.05, "own": 0.8, "other": 0.3}
+#: Documents that START counts as: for the shares of the kinds, for the objections to good documents, and for those to a kind of junk.
+WEIGHT = {"share": 20.0, "good": 50.0, "junk": 20.0}
+#: Rounds of estimation, at most, and the change of rates at which they end.
+ROUNDS, CLOSE = 200, 1e-7
 #: Up to so many vote patterns come to the driver; more are summed by Spark in each round.
 PATTERNS = 100_000
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """rules: their columns. share: of good documents, then of each rule's junk. objects: a row for each of these
-    kinds, how often the vote that each rule casts is bad."""
+    """rules: their columns. kinds: of junk, the rules (by place) made for each. share: of good documents, then of each kind of
+    junk. objects: a row for each of these, how often the vote that each rule casts is an objection; strong: how
+    many of the objections are strong; 0 in all rows for a rule that has no strong ones."""
 
     rules: tuple[str, ...]
+    kinds: tuple[tuple[int, ...], ...]
     share: tuple[float, ...]
     objects: tuple[tuple[float, ...], ...]
+    graded: bool = True
 
     @classmethod
-    def start(cls, rules: Sequence[str]) -> LabelModel:
-        n = len(rules)
-        junk = [tuple(START["own" if i == k else "other"] for i in range(n)) for k in range(n)]
-        return cls(tuple(rules), (START["good"], *[(1 - START["good"]) / n] * n), ((START["alarm"],) * n, *junk))
-
-    def weights(self, kind: int, rule: int) -> tuple[float, float]:
-        """What a good and a bad vote add to the log odds of a kind against good."""
-        x, y = self.objects[kind][rule], self.objects[0][rule]
-        return math.log((1 - x) / (1 - y)), math.log(x / y)
+    def start(cls, rules: Sequence[str], kinds: Sequence[Sequence[int]] | None = None, graded: bool = True) -> LabelModel:
+        """kinds: one a rule unless told."""
+        kinds = tuple(map(tuple, kinds or [[i] for i in range(len(rules))]))
+        share = (START["good"], *[(1 - START["good"]) / len(kinds)] * len(kinds))
+        return cls(tuple(rules), kinds, share, tuple(tuple(START[x] for x in row) for row in cls.sorts(len(rules), kinds)), graded)
+
+    @staticmethod
+    def sorts(n: int, kinds: Sequence[Sequence[int]]) -> list[list[str]]:
+        """What an objection of each rule is to good documents, and to each kind of junk."""
+        return [["alarm"] * n, *(["own" if i in k else "other" for i in range(n)] for k in kinds)]
+
+    def logs(self) -> np.ndarray:
+        """(kind, rule, vote): the log of how often a vote cast is good, bad, very bad."""
+        x = np.array(self.objects)
+        z = np.array([[STRONG[s] for s in row] for row in self.sorts(len(self.rules), self.kinds)])
+        return np.log(np.stack([1 - x, x * (1 - z), x * z] if self.graded else [1 - x, x, x], axis=-1))
 
     def odds(self, votes: Mapping[str, Column]) -> list[Column]:
         """Of each kind of junk, the log odds against good."""
-        out = []
+        logs, out = self.logs(), []
         for kind in range(1, len(self.share)):
             total = F.lit(math.log(self.share[kind] / self.share[0]))
             for i, rule in enumerate(self.rules):
-                good, bad = self.weights(kind, i)
-                total = total + F.when(votes[rule] > 0, good).when(votes[rule] < 0, bad).otherwise(0.0)
+                good, bad, worst = (float(x) for x in logs[kind, i] - logs[0, i])
+                total = total + F.when(votes[rule] > 0, good).when(votes[rule] == -1, bad).when(votes[rule] < -1, worst).otherwise(0.0)
             out.append(total)
         return out
 
@@ -136,50 +156,55 @@ class LabelModel:
         """The probability of being good."""
         return 1 / (1 + sum((F.exp(x) for x in self.odds(votes)), F.lit(0.0)))
 
-    def refitted(self, total: float, kinds: Sequence[float], bad: Sequence[Sequence[float]], cast: Sequence[Sequence[float]]) -> LabelModel:
-        """The next round's model: documents, bad votes and votes cast of each kind, and START with its weights."""
-        first, own = LabelModel.start(self.rules), WEIGHT["share"] * total
-        share = tuple((k + own * s) / (total + own) for k, s in zip(kinds, first.share, strict=True))
-        rates = []
-        for k, (s, *rows) in enumerate(zip(first.share, bad, cast, first.objects, strict=True)):
-            known = WEIGHT["junk" if k else "good"] * total * s
-            rates.append(tuple((b + known * x) / (c + known) for b, c, x in zip(*rows, strict=True)))
-        return LabelModel(self.rules, share, tuple(rates))
+    def refitted(self, kinds: np.ndarray, cast: np.ndarray, bad: np.ndarray) -> LabelModel:
+        """The next round's model: documents of each kind, and of each kind and rule the votes cast and the objections."""
+        first = LabelModel.start(self.rules, self.kinds)
+        share = (kinds + WEIGHT["share"] * np.array(first.share)) / (kinds.sum() + WEIGHT["share"])
+        known = np.array([WEIGHT["junk" if k else "good"] for k in range(len(share))])[:, None]
+        objects = (bad + known * np.array(first.objects)) / (cast + known)
+        return replace(self, share=tuple(share.tolist()), objects=tuple(map(tuple, objects.tolist())))
+
+    def far(self, other: LabelModel) -> float:
+        """The greatest change of a rate."""
+        own, others = (np.concatenate([np.ravel(m.share), np.ravel(m.objects)]) for m in (self, other))
+        return float(np.abs(own - others).max())
 
 
-def expected(counts: DataFrame, model: LabelModel) -> tuple[list[float], list[list[float]], list[list[float]]]:
-    """Documents, bad votes and votes cast of each kind, summed by Spark over patterns (rules, count)."""
-    n = len(model.share)
+def expected(counts: DataFrame, model: LabelModel) -> tuple[np.ndarray, ...]:
+    """Documents of each kind, votes cast and objections, summed by Spark over patterns (rules, count)."""
+    n, r = len(model.share), len(model.rules)
     df = counts.withColumns({f"{P}o{k}": o for k, o in enumerate([F.lit(0.0), *model.odds({c: F.col(c) for c in model.rules})])})
     df = df.withColumn(P + "top", F.greatest(*[f"{P}o{k}" for k in range(n)]))
     df = df.withColumns({f"{P}e{k}": F.exp(F.col(f"{P}o{k}") - F.col(P + "top")) for k in range(n)})
     part = [F.col("count") * F.col(f"{P}e{k}") / sum((F.col(f"{P}e{j}") for j in range(n)), F.lit(0.0)) for k in range(n)]
-    sums = part + [F.when(F.col(c) < 0, p) for p in part for c in model.rules] + [F.when(F.col(c) != 0, p) for p in part for c in model.rules]
-    got = [x or 0.0 for x in df.agg(*[F.sum(x).alias(str(i)) for i, x in enumerate(sums)]).first()]
-    r = len(model.rules)
-    rows = lambda a: [got[a + k * r : a + (k + 1) * r] for k in range(n)]
-    return got[:n], rows(n), rows(n + n * r)
+    tests = [lambda c: c != 0, lambda c: c < 0]
+    sums = part + [F.when(test(F.col(c)), p) for test in tests for p in part for c in model.rules]
+    got = np.array([x or 0.0 for x in df.agg(*[F.sum(x).alias(str(i)) for i, x in enumerate(sums)]).first()])
+    return got[:n], *got[n:].reshape(2, n, r)
 
 
-def expected_here(votes: np.ndarray, counts: np.ndarray, model: LabelModel) -> tuple[list[float], list[list[float]], list[list[float]]]:
+def expected_here(votes: np.ndarray, counts: np.ndarray, model: LabelModel) -> tuple[np.ndarray, ...]:
     """The same for patterns that are on the driver."""
-    rate = np.array(model.objects)
-    odds = np.log(model.share) + (votes < 0) @ np.log(rate).T + (votes > 0) @ np.log(1 - rate).T
+    logs, tests = model.logs(), [votes > 0, votes == -1, votes < -1]
+    odds = np.log(model.share) + sum(t @ logs[:, :, i].T for i, t in enumerate(tests))
     part = np.exp(odds - odds.max(axis=1, keepdims=True))
     part *= (counts / part.sum(axis=1))[:, None]
-    return part.sum(axis=0).tolist(), (part.T @ (votes < 0)).tolist(), (part.T @ (votes != 0)).tolist()
+    return part.sum(axis=0), *(part.T @ t for t in (votes != 0, votes < 0))
 
 
-def fit_labels(df: DataFrame, columns: Sequence[str], rounds: int = 60, most: int = PATTERNS) -> LabelModel:
-    """Expectation-maximisation over all rows of df, by counts of vote patterns."""
-    counts, model = df.groupBy(*columns).count(), LabelModel.start(columns)
-    if 3 ** len(columns) > most:
+def fit_labels(df: DataFrame, columns: Sequence[str], kinds: Sequence[Sequence[int]] | None = None, graded: bool = True, rounds: int = ROUNDS, most: int = PATTERNS) -> LabelModel:
+    """Expectation-maximisation over all rows of df, by counts of vote patterns, until the rates stay."""
+    counts = df.groupBy(*columns).count()
+    if 4 ** len(columns) > most:
         counts = materialize(counts, "patterns")
     rows = counts.limit(most + 1).collect()  # more than that are not read here
-    total = sum(r["count"] for r in rows) if len(rows) <= most else counts.agg(F.sum("count")).first()[0]
+    here = len(rows) <= most
     votes, sizes = np.array([[r[c] for c in columns] for r in rows]).reshape(-1, len(columns)), np.array([r["count"] for r in rows], float)
-    for _ in range(rounds if total else 0):
-        model = model.refitted(total, *(expected_here(votes, sizes, model) if len(rows) <= most else expected(counts, model)))
+    model = LabelModel.start(columns, kinds, graded)
+    for _ in range(rounds if rows else 0):
+        last, model = model, model.refitted(*(expected_here(votes, sizes, model) if here else expected(counts, model)))
+        if model.far(last) < CLOSE:
+            break
     return model
 
 
@@ -190,7 +215,8 @@ def judged(df: DataFrame, columns: list[str], text: str = "text", keep: float =
     names = [P + "v_" + k for k in rules]
     df = with_counts(df.select(*columns, *([] if text in columns else [text])), text).withColumns(dict(zip(names, rules.values(), strict=True)))
     df = materialize(df if text in columns else df.drop(text), "quality")
-    model = fit_labels(df, names)
+    places = {rule: i for i, rule in enumerate(rules)}
+    model = fit_labels(df, names, [[places[x] for x in kind] for kind in KINDS])
     df = df.withColumn(P + "posterior", model.posterior({c: F.col(c) for c in names}))
     return df.withColumn(P + "kept", ~base_failed() & (F.col(P + "posterior") >= keep))
 

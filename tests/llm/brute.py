@@ -135,24 +135,36 @@ def matched(template, words):
     return row[-1]
 
 
-def label_model(rows, start, weight, rounds):
-    """Plain expectation-maximisation over single rows of votes. start: (share, objects), both by kind."""
+def vote_rate(vote, x, z):
+    """How often a vote cast is this one, of objections x of which z are strong; z None: strength doesn't tell."""
+    if vote >= 0:
+        return 1 - x if vote else 1
+    return x if z is None else x * (z if vote < -1 else 1 - z)
+
+
+def label_model(rows, start, strong, weight, rounds):
+    """Plain expectation-maximisation over single rows of votes. start: (share, objects), by kind."""
     share, objects = start
-    n, own = len(rows[0]), weight["share"] * len(rows)
-    known = [len(rows) * start[0][k] * weight["junk" if k else "good"] for k in range(len(share))]
+    n, kinds = len(rows[0]), range(len(start[0]))
+    known = [weight["junk" if k else "good"] for k in kinds]
     for _ in range(rounds):
-        kinds, bad, cast = [0.0] * len(share), [[0.0] * n for _ in share], [[0.0] * n for _ in share]
+        of, (cast, bad) = [0.0 for _ in kinds], ([[0.0] * n for _ in kinds] for _ in range(2))
         for votes in rows:
-            p = list(share)
-            for k in range(len(share)):
-                for v, x in zip(votes, objects[k], strict=True):
-                    p[k] *= x if v < 0 else 1 - x if v > 0 else 1
-            for k in range(len(share)):
-                q = p[k] / sum(p)
-                kinds[k] += q
+            p = posterior(votes, share, objects, strong)
+            for k in kinds:
+                of[k] += p[k]
                 for i, v in enumerate(votes):
-                    bad[k][i] += q * (v < 0)
-                    cast[k][i] += q * (v != 0)
-        share = [(kinds[k] + own * start[0][k]) / (len(rows) + own) for k in range(len(share))]
-        objects = [[(bad[k][i] + known[k] * start[1][k][i]) / (cast[k][i] + known[k]) for i in range(n)] for k in range(len(share))]
+                    cast[k][i] += p[k] * (v != 0)
+                    bad[k][i] += p[k] * (v < 0)
+        share = [(of[k] + weight["share"] * start[0][k]) / (len(rows) + weight["share"]) for k in kinds]
+        objects = [[(bad[k][i] + known[k] * start[1][k][i]) / (cast[k][i] + known[k]) for i in range(n)] for k in kinds]
     return share, objects
+
+
+def posterior(votes, share, objects, strong):
+    """Of each kind."""
+    p = list(share)
+    for k, row in enumerate(objects):
+        for v, x, z in zip(votes, row, strong[k], strict=True):
+            p[k] *= vote_rate(v, x, z)
+    return [x / sum(p) for x in p]
