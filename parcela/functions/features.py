@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.text import contains_any, first_filled, flag, key_of, once, parse_bool
+from parcela.functions.text import contains_any, flag, key_of
 
 # Features and the terms that stand for them.
 BINARY_TERMS = {
@@ -37,23 +39,19 @@ WIDGETS_B = (*WIDGETS_A, "px-captcha")
 def attribute(attrs: Column, *names: str) -> Column:
     """The value of an attribute in an ordered array<struct<k, v>> of normalized keys: of the first name that
     is a key, or else of the first key that contains the first such name or lies in it."""
-    keys = [key_of(n) for n in names]
-    pick = lambda test: F.get(F.filter(attrs, test), F.lit(0))["v"]
-    # the names are bound by functions: a second parameter of a lambda would be the element's place
-    same = lambda k: lambda a: a["k"] == k
-    alike = lambda k: lambda a: F.contains(a["k"], F.lit(k)) | F.contains(F.lit(k), a["k"])
-    exact, loose = [pick(same(k)) for k in keys], [pick(alike(k)) for k in keys]
-    return F.coalesce(*exact, *loose)
+    return F.get(attributes(attrs, [names]), F.lit(0))
 
 
-def binary_said(attrs: Column) -> dict[str, Column]:
-    """What the attributes say of each feature, as text."""
-    return {name: first_filled(*[attribute(attrs, t) for t in terms]) for name, terms in BINARY_TERMS.items()}
+def attributes(attrs: Column, wanted: Sequence[Sequence[str]]) -> Column:
+    """array<string>: attribute() for each list of names. One expression, however many are wanted."""
+    first = lambda names, test: F.get(F.filter(F.transform(names, lambda k: F.get(F.filter(attrs, lambda a: test(a["k"], k)), F.lit(0))["v"]), lambda v: v.isNotNull()), F.lit(0))
+    same, alike = (lambda a, k: a == k), (lambda a, k: F.contains(a, k) | F.contains(k, a))
+    return F.transform(F.lit([[key_of(n) for n in names] for names in wanted]), lambda names: F.coalesce(first(names, same), first(names, alike)))
 
 
 def binary_features(said: dict[str, Column], haystack: Column) -> dict[str, Column]:
-    """1 or 0 for each feature: what an attribute says, or else whether a term occurs in the normalized text."""
-    return {name: F.coalesce(once(parse_bool, said[name]), flag(contains_any(haystack, map(key_of, terms)))) for name, terms in BINARY_TERMS.items()}
+    """1 or 0 for each feature: what an attribute says (1, 0 or null), or else whether a term occurs in the normalized text."""
+    return {name: F.coalesce(said[name], flag(contains_any(haystack, map(key_of, terms)))) for name, terms in BINARY_TERMS.items()}
 
 
 def card_features(folded: Column) -> dict[str, Column]:

@@ -25,24 +25,33 @@ def path(url: Column | str) -> Column:
     return F.regexp_extract(col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def resolve(base: Column | str, href: Column | str) -> Column:
-    """href as seen from base: absolute, with or without scheme, from the root, a bare query or fragment, or
-    relative to base's folder (leading ./ and ../ too)."""
-    base, href = canonical(base), F.trim(col(href))
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.when(base.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$"), F.concat(base, F.lit("/"))).otherwise(F.regexp_replace(base, "[^/]*$", ""))
-    up = F.regexp_replace(folder, "[^/]+/$", "")
+def base_parts(base: Column | str) -> Column:
+    """struct<url, root, scheme, folder, up>: what resolved() needs of a page's url."""
+    url = canonical(base)
+    folder = F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$"), F.concat(url, F.lit("/"))).otherwise(F.regexp_replace(url, "[^/]*$", ""))
+    root, scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1), F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    return F.struct(url.alias("url"), root.alias("root"), scheme.alias("scheme"), folder.alias("folder"), F.regexp_replace(folder, "[^/]+/$", "").alias("up"))
+
+
+def resolved(base: Column, href: Column | str) -> Column:
+    """href as seen from the page with base_parts() base: absolute, with or without scheme, from the root, a bare query or
+    fragment, or relative to the page's folder (leading ./ and ../ too)."""
+    href = F.trim(col(href))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.rlike("^[?#]"), F.concat(base, href))
-        .when(href.startswith("../"), F.concat(up, F.regexp_replace(href, r"^(\.\./)+", "")))
-        .otherwise(F.concat(folder, F.regexp_replace(href, r"^(\./)+", "")))
+        .when(href.startswith("//"), F.concat(base["scheme"], href))
+        .when(href.startswith("/"), F.concat(base["root"], href))
+        .when(href.rlike("^[?#]"), F.concat(base["url"], href))
+        .when(href.startswith("../"), F.concat(base["up"], F.regexp_replace(href, r"^(\.\./)+", "")))
+        .otherwise(F.concat(base["folder"], F.regexp_replace(href, r"^(\./)+", "")))
     )
 
 
+def resolve(base: Column | str, href: Column | str) -> Column:
+    """resolved() for a base that is used once."""
+    return resolved(base_parts(base), href)
+
+
 def stable_id(url: Column, external: Column | None = None) -> Column:
     """The first 20 hex digits of the SHA-1 of the id the page gives, or else of its url."""
     source = url if external is None else first_filled(external, url)

@@ -15,7 +15,7 @@ from parcela.functions import features, numbers, urls
 from parcela.functions.address import card_address, commune, parse_address, place_parts
 from parcela.functions.text import clean_text, first_filled, flag, fold, found, normalize_key, once, parse_bool, plain_text, rounded, token_count, warnings
 from parcela.plans.schema import CARD, LISTING, aligned
-from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, subtree, text_of, under
+from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, places, subtree, text_of, under
 
 tag = lambda *names: lambda e: e["tag"].isin(*names)
 like = lambda part: lambda e: class_like(e, part)
@@ -74,22 +74,35 @@ def _all(e: Column, tests) -> Column:
     return out
 
 
-def listing_links(portal: Portal, els: Column, page_url: Column) -> Column:
-    """The property urls of a results page, each once, in the order in which the selectors find them."""
+def property_links(portal: Portal, els: Column, base: Column) -> Column:
+    """map<int, string>: where the page's links to properties are, and their urls. base: base_parts() of the page's url."""
     is_property = urls.is_property_a if portal.variant == "a" else urls.is_property_b
     target = (lambda e: F.nullif(attr(e, "href"), F.lit(""))) if portal.variant == "a" else (lambda e: first_filled(attr(e, "href"), attr(e, "data-to-posting")))
-    links = lambda found: F.array_distinct(F.filter(F.transform(F.filter(found, lambda e: target(e).isNotNull()), lambda e: urls.canonical(urls.resolve(page_url, target(e)))), lambda u: is_property(u)))
+    anchors = F.filter(els, lambda e: (e["tag"] == "a") & target(e).isNotNull())
+    found = F.transform(anchors, lambda e: F.struct(e["pos"].alias("at"), urls.canonical(urls.resolved(base, target(e))).alias("url")))
+    return F.map_from_entries(F.filter(found, lambda x: is_property(x["url"])))
+
+
+def listing_links(portal: Portal, els: Column, known: Column) -> Column:
+    """The property urls of a results page, each once, in the order in which the selectors find them. known: property_links()."""
+    links = lambda found: F.array_distinct(F.filter(F.transform(found, lambda e: F.try_element_at(known, e["pos"])), lambda u: u.isNotNull()))
     found, ends = link_selectors(portal, els)
-    each = [links(f) for f in found]
-    out = F.array_distinct(F.concat(*each[ends - 1 :]))
-    for x in reversed(each[:ends]):
-        out = F.when(F.size(x) > 0, x).otherwise(out)
+    out = F.array_distinct(F.flatten(F.array(*[links(f) for f in found[ends - 1 :]])))
+    for f in reversed(found[:ends]):
+        # the rest is looked for only where this selector finds none
+        out = once(lambda x, out=out: F.when(F.size(x) > 0, x).otherwise(out), links(f))
     return out
 
 
+def with_links(own: DataFrame, portal: Portal, els: Column, url: Column) -> DataFrame:
+    """own with links, the property urls of a page."""
+    base = once(lambda b: property_links(portal, els, b), urls.base_parts(url))
+    return own.withColumn("links", once(lambda known: listing_links(portal, els, known), base))
+
+
 def links(pages: DataFrame, portal: Portal) -> DataFrame:
     """page's url, pos (from 0) and link, a row for each property link."""
-    own = captured(pages).withColumn("links", listing_links(portal, F.col("doc.elements"), F.col("url")))
+    own = with_links(captured(pages), portal, F.col("doc.elements"), F.col("url"))
     return own.select(F.col("url").alias("page_url"), "page", F.posexplode("links").alias("pos", "url"))
 
 
@@ -101,26 +114,28 @@ def listing(pages: DataFrame, portal: Portal) -> DataFrame:
     b = portal.variant == "b"
     own = captured(pages).select("url", "search_url", "page", "status", "captured_at", F.col("doc.elements").alias("els"), F.col("doc.texts").alias("texts"))
     els, texts = F.col("els"), F.col("texts")
+    own = with_links(own, portal, els, F.col("url"))
+    named = lambda pattern: lambda e: F.coalesce(attr(e, "class").rlike(pattern), F.lit(False))
+    tops = [lambda e: attr(e, "data-posting-type").isNotNull(), named("(?i)postingCard|posting-card|card"), tag("article")] if b else [tag("article"), named("(?i)listing__item|card|posting")]
     anchors = F.filter(els, lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull())
-    own = own.withColumn("links", listing_links(portal, els, F.col("url"))).withColumn("anchors", anchors)
+    full = lambda base: lambda e: urls.canonical(urls.resolved(base, attr(e, "href")))
 
-    def anchor(link: Column) -> Column:
-        at = lambda test: first(F.filter("anchors", test))
-        return F.coalesce(at(lambda e: attr(e, "href") == urls.path(link)), at(lambda e: attr(e, "href") == link), at(lambda e: urls.canonical(urls.resolve(F.col("url"), attr(e, "href"))) == link))
+    def index_of(anchors: Column) -> Column:
+        """What links are looked up in, found once a page: the anchors, their hrefs and urls, and where cards begin."""
+        whole = once(lambda base: F.transform(anchors, full(base)), urls.base_parts("url"))
+        return F.struct(anchors.alias("anchors"), F.transform(anchors, lambda e: attr(e, "href")).alias("hrefs"), whole.alias("urls"), *[places(els, t).alias(f"top{i}") for i, t in enumerate(tops)])
 
-    def card(a: Column) -> Column:
-        above = lambda test: closest(els, a, test)
-        named = lambda pattern: lambda e: F.coalesce(attr(e, "class").rlike(pattern), F.lit(False))
-        parent = F.get(els, a["parent"])
-        if b:
-            return F.coalesce(above(lambda e: attr(e, "data-posting-type").isNotNull()), above(named("(?i)postingCard|posting-card|card")), above(tag("article")), parent)
-        return F.coalesce(above(tag("article")), above(named("(?i)listing__item|card|posting")), parent)
+    def card(index: Column, link: Column) -> Column:
+        """The card around the first anchor of a link."""
+        at = lambda where, x: F.nullif(F.array_position(index[where], x), F.lit(0).cast("long"))
+        place = F.coalesce(at("hrefs", urls.path(link)), at("hrefs", link), at("urls", link)).cast("int") - 1
+        return once(lambda a: F.coalesce(*[closest(els, a, index[f"top{i}"]) for i in range(len(tops))], F.get(els, a["parent"])), F.get(index["anchors"], place))
 
     # each link with its card, cut out of the page before rows are made: no row carries the page
-    own = own.withColumn("found", F.filter(F.transform("links", lambda u: F.struct(u.alias("link"), anchor(u).alias("anchor"))), lambda x: x["anchor"].isNotNull()))
-    own = own.withColumn("found", F.transform("found", lambda x: F.struct(x["link"].alias("link"), card(x["anchor"]).alias("card"))))
-    own = own.withColumn("found", F.transform("found", lambda x: F.struct(x["link"].alias("link"), subtree(x["card"], els, texts).alias("sub"))))
-    own = own.select("search_url", "page", "status", "captured_at", F.explode("found").alias("found"))
+    cut = lambda index: F.transform("links", lambda u: F.struct(u.alias("link"), once(lambda c: subtree(c, els, texts), card(index, u)).alias("sub")))
+    own = own.withColumn("found", F.filter(once(lambda anchors: once(cut, index_of(anchors)), anchors), lambda x: x["sub"]["top"].isNotNull()))
+    # outer: else Spark infers a filter that works all of this out a second time
+    own = own.select("search_url", "page", "status", "captured_at", F.explode_outer("found").alias("found")).filter("found is not null")
     own = own.select("search_url", "page", "status", "captured_at", "found.link", F.col("found.sub.top").alias("card"), "found.sub.els", "found.sub.texts")
     own = own.withColumn("text", F.coalesce(text_of(F.col("card"), texts), F.lit("")))
     value = lambda qa_name, *classes: first_text(F.col("els"), F.col("texts"), *([qa(qa_name)] if b and qa_name else []), *map(like, classes))
@@ -234,7 +249,17 @@ ATTRIBUTES = (
     ("departamentos_por_piso", "int", ("departamentos por piso", "unidades por piso")), ("apto_credito", "bool", ("apto credito",)), ("apto_profesional", "bool", ("apto profesional",)), ("permite_mascotas", "bool", ("permite mascotas", "mascotas")),
     ("accesibilidad", "bool", ("acceso para movilidad reducida", "accesibilidad")), ("amoblado", "bool", ("amoblado", "amueblado")), ("video_url", "text", ("video", "video url")), ("tour_virtual_url", "text", ("tour virtual", "recorrido virtual")),
 )
-READ = {"text": lambda c: c, "int": lambda c: once(numbers.parse_integer, c), "number": lambda c: once(numbers.parse_number, c), "bool": lambda c: once(parse_bool, c)}
+# Other columns that attributes fill, and the attributes' names.
+SAID = {
+    "lat": ("latitud",), "lon": ("longitud",), "money": ("precio", "valor"), "costs": ("expensas", "gastos comunes"), "place": ("direccion", "ubicacion"), "type": ("tipo de propiedad", "tipo de unidad"),
+    "town": ("localidad",), "region": ("provincia",), "code": ("codigo postal",),
+}
+
+
+def read_each(own: DataFrame, name: str, f, columns: dict) -> tuple[DataFrame, dict]:
+    """own with an array column of that name, f of each of the columns, as one expression; and the columns that are its items."""
+    own = own.withColumn(name, F.transform(F.array(*columns.values()), f))
+    return own, {key: F.get(name, F.lit(i)) for i, key in enumerate(columns)}
 
 
 def detail(pages: DataFrame, portal: Portal) -> DataFrame:
@@ -246,7 +271,10 @@ def detail(pages: DataFrame, portal: Portal) -> DataFrame:
     own = own.withColumn("pairs", last_by_key(F.col("tables"), F.col("listed")))
     own = own.withColumn("keyed", F.filter(F.transform("pairs", lambda p: pair(normalize_key(p["k"]), p["v"])), lambda p: p["k"] != ""))
     own = own.withColumn("attrs", last_by_key(F.col("keyed")))
-    said = lambda *names: features.attribute(attrs, *names)
+    # one expression finds what all attributes say, one each reads all numbers and all flags of it
+    wanted = {name: names for name, _, names in ATTRIBUTES} | SAID | {("feature", t): (t,) for terms in features.BINARY_TERMS.values() for t in terms}
+    own = own.withColumn("said", features.attributes(attrs, [*wanted.values()]))
+    said = lambda name: F.get("said", F.lit([*wanted].index(name)))
     prop = lambda name: lambda e: (e["tag"] == "meta") & attr_is(e, "property", name)
     of_meta = lambda *tests: meta(els, texts, *[t for t in tests if t])
     qa_b = lambda name: qa(name) if b else None
@@ -255,19 +283,21 @@ def detail(pages: DataFrame, portal: Portal) -> DataFrame:
     address = lambda name: json_field(data, f"$.address.{name}", f"$.location.address.{name}")
     # each text is found once, in a column of its own; what reads a text names it many times
     own = own.withColumns({
-        **{"raw_" + name: said(*names) for name, _, names in ATTRIBUTES}, **{"raw_" + k: v for k, v in features.binary_said(attrs).items() if k not in {n for n, _, _ in ATTRIBUTES}},
-        "raw_lat": first_filled(geo_field("latitude"), said("latitud")), "raw_lon": first_filled(geo_field("longitude"), said("longitud")),
+        "raw_lat": first_filled(geo_field("latitude"), said("lat")), "raw_lon": first_filled(geo_field("longitude"), said("lon")),
         "title": first_filled(json_field(data, "$.name"), of_meta(prop("og:title"), tag("h1"))),
         "description": plain_text(first_filled(json_field(data, "$.description"), of_meta(lambda e: (e["tag"] == "meta") & attr_is(e, "name", "description"), prop("og:description"), qa_b("POSTING_DETAILS_DESCRIPTION"), like("description")))),
-        "raw_money": plain_text(first_filled(json_field(data, *in_list_or_not("offers", "price"), *in_list_or_not("offer", "price")), said("precio", "valor"), of_meta(prop("product:price:amount"), qa_b("POSTING_CARD_PRICE"), like("price")))),
-        "raw_costs": said("expensas", "gastos comunes"),
-        "raw_place": plain_text(first_filled(address("streetAddress"), said("direccion", "ubicacion"), of_meta(qa_b("POSTING_CARD_LOCATION"), like("address"), like("location")))),
-        "raw_type": said("tipo de propiedad", "tipo de unidad"), "raw_town": said("localidad"), "raw_region": said("provincia"), "raw_code": said("codigo postal"), "raw_image": of_meta(prop("og:image")),
+        "raw_money": plain_text(first_filled(json_field(data, *in_list_or_not("offers", "price"), *in_list_or_not("offer", "price")), said("money"), of_meta(prop("product:price:amount"), qa_b("POSTING_CARD_PRICE"), like("price")))),
+        "raw_costs": said("costs"), "raw_place": plain_text(first_filled(address("streetAddress"), said("place"), of_meta(qa_b("POSTING_CARD_LOCATION"), like("address"), like("location")))),
+        "raw_type": said("type"), "raw_town": said("town"), "raw_region": said("region"), "raw_code": said("code"), "raw_image": of_meta(prop("og:image")),
         "images": images_of(data),
         "listing_words": F.array_join(F.transform(attrs, lambda a: F.concat_ws(" ", a["k"], a["v"])), " "),
     })
     own = own.withColumns({"money": once(numbers.parse_money, "raw_money"), "costs": once(numbers.parse_money, "raw_costs"), "place": once(parse_address, "raw_place"), "haystack": normalize_key(F.concat_ws(" ", "description", "listing_words"))})
-    values = {name: READ[kind](F.col("raw_" + name)) for name, kind, names in ATTRIBUTES}
+    of_kind = lambda *kinds: {name: said(name) for name, kind, _ in ATTRIBUTES if kind in kinds}
+    feature = {name: first_filled(*[said(("feature", t)) for t in terms]) for name, terms in features.BINARY_TERMS.items()}
+    own, read = read_each(own, "numbers", numbers.parse_number, of_kind("int", "number") | {"latitud": F.col("raw_lat"), "longitud": F.col("raw_lon")})
+    own, flags = read_each(own, "flags", parse_bool, of_kind("bool") | {("feature", name): x for name, x in feature.items()})
+    values = of_kind("text") | {name: x.try_cast("int") if name in of_kind("int") else x for name, x in read.items()} | {name: flags[name] for name in of_kind("bool")}
     values |= {
         "property_id": urls.stable_id(F.col("url"), json_field(data, "$.sku", "$.productID")), "fuente": F.lit(portal.name), "url": F.col("url"), "scraped_at_utc": F.col("captured_at"), "search_url": F.col("search_url"),
         "pagina_origen": F.col("page"), "http_status": F.col("status"), "parse_ok": F.lit(1), "titulo": plain_text(F.col("title")), "descripcion": F.col("description"), "tipo_propiedad": first_filled(json_field(data, "$.category"), F.col("raw_type")),
@@ -275,9 +305,8 @@ def detail(pages: DataFrame, portal: Portal) -> DataFrame:
         "moneda": first_filled(json_field(data, *in_list_or_not("offers", "priceCurrency"), *in_list_or_not("offer", "priceCurrency")), F.col("money.currency")), "precio": F.col("money.amount"), "precio_texto": F.col("money.text"),
         "expensas_moneda": F.col("costs.currency"), "expensas": F.col("costs.amount"), "expensas_texto": F.col("costs.text"), **address_columns(F.col("place")),
         "localidad": first_filled(address("addressLocality"), F.col("raw_town")), "provincia": first_filled(address("addressRegion"), F.col("raw_region")), "pais": first_filled(address("addressCountry"), F.lit("Argentina")), "codigo_postal": first_filled(address("postalCode"), F.col("raw_code")),
-        "latitud": once(numbers.parse_number, "raw_lat"), "longitud": once(numbers.parse_number, "raw_lon"),
         "cantidad_imagenes": F.nullif(F.size("images"), F.lit(0)), "imagen_principal": first_filled(json_field(data, "$.primaryImageOfPage.contentUrl"), F.get("images", F.lit(0)), F.col("raw_image")),
-        "cantidad_atributos_extra": F.size("pairs"), "atributos_extra_json": F.to_json(F.map_from_entries(F.array_sort("pairs"))), "jsonld_raw": data, **features.binary_features({k: F.col("raw_" + k) for k in features.BINARY_TERMS}, F.col("haystack")),
+        "cantidad_atributos_extra": F.size("pairs"), "atributos_extra_json": F.to_json(F.map_from_entries(F.array_sort("pairs"))), "jsonld_raw": data, **features.binary_features({k: flags["feature", k] for k in features.BINARY_TERMS}, F.col("haystack")),
         "parse_warnings": warnings(titulo_no_encontrado=F.col("title").isNull(), precio_no_encontrado=F.col("money.amount").isNull(), sin_tabla_atributos=F.size("pairs") == 0),
     }
     out = own.select(*aligned(values, LISTING))
@@ -291,7 +320,7 @@ def cards(pages: DataFrame) -> DataFrame:
     """CARD rows of results pages of the third portal: the first card of each item on a page."""
     own = captured(pages).select("url", "search_url", "page", "captured_at", F.col("doc.elements").alias("all"), F.col("doc.texts").alias("texts"))
     items = F.transform(F.filter("all", lambda e: has_class(e, "ui-search-layout__item")), lambda e: subtree(e, F.col("all"), F.col("texts")))
-    own = own.select("url", "search_url", "page", "captured_at", F.posexplode(items).alias("position", "sub"))
+    own = own.select("url", "search_url", "page", "captured_at", F.posexplode_outer(items).alias("position", "sub")).filter("sub is not null")
     own = own.select("url", "search_url", "page", "captured_at", "position", F.col("sub.top").alias("card"), "sub.els", "sub.texts")
     els, texts = F.col("els"), F.col("texts")
     links = lambda test: F.transform(F.filter(els, lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull() & test(e)), lambda e: attr(e, "href"))

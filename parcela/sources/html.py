@@ -1,8 +1,9 @@
 """HTML pages as columns: one small tokenizer in Python, selectors as Column expressions over its elements.
 
 parse_html() gives struct<title, visible, elements, texts, jsonld>. elements are in document order; an element
-knows its place (pos), its parent's, the place of its last descendant (last) and the range t0..t1 of its texts, so
-that ancestors, descendants and text are comparisons and slices, which Catalyst sees. Unclosed p, li, tr, td, dt and
+knows its place (pos), its parent's, those of all its ancestors, innermost first (up), the place of its last descendant
+(last) and the range t0..t1 of its texts. So ancestors are looked up among lists of places that a page has once, and
+descendants and text are slices, which Catalyst sees. Unclosed p, li, tr, td, dt and
 the like end where HTML says they do; other malformed markup may be nested differently than in other parsers.
 """
 
@@ -16,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.text import clean_text
+from parcela.functions.text import clean_text, once
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A tag ends open ones of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",), "option": ("option",)}
 #: Open tags of these kinds stop the search for one to end.
 WALLS = frozenset("html body table ul ol dl div section article nav select".split())
-PAGE = "title string, visible string, elements array<struct<tag: string, pos: int, parent: int, last: int, t0: int, t1: int, attrs: map<string, string>>>, texts array<string>, jsonld array<string>"
+PAGE = "title string, visible string, elements array<struct<tag: string, pos: int, parent: int, last: int, t0: int, t1: int, up: array<int>, attrs: map<string, string>>>, texts array<string>, jsonld array<string>"
 PAGE_TYPE = pa.struct([
     ("title", pa.string()), ("visible", pa.string()),
-    ("elements", pa.list_(pa.struct([("tag", pa.string()), *((k, pa.int32()) for k in ("pos", "parent", "last", "t0", "t1")), ("attrs", pa.map_(pa.string(), pa.string()))]))),
+    ("elements", pa.list_(pa.struct([("tag", pa.string()), *((k, pa.int32()) for k in ("pos", "parent", "last", "t0", "t1")), ("up", pa.list_(pa.int32())), ("attrs", pa.map_(pa.string(), pa.string()))]))),
     ("texts", pa.list_(pa.string())), ("jsonld", pa.list_(pa.string())),
 ])
 
@@ -52,7 +53,7 @@ class Elements(HTMLParser):
                 break
         pos = len(self.rows)
         own = {k: v or "" for k, v in reversed(attrs)}
-        self.rows.append({"tag": tag, "pos": pos, "parent": self.open[-1] if self.open else -1, "last": pos, "t0": len(self.texts), "t1": len(self.texts), "attrs": list(own.items())})
+        self.rows.append({"tag": tag, "pos": pos, "parent": self.open[-1] if self.open else -1, "last": pos, "t0": len(self.texts), "t1": len(self.texts), "up": self.open[::-1], "attrs": list(own.items())})
         if tag == "script" and own.get("type", "").strip().lower() == "application/ld+json":
             self.scripts.append("")
         if tag not in VOID:
@@ -144,15 +145,14 @@ def attr_is(e: Column, name: str, value: str) -> Column:
     return F.coalesce(attr(e, name) == value, F.lit(False))
 
 
-def inside(e: Column, outer: Column) -> Column:
-    """Whether e has an ancestor among the elements outer."""
-    return F.exists(outer, lambda a: (a["pos"] < e["pos"]) & (a["last"] >= e["pos"]))
+def places(els: Column, test) -> Column:
+    """Where the elements that satisfy test are."""
+    return F.transform(F.filter(els, test), lambda e: e["pos"])
 
 
 def under(els: Column, outer, inner) -> Column:
     """Elements that satisfy inner and lie below one that satisfies outer."""
-    tops = F.filter(els, outer)
-    return F.filter(F.filter(els, inner), lambda e: inside(e, tops))
+    return once(lambda tops: F.filter(els, lambda e: inner(e) & F.arrays_overlap(e["up"], tops)), places(els, outer))
 
 
 def first(els: Column) -> Column:
@@ -168,9 +168,9 @@ def subtree(e: Column, els: Column, texts: Column) -> Column:
     return F.struct(moved(e).alias("top"), below.alias("els"), own.alias("texts"))
 
 
-def closest(els: Column, e: Column, test) -> Column:
-    """The innermost ancestor of e that satisfies test, or null."""
-    return F.try_element_at(F.filter(els, lambda a: (a["pos"] < e["pos"]) & (a["last"] >= e["pos"]) & test(a)), F.lit(-1))
+def closest(els: Column, e: Column, tops: Column) -> Column:
+    """The innermost ancestor of e, of the whole page els, that is one of the places tops; or null."""
+    return F.get(els, F.get(F.array_intersect(e["up"], tops), F.lit(0)))
 
 
 def text_of(e: Column, texts: Column) -> Column:
