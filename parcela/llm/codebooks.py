@@ -77,7 +77,7 @@ class Codebook:
             bound = ((own_mean[row] - mean[entry]) ** 2).sum(axis=1) + ((own_rest[row] - rest[entry]) ** 2).sum(axis=1)
             left = bound <= (most + slack)[row]
             row, entry = row[left], entry[left]
-        self.kept, self.asked = self.kept + len(row), self.asked + bound.size
+        self.kept, self.asked = self.kept + len(row), self.asked + len(x) * len(self.entries)
         far = self.distance(x[row], entry)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         least = np.minimum.reduceat(far, first)
@@ -107,7 +107,7 @@ def integers(vectors: DataFrame, scale: int = SCALE, parts: int = PARTS) -> Data
 def first_codebooks(kept: DataFrame, parts: int, entries: int) -> np.ndarray:
     """(part, entry, place): the vectors of the smallest ids, at most `entries` of them."""
     rows = [r["v"] for r in kept.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(entries).collect()]
-    return np.array(rows, np.int64).reshape(len(rows), parts, -1).transpose(1, 0, 2)
+    return np.array(rows, np.int64).reshape(len(rows), parts, len(rows[0]) // parts if rows else 0).transpose(1, 0, 2)
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:

@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcela.sources.tables import shared_dir
@@ -33,15 +33,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     executor takes nothing with it. The table stays until discard() or until the shared folder is emptied."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() from which the next step was written: nothing will read them again."""
-    for files in filter(None, (t.inputFiles() for t in tables)):
-        session = tables[0].sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def order_id(doc_id: Column) -> Column:
@@ -103,16 +104,19 @@ def gram_hashes(tokens: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> n
     return mixed(out)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
-    """df, written, with `name`: places from 1 in an order, which should be total. Ranges are sorted by themselves, and the
-    numbers of rows of the ranges before are carried: a row a range, as many as shuffle partitions, comes to the driver."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def ranked(df: DataFrame, order: list[Column], name: str, parts: int | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+    """df, written, with `name`: places from 1 in an order, which should be total; and of each column of `before` the sum over
+    the rows that come before. Ranges are sorted by themselves, and what the ranges before amount to is carried: a row a
+    range, as many as shuffle partitions, comes to the driver."""
+    parts, before = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), before or {}
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = materialize(placed, name)
-    counts, before, carried = placed.groupBy(F.shiftright("_at", 33).alias("_range")).count().collect(), 0, []
-    for r in sorted(counts):
-        carried.append((r["_range"], before))
-        before += r["count"]
-    carried = F.broadcast(df.sparkSession.createDataFrame(carried, "_range long, _before long"))
-    out = placed.join(carried, F.shiftright("_at", 33) == F.col("_range"))
-    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_range", "_before", "_at")
+    placed = materialize(placed, name).withColumn("_range", F.shiftright("_at", 33))
+    sums, carried = [0] + [0.0] * len(before), []
+    for r in sorted(placed.groupBy("_range").agg(F.count("*"), *[F.sum(x).cast("double") for x in before.values()]).collect()):
+        carried.append((r[0], *sums))
+        sums = [a + (b or 0) for a, b in zip(sums, r[1:], strict=True)]
+    carried = df.sparkSession.createDataFrame(carried, ", ".join(["_range long", "_before long", *(f"_sum{i} double" for i in range(len(before)))]))
+    out = placed.join(F.broadcast(carried), "_range").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
+    within = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumns({n: F.col(f"_sum{i}") + F.coalesce(F.sum(x).over(within), F.lit(0.0)) for i, (n, x) in enumerate(before.items())})
+    return out.drop("_range", "_at", "_before", *(f"_sum{i}" for i in range(len(before))))

@@ -11,10 +11,10 @@ target 0. An empty table gives an empty mix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import documents, materialize, n_words
+from parcela.llm.common import documents, n_words, ranked
 
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3.0, 20240611
 #: Names that documents are unlikely to have: stages carry all their columns.
@@ -23,20 +23,23 @@ S = "_mix_"
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """sizes: source, size (one row a source). Adds weight (cyclic, in order of source by code point, null
-    last) and target. One row a source stays distributed; only sums come to the driver."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    last) and target. One row a source stays distributed, in ranges; only sums of ranges come to the driver. Other columns of
+    sizes are carried, but for those named weight, target, place, top, held and used."""
     cycle = F.array(*map(F.lit, weights))
-    own = sizes.withColumn("place", F.row_number().over(order) - 1)
-    own = materialize(own.withColumn("weight", F.get(cycle, F.col("place") % len(weights))).drop("place"), "sources")
-    total, level, free = own.agg(F.sum("size")).first()[0] or 0, 0.0, F.lit(True)
-    while total:
-        # level: words for each unit of weight; sources that it lifts above their cap leave the sharing
-        held, w = own.agg(F.sum(F.when(~free, cap * F.col("size")).otherwise(0.0)), F.sum(F.when(free, F.col("weight")).otherwise(0.0))).first()
-        if not w or (total - held) / w <= level:
-            break
-        level = (total - held) / w
-        free = F.lit(level) * F.col("weight") <= cap * F.col("size")
-    return own.withColumn("target", F.least(cap * F.col("size"), F.lit(level) * F.col("weight")).cast("double"))
+    own = ranked(sizes, [F.col("source").asc_nulls_last()], "place")
+    own = own.withColumn("weight", F.get(cycle, ((F.col("place") - 1) % len(weights)).cast("int"))).drop("place")
+    most = F.lit(cap) * F.col("size")
+    total, all_weights = own.agg(F.sum("size"), F.sum("weight")).first()
+    level = 0.0
+    if total:
+        # in order of the level (words for a unit of weight) at which sources reach their cap: those before hold their caps, the
+        # others share the rest by weight; the first that this doesn't lift above its cap gives the level
+        own = own.withColumn("top", most / F.col("weight"))
+        own = ranked(own, [F.col("top"), F.col("source").asc_nulls_last()], "place", before={"held": most, "used": F.col("weight")})
+        shared = (F.lit(float(total)) - F.col("held")) / (F.lit(float(all_weights)) - F.col("used"))
+        level = own.filter(shared <= F.col("top")).agg(F.min_by(shared, "place")).first()[0]
+        own = own.drop("top", "place", "held", "used")
+    return own.withColumn("target", F.least(most, F.lit(level) * F.col("weight")).cast("double"))
 
 
 def uniform(seed: int, *columns: Column) -> Column:

@@ -20,7 +20,7 @@ share its chunks. Equal chunks are one with many places (hot_chunks()), equal ru
 earliest of their places (hot_runs()). A minimizer with few different runs is settled as in 3.; of one with more than HOT, each
 edge's earliest place is found by an aggregation that combines before it shuffles. Runs get their sources as segments, not by
 window, chunks get those of their runs, put together where they go on, and places those of their chunk, by joins that
-Spark can split (hot_segments()). The sources are the same as in 3., the earliest places of all, so HOT changes no
+Spark can split (hot_parts()). The sources are the same as in 3., the earliest places of all, so HOT changes no
 result; and no task holds a group that grows with the input.
 
 A null text has no words and nothing removed; nor does one of fewer than WINDOW words. A null doc_id orders
@@ -48,7 +48,9 @@ WINDOWS = "m long, ord long, tkey long, start int, edges array<long>"
 CHUNKS = "chunk long, chunk2 long, ord long, tkey long, start int, m array<long>, edge array<long>"
 RUNS = "chunk long, chunk2 long, i int, m long, run long, ord long, tkey long, start int, edges array<long>"
 SOURCES = "m long, run long, i int, n int, src_ord long, src_tkey long, src_start int"
-SEGMENTS = "ord long, tkey long, start int, n int, src_ord long, src_tkey long, src_start int"
+#: A place, and the segments from there on: where (in windows after the place), how long, and their source.
+PART = "struct<i: int, n: int, ord: bigint, tkey: bigint, start: int>"
+PARTS = f"ord long, tkey long, start int, parts array<{PART}>"
 
 
 def runs(tokens: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def runs(tokens: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np
 
 def table(schema: str, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
-    fields = [f.split() for f in schema.split(", ")]
+    fields = [f.split(" ", 1) for f in schema.split(", ", 3 if schema is PARTS else -1)]
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[n], pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
@@ -193,7 +195,7 @@ def by_minimizer(batches: Iterator[pa.RecordBatch], settle) -> Iterator[pa.Recor
 
 
 def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows of WINDOWS with equal minimizers together: the segments that start earlier elsewhere."""
+    """From rows of WINDOWS with equal minimizers together: PARTS, the segments that start earlier elsewhere."""
     return by_minimizer(batches, settled)
 
 
@@ -216,13 +218,21 @@ def sources(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def settled(rows: pa.Table) -> pa.RecordBatch:
     keys = [rows[c].to_numpy() for c in ("m", "ord", "start", "tkey")]
     rows = rows.filter(pa.array(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])).combine_chunks()  # repeated rows
-    row, start, _, first = sources(rows)
+    row, start, i, first = sources(rows)
     ords, keys = (rows[c].to_numpy()[row] for c in ("ord", "tkey"))
     later = np.flatnonzero((ords[first] != ords) | (start[first] != start))
     s_ord, s_key, s_start = (x[first[later]] for x in (ords, keys, start))
     begin = segments_of(row[later], start[later], s_ord, s_key, s_start)
     n, head = np.diff(np.r_[begin, len(later)]), later[begin]
-    return table(SEGMENTS, ord=ords[head], tkey=keys[head], start=start[head], n=n, src_ord=s_ord[begin], src_tkey=s_key[begin], src_start=s_start[begin])
+    of, count = np.unique(row[head], return_counts=True)
+    parts = parts_of(np.cumsum(np.r_[0, count]), i[head], n, s_ord[begin], s_key[begin], s_start[begin])
+    return table(PARTS, parts=parts, **{c: rows[c].to_numpy()[of] for c in ("ord", "tkey", "start")})
+
+
+def parts_of(ends: np.ndarray, *columns: np.ndarray) -> pa.Array:
+    """Lists of structs PART, from their columns and where the lists end."""
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["i", "n", "ord", "tkey", "start"]))
 
 
 def run_sources(rows: pa.Table) -> pa.RecordBatch:
@@ -265,9 +275,8 @@ def window_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def put_together(parts: Column) -> Column:
     """Segments (i, n, ord, tkey, start) of a chunk, in order: those that go on, in the chunk and in the source, are one."""
-    kind = "array<struct<i: int, n: int, ord: bigint, tkey: bigint, start: int>>"
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(f"array<{PART}>")
     def merged(column: pa.Array) -> pa.Array:
         size = pa.compute.list_value_length(column).to_numpy()
         row = np.repeat(np.arange(len(size)), size)
@@ -275,15 +284,13 @@ def put_together(parts: Column) -> Column:
         same = (row[1:] == row[:-1]) & (i[1:] == i[:-1] + n[:-1]) & (s_ord[1:] == s_ord[:-1]) & (s_key[1:] == s_key[:-1]) & (s_start[1:] == s_start[:-1] + n[:-1])
         begin = np.flatnonzero(np.r_[True, ~same][: len(row)])
         total = np.add.reduceat(n, begin) if len(begin) else n
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        own = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip((i[begin], total, s_ord[begin], s_key[begin], s_start[begin]), kinds, strict=True)], ["i", "n", "ord", "tkey", "start"])
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row[begin], minlength=len(size)))], pa.int32()), own)
+        return parts_of(np.r_[0, np.cumsum(np.bincount(row[begin], minlength=len(size)))], i[begin], total, s_ord[begin], s_key[begin], s_start[begin])
 
     return merged(parts)
 
 
-def hot_segments(marked: DataFrame) -> DataFrame:
-    """SEGMENTS of the windows of hot minimizers. marked: ord, tkey, text, marks."""
+def hot_parts(marked: DataFrame) -> DataFrame:
+    """PARTS of the windows of hot minimizers. marked: ord, tkey, text, marks."""
     found = materialize(marked.filter(F.exists("marks", lambda x: x["hot"])).select("ord", "tkey", "text", "marks").mapInArrow(hot_chunks, CHUNKS), "hot-chunks")
     one, where = ["chunk", "chunk2"], F.min(F.struct("ord", "start", "tkey")).alias("first")
     content = F.first(F.when(F.col("edge").isNotNull(), F.struct("m", "edge")), ignorenulls=True).alias("own")
@@ -303,9 +310,14 @@ def hot_segments(marked: DataFrame) -> DataFrame:
     parts = parts.select(*one, F.struct((F.col("at") + F.col("i")).alias("i"), "n", F.col("src_ord").alias("ord"), F.col("src_tkey").alias("tkey"), F.col("src_start").alias("start")).alias("part"))
     own = parts.groupBy(*one).agg(F.sort_array(F.collect_list("part")).alias("parts")).select(*one, put_together(F.col("parts")).alias("parts"))
     own = materialize(own, "hot-chunk-sources")
-    placed = found.select(*one, "ord", "tkey", "start").distinct().join(own.hint("shuffle_hash"), one).select("ord", "tkey", "start", F.explode("parts").alias("s"))
-    placed = placed.select("ord", "tkey", (F.col("start") + F.col("s.i")).alias("start"), "s.n", F.col("s.ord").alias("src_ord"), F.col("s.tkey").alias("src_tkey"), F.col("s.start").alias("src_start"))
-    return placed.filter((F.col("src_ord") != F.col("ord")) | (F.col("src_start") != F.col("start")))
+    return found.select(*one, "ord", "tkey", "start").distinct().join(own.hint("shuffle_hash"), one).select("ord", "tkey", "start", "parts")
+
+
+def segments_of_parts(parts: DataFrame) -> DataFrame:
+    """ord, tkey, start, n, src_ord, src_tkey, src_start: a row for each segment that starts earlier elsewhere."""
+    each = parts.select("ord", "tkey", "start", F.explode("parts").alias("s"))
+    each = each.select("ord", "tkey", (F.col("start") + F.col("s.i")).alias("start"), "s.n", F.col("s.ord").alias("src_ord"), F.col("s.tkey").alias("src_tkey"), F.col("s.start").alias("src_start"))
+    return each.filter((F.col("src_ord") != F.col("ord")) | (F.col("src_start") != F.col("start")))
 
 
 def paths(segments: DataFrame) -> DataFrame:
@@ -356,10 +368,10 @@ def dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     discard(found)
     marked = docs.filter(pending)
     rows = marked.select("ord", "tkey", "text", "marks").mapInArrow(windows, WINDOWS)
-    segments = rows.repartition("m").sortWithinPartitions("m", "ord", "start", "tkey").mapInArrow(first_seen, SEGMENTS)
+    parts = rows.repartition("m").sortWithinPartitions("m", "ord", "start", "tkey").mapInArrow(first_seen, PARTS)
     if not marked.filter(F.exists("marks", lambda x: x["hot"])).isEmpty():
-        segments = segments.union(hot_segments(marked))
-    segments = materialize(segments, "segments")
+        parts = parts.union(hot_parts(marked))
+    segments = materialize(segments_of_parts(parts), "segments")
     spans = paths(segments).groupBy("ord", "tkey").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "src_ord", "src_start"))).alias("spans"))
     docs = docs.join(spans, ["ord", "tkey"], "left").withColumn("cut", F.when(pending, without(F.col("text"), F.col("spans"))))
     kept = F.coalesce(F.col("cut.kept"), F.col("done")) if whole else F.coalesce(F.sha2(F.col("cut.kept").cast("binary"), 256), F.col("done"))

@@ -1,7 +1,10 @@
 """Plain statements of what the operators compute, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,3 +171,51 @@ def posterior(votes, share, objects, strong):
         for v, x, z in zip(votes, row, strong[k], strict=True):
             p[k] *= vote_rate(v, x, z)
     return [x / sum(p) for x in p]
+
+
+def resampled(rows, target, n=1, buckets=10_000, least=20, percent=10):
+    """(doc_id, n_features, weight, score, rank) of each row, from plain counts. Ties of repeated rows go by their place."""
+
+    def words_in(text):
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
+
+    def buckets_of(text):
+        own = words_in(text)
+        return [zlib.crc32(" ".join(own[i : i + k]).encode()) % buckets for k in range(1, n + 1) for i in range(len(own) - k + 1)]
+
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(buckets_of(text))
+    for text in target:
+        t.update(buckets_of(text))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out = []
+    for doc_id, text in rows:
+        own = buckets_of(text)
+        weight = sum(map(gain, own)) // len(own) if own else 0
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append([doc_id, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words_in(text))])
+    fit = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for place, r in enumerate(fit[: percent * len(fit) // 100], 1):
+        r[4] = place
+    return [tuple(r[:5]) for r in out]
+
+
+def vector_codes(rows, parts=4, entries=256, rounds=4):
+    """((vec_id, code, error) of each row, digest of the codebooks): plain loops over all distances."""
+    whole = sorted(((n, [math.floor(1024 * x) for x in v]) for n, v, _ in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    width = -(-len(whole[0][1]) // parts)
+    cut = [(n, [(v + [0] * (width * parts - len(v)))[p * width : (p + 1) * width] for p in range(parts)]) for n, v in whole]
+    books = [[v[p] for _, v in cut[:entries]] for p in range(parts)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), i) for i, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            of = [near(v[p], books[p])[1] for _, v in cut]
+            for i in range(len(books[p])):
+                own = [v[p] for (_, v), e in zip(cut, of, strict=True) if e == i]
+                if own:
+                    books[p][i] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    codes = [(n, [near(v[p], books[p]) for p in range(parts)]) for n, v in cut]
+    digest = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    return [(n, "".join(f"{i:02x}" for _, i in own), sum(d for d, _ in own)) for n, own in codes], digest

@@ -9,9 +9,24 @@ def write(spark, rows, path):
     full = [(d, t, "en", s, len(t or ""), 1, "x", "y", 2, 3, 4, "c", "n", "k", 5, 6) for d, t, s in rows]
     spark.createDataFrame(full, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, u, "") for i, u in enumerate(URLS if rows else [])], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    texts = [(0, passage_like(3)), (1, None), (2, ""), (3, "UNO uno Öl x"), (3, passage_like(3))] if rows else []
+    spark.createDataFrame([(*r, 1, "y", 2) for r in texts], "item_id long, text string, doc_id int, bucket string, s int").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(*r, 1, "e", "v") for r in (edge_vectors() if rows else [])], "vec_id long, embedding array<float>, label int, error int, entries string, v string").repartition(2).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
+def passage_like(seed):
+    return prose(random.Random(seed), 30)
+
+
+def edge_vectors():
+    """vec_id, embedding, label: nulls, what isn't finite, repeated rows, ties, another length, equal ids."""
+    rng = random.Random(11)
+    rows = [(i, [rng.choice((-1.0, -0.5, 0.0, 0.25, 0.7511)) for _ in range(10)], i % 3 or None) for i in range(400)]
+    rows += [rows[5]] * 3 + [(5, rows[6][1], 1), (None, rows[7][1], 2), (500, rows[8][1], 7)]
+    return rows + [(600, None, 1), (601, [], 1), (602, [1.0] * 9 + [None], 1), (603, [1.0] * 9 + [float("nan")], 1), (604, [float("-inf")] + [1.0] * 9, 1), (605, [1.0] * 9, 1)]
+
+
 URLS = [None, "", "no scheme", "http://", "HTTPS://WWW.Example.COM/en/x?y#z", "http://example.com/en/x", "http://a.example.com/en/", "http://a.example.com/de/", "http://x.net/es/1", "http://x.net/de/1", "http://com", "http://a.com/", "http://x.org#a/b", "http://notexample.com/en/", "a://b://c/d", "http://cheap-pills.org/en/1", "http://x.org/\nq"]
 
 
