@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from parcela.operators import incremental as inc
 from parcela.plans import portals
-from parcela.sources import tables
+from parcela.sources import files, tables
 
 MODES = ("listing", "detail", "cards")
 
@@ -48,12 +48,6 @@ def rows_of(pages: DataFrame, options: Options) -> tuple[DataFrame, str]:
     return (portals.listing if options.mode == "listing" else portals.detail)(pages, portal), "url"
 
 
-def is_table(spark: SparkSession, path: str) -> bool:
-    """Whether there is a folder of that name, in any store that Spark reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def up_to_empty_pages(good: DataFrame, rows: DataFrame, most: int = 2) -> DataFrame:
     """The rows of the pages up to the last of `most` pages in a row that have none."""
     found = rows.groupBy("pagina_origen").count()
@@ -76,11 +70,11 @@ def run(spark: SparkSession, options: Options) -> None:
     rows = written(inc.earliest(rows.filter(F.col(key).isNotNull()), [key], "pagina_origen"), "rows")
     rows = rows if options.mode == "detail" else up_to_empty_pages(good, rows)
     journal = f"{options.output}/journal"
-    new = inc.new_only(rows, spark.read.parquet(journal), key).select(*rows.columns) if is_table(spark, journal) else rows
+    new = inc.new_only(rows, spark.read.parquet(journal), key).select(*rows.columns) if files.exists(spark, journal) else rows
     new = inc.budget(new, ["pagina_origen", key], options.max_properties) if options.max_properties else new
     new.write.mode("append").parquet(journal)
     whole = spark.read.parquet(journal)
-    tables.write_snapshot(whole, f"{options.output}/snapshot", files=options.snapshot_files)
+    tables.write_snapshot(whole, f"{options.output}/snapshot", parts=options.snapshot_files)
     done = tables.last_completed(good, "page", inc.new_only(rows, whole, key), "pagina_origen")
     tables.state(whole, key, "pagina_origen").withColumn("last_completed_page", F.lit(done).cast("int")).write.mode("overwrite").json(f"{options.output}/state")
 

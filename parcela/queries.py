@@ -11,8 +11,8 @@ from parcela import portal_queries
 from parcela.functions import address, features, numbers, text, urls
 from parcela.operators import incremental as inc
 from parcela.plans import portals
-from parcela.sources import tables
-from parcela.streaming import journal
+from parcela.sources import snapshots, tables
+from parcela.streaming import crawl, journal
 
 QUERIES, ORACLE_SQL = {**portal_queries.QUERIES}, {**portal_queries.ORACLE_SQL}
 
@@ -301,3 +301,47 @@ def stream_snapshot(spark, sf_dir):
     journal.with_snapshots(rows, "user_id", "event_id", f"{base}/out", f"{base}/state", every=2).awaitTermination()
     journal.write_state(spark, "user_id", "event_id", f"{base}/out")
     return spark.read.schema("user_id long, event_id long, first_seen long").option("header", "true").csv(f"{base}/out/snapshot")
+
+
+@query("select user_id, arg_max(event_id, (event_id % 3, event_id)) as event_id, (min(event_id % 3) + 1)::bigint as first_commit from events group by user_id")
+def journal_latest(spark, sf_dir):
+    """The last line of each key in a journal of three appends, and the first append that had the key."""
+    path = scratch(spark, "journal")
+    for k in range(3):
+        tables.append_journal(table(spark, sf_dir, "events").filter(F.col("event_id") % 3 == k).select("user_id", "event_id").orderBy("event_id"), path)
+    last = inc.latest(tables.read_journal(spark, path, "user_id long, event_id long", offset="at"), "user_id", "at")
+    return last.select("user_id", "event_id", F.col("first_seen.commit").alias("first_commit"))
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, min(event_id) as first_seen from events group by user_id")
+def snapshot_merge(spark, sf_dir):
+    """A snapshot that three batches were merged into, out of order."""
+    path = scratch(spark, "merged")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    for number, k in enumerate((2, 0, 1)):
+        snapshots.merge(events.filter(F.col("event_id") % 3 == k), path, "user_id", "event_id", buckets=16, batch=number)
+    return snapshots.read(spark, path)
+
+
+@query("""
+with p as (select page_id // 20 as s, page_id % 20 as page, length(html) % 11 <> 0 as has_html, case when length(html) % 11 <> 0 and length(html) % 5 <> 0 then ['k' || page_id % 37, 'k' || page_id % 11] else [] end as links from pages),
+  q as (select *, len(links) = 0 as nothing, lag(len(links) = 0) over (partition by s order by page) as before from p),
+  e as (select s, min(page) as stop from q where nothing and before group by s),
+  r as (select q.*, coalesce(page = stop, false) as ended from q left join e using (s) where stop is null or page <= stop),
+  l as (select s, page, pos, url from (select s, page, unnest(range(len(links))) as pos, unnest(links) as url from r) qualify row_number() over (partition by s, url order by page, pos) = 1),
+  n as (select s, page, count(*) as c from l group by s, page),
+  t as (select r.s, r.page, ended, max(case when has_html and not ended then r.page end) over w as last_completed, sum(coalesce(c, 0)) over w as n_links from r left join n using (s, page) window w as (partition by r.s order by r.page))
+select 'page' as kind, 'https://x.example/' || s as search_url, page::int as page, null::int as pos, null::varchar as url, last_completed::int as last_completed, n_links::bigint as n_links, ended from t
+union all select 'link', 'https://x.example/' || s, page::int, pos::int, url, last_completed::int, n_links::bigint, ended from l join t using (s, page)""")
+def stream_crawl(spark, sf_dir):
+    """The crawl of searches of 20 pages each, stopped and taken up again twice."""
+    base, k = scratch(spark, "crawl"), F.col("page_id")
+    crawl.use_rocksdb(spark)
+    has_html = F.length("html") % 11 != 0
+    links = F.when(has_html & (F.length("html") % 5 != 0), F.array(*[F.concat(F.lit("k"), (k % n).cast("string")) for n in (37, 11)]))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://x.example/"), F.floor(k / 20).cast("string")).alias("search_url"), (k % 20).cast("int").alias("page"), has_html.alias("has_html"), links.alias("links"))
+    for first, last in ((0, 7), (7, 8), (8, 20)):
+        pages.filter(F.col("page").between(first, last - 1)).write.mode("append").parquet(f"{base}/in")
+        events = crawl.crawl(crawl.captured_pages(spark, f"{base}/in", files=1000, fmt="parquet"))
+        events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(crawl.EVENTS).parquet(f"{base}/out").drop("empty_in_a_row")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcela.operators.incremental import latest
-from parcela.sources import tables
+from parcela.sources import files, snapshots, tables
 
 
 def captured_rows(spark: SparkSession, path: str, schema: str, files: int = 1, fmt: str = "json") -> DataFrame:
@@ -46,20 +46,43 @@ def snapshot(journal: DataFrame, key: str, order: str) -> DataFrame:
     return latest(journal, key, order)
 
 
-def with_snapshots(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, every: int = 1) -> StreamingQuery:
-    """Each micro-batch to a journal under path; after every so many of them the snapshot (latest of each key) and the state of the whole journal are written anew. A snapshot reads the
-    whole journal, so a long run wants a wide cadence. A batch that is run again overwrites its own folder."""
+def with_snapshots(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, every: int = 1, csv: bool = True) -> StreamingQuery:
+    """Each micro-batch to a journal under path; after every so many of them what came since is merged into the snapshot (latest
+    of each key, parcela.sources.snapshots) under path/table: of the journal only new batches are read, of the
+    snapshot only the buckets that they touch. csv: the snapshot and the state are exported then, too. A batch that is run
+    again overwrites its own folder, and is merged once."""
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/journal/batch={number}")
         if number % every == 0:
-            write_state(batch.sparkSession, key, order, path)
+            merge_new(batch.sparkSession, key, order, path)
+            if csv:
+                export(batch.sparkSession, order, path)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_new(spark: SparkSession, key: str, order: str, path: str) -> dict | None:
+    """The batches of the journal under path that the snapshot hasn't yet, merged into it."""
+    now = snapshots.manifest(spark, f"{path}/table")
+    done = -1 if now is None or now["batch"] is None else now["batch"]
+    new = sorted(n for n in (int(x.partition("=")[2]) for x in files.names(spark, f"{path}/journal") if x.startswith("batch=")) if n > done)
+    if not new:
+        return now
+    return snapshots.merge(spark.read.parquet(*[f"{path}/journal/batch={n}" for n in new]), f"{path}/table", key, order, batch=new[-1])
+
+
+def export(spark: SparkSession, order: str, path: str) -> None:
+    whole = snapshots.read(spark, f"{path}/table")
+    if whole is not None:
+        tables.write_snapshot(whole, f"{path}/snapshot")
+        state = whole.agg(F.max(order).alias("last"), F.count("*").alias("n_keys"))
+        draft = f"{path}/state.draft"
+        state.write.mode("overwrite").json(draft)
+        files.replace(spark, draft, f"{path}/state")
+
+
 def write_state(spark: SparkSession, key: str, order: str, path: str) -> None:
-    """The snapshot and the state of the journal under path; also to be called at the end of a run."""
-    whole = spark.read.parquet(f"{path}/journal").drop("batch")
-    tables.write_snapshot(latest(whole, key, order), f"{path}/snapshot")
-    whole.agg(F.max(order).alias("last"), F.count_distinct(key).alias("n_keys")).write.mode("overwrite").json(f"{path}/state")
+    """The snapshot and the state of the journal under path; to be called at the end of a run."""
+    merge_new(spark, key, order, path)
+    export(spark, order, path)

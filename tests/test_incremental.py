@@ -1,9 +1,11 @@
 """Journals, snapshots, streams and dead letters."""
 
+import pytest
+
 from parcela.functions import address
 from parcela.operators import incremental as inc
-from parcela.sources import tables
-from parcela.streaming import journal
+from parcela.sources import files, snapshots, tables
+from parcela.streaming import crawl, journal
 
 LINES = ['{"url":"a","n":1}', '{"url":"b","n":null,"extra":5}', '{"url":"a","n":2}', '{"n":9}', '{"url":"c","n']
 
@@ -84,3 +86,127 @@ def test_first_contained_in_small_and_large_lookups(spark):
     want = sorted([("villa luro norte", "villa luro", 10), ("el retiro", "retiro", 1), ("el retiro", "retiro", 1), ("a", "a", 5), ("", None, None), (None, None, None), ("zz top", "zz", 4)], key=repr)
     for most in (10, 2):
         assert sorted(map(tuple, address.first_contained(df, "t", table, most).select("t", "k", "v").collect()), key=repr) == want
+
+
+def test_latest_of_several_appends(spark, tmp_path):
+    """Whatever Spark calls the files: the latest line is that of the last append, and of a commit's rows the last."""
+    for run in range(3):
+        path = str(tmp_path / f"j{run}")
+        for n in range(4):
+            rows = spark.createDataFrame([("a", 10 * n + i) for i in range(5)] + [(f"k{n}", n)], "url string, n int")
+            assert tables.append_journal(rows.repartition(1) if n % 2 else rows, path) == n + 1
+        got = {r.url: (r.n, r.first_seen.commit) for r in inc.latest(tables.read_journal(spark, path, "url string, n int", offset="at"), "url", "at").collect()}
+        assert got["a"] == (34, 1) and got["k2"] == (2, 3) and len(got) == 5
+
+
+def test_commits_count_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "j"), spark.createDataFrame([("a", 1)], "url string, n int")
+    read = lambda: sorted((r.url, r.n) for r in tables.read_journal(spark, path, "url string, n int").collect())
+    tables.append_journal(rows, path)
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "publish", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            tables.append_journal(spark.createDataFrame([("b", 2)], "url string, n int"), path)
+    assert read() == [("a", 1)]
+    (tmp_path / "j/came.json").write_text('{"url":"z","n":0}\n{"url":"torn')  # a file of another writer
+    tables.append_journal(spark.createDataFrame([("c", 3)], "url string, n int"), path)
+    tables.append_journal(rows.limit(0), path)
+    assert read() == [("a", 1), ("c", 3), ("z", 0)]
+    # another run takes the number first
+    real = files.publish
+    with monkeypatch.context() as m:
+        m.setattr(files, "publish", lambda s, p, t: real(s, p, "other") and False if p.endswith("3") else real(s, p, t))
+        assert tables.append_journal(spark.createDataFrame([("d", 4)], "url string, n int"), path) == 4
+    files.delete(spark, f"{path}/_log/0000000003")
+    assert ("d", 4) in read()
+
+
+def test_merged_snapshots(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows = lambda *r: spark.createDataFrame([*r], "url string, n int, v string")
+    read = lambda: sorted((r.url, r.n, r.v, r.first_seen) for r in snapshots.read(spark, path).collect())
+    assert snapshots.read(spark, path) is None
+    many = [(f"u{i}", 1, "x") for i in range(200)]
+    first = snapshots.merge(rows(*many, ("u0", 0, "early"), (None, 9, "no key")), path, "url", "n", buckets=16, batch=0)
+    assert first["count"] == 16 and sum(b["rows"] for b in first["buckets"].values()) == 200
+    before = read()
+    assert before[0] == ("u0", 1, "x", 0)
+    second = snapshots.merge(rows(("u7", 5, "new"), ("u7", 4, "old"), ("u8", 0, "older")), path, "url", "n", batch=3)
+    assert {r[0]: r[1:] for r in read()} == {r[0]: r[1:] for r in before} | {"u7": (5, "new", 1), "u8": (1, "x", 0)}
+    # only the buckets of the two keys were written
+    new = [b for b, x in second["buckets"].items() if x["version"] == 2]
+    assert len(new) <= 2 and {x["version"] for x in second["buckets"].values()} == {1, 2}
+    assert {int(n.partition("=")[2]) for n in files.names(spark, f"{path}/v=2") if n.startswith("bucket=")} == {int(b) for b in new}
+    assert snapshots.merge(rows(("u7", 99, "again")), path, "url", "n", batch=3) == second  # a batch that is run again
+
+
+def test_a_merge_that_ends_early_leaves_the_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    rows = lambda *r: spark.createDataFrame([*r], "url string, n int")
+    read = lambda: sorted(map(tuple, snapshots.read(spark, path).collect()))
+    snapshots.merge(rows(("a", 1), ("b", 1)), path, "url", "n", buckets=4)
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(files, "publish", stopped)
+        with pytest.raises(KeyboardInterrupt):
+            snapshots.merge(rows(("a", 2), ("c", 2)), path, "url", "n")
+    assert read() == [("a", 1, 1), ("b", 1, 1)]
+    snapshots.merge(rows(("a", 3)), path, "url", "n")
+    snapshots.merge(rows(("b", 4)), path, "url", "n")
+    assert read() == [("a", 3, 1), ("b", 4, 1)]
+    snapshots.vacuum(spark, path, keep=1)
+    assert read() == [("a", 3, 1), ("b", 4, 1)]
+
+
+def test_csv_for_spreadsheets_and_in_place(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", 'x "y", z'), ("b", None)], "url string, titulo string")
+    path = tmp_path / "s"
+    tables.write_snapshot(rows, str(path), parts=1, excel=True)
+    want = '﻿url,titulo\r\na,"x ""y"", z"\r\nb,\r\n'.encode()
+    assert next(path.glob("part-*")).read_bytes() == want
+    with monkeypatch.context() as m:
+        m.setattr(files, "replace", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            tables.write_snapshot(rows.limit(1), str(path), parts=1)
+    assert next(path.glob("part-*")).read_bytes() == want
+    tables.write_snapshot(rows.limit(1), str(path), parts=1)
+    assert next(path.glob("part-*")).read_text().splitlines()[0] == "url,titulo" and not files.exists(spark, f"{path}.old")
+
+
+def test_crawl_is_taken_up_again(spark, tmp_path):
+    crawl.use_rocksdb(spark)
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    pages = {
+        1: (True, ["a", "b", "a"]), 2: (True, ["b", "c"]), 3: (False, None), 4: (True, ["d", None, ""]), 5: (True, []),
+        6: (False, None), 7: (True, ["e"]), 8: (True, ["f"]),
+    }
+
+    def put(*numbers, search="s"):
+        rows = [(search, n, *pages[n]) for n in numbers]
+        spark.createDataFrame(rows, crawl.PAGES).coalesce(1).write.mode("append").json(src)
+
+    def run():
+        events = crawl.crawl(crawl.captured_pages(spark, src))
+        events.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema(crawl.EVENTS).parquet(out).collect()
+        last = max((r for r in got if r.kind == "page" and r.search_url == "s"), key=lambda r: r.page)
+        return sorted((r.page, r.url) for r in got if r.kind == "link" and r.search_url == "s"), (last.page, last.last_completed, last.empty_in_a_row, last.n_links, last.ended)
+
+    put(2, 1)  # in one file: sorted
+    assert run() == ([(1, "a"), (1, "b"), (2, "c")], (2, 2, 0, 3, False))
+    put(2, 3, 4)  # a page that comes again
+    assert run() == ([(1, "a"), (1, "b"), (2, "c"), (4, "d")], (4, 4, 0, 4, False))
+    put(1, search="t")
+    put(5)
+    assert run()[1] == (5, 5, 1, 4, False)
+    put(6, 7)
+    put(8)
+    links, last = run()
+    assert last == (6, 5, 2, 4, True) and len(links) == 4  # two in a row: the end; what comes later is dropped
