@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parcela.functions import features
 from parcela.plans import portals
 from parcela.plans.schema import CARD, LISTING
+from parcela.register import register
 
 SITE_A, SITE_B, SITE_C = "https://www.argenprop.com", "https://www.zonaprop.com.ar", "https://x.example"
 SEARCH_A, SEARCH_B = f"{SITE_A}/departamentos/venta/palermo", f"{SITE_B}/departamentos-venta-palermo.html"
@@ -154,6 +155,7 @@ ORACLE_SQL = {
         parse_warnings="case when amount is null then 'sin_precio' end", posicion_pagina="k + 1", slug="'MLA-' || item || '-x'", calle="'Gorriti'", altura="k + 4500", comuna="14", precio_m2_min=half_up("amount / (k + 60)"), precio_m2_max=half_up("amount / (k + 45)"), amplitud_superficie_m2="15",
         es_rango_superficie="1", es_rango_ambientes="1", monoambiente="0", apto_credito="0", balcon="1", terraza="0", pileta="0", parrilla="0", cochera_mencionada="0", amenities_mencionadas="0", cantidad_atributos="2", completitud_pct="case when amount is null then 42.9e0 else 57.1e0 end",
     ),
+    "portal_pairs": f"select '{SITE_A}/departamento-en-venta-' || n as url, (n % 90 + 20) || ' m2' as superficie_total, (n % 5 + 1)::varchar as ambientes, null::varchar as cochera from ({PAGES_SQL})",
     "portal_blocks": """
 select n, case n % 6 when 0 then 'titulo:access denied' when 1 then 'texto_visible:verify you are human' end as reason_a,
   case n % 6 when 0 then 'titulo:access denied' when 1 then 'texto_visible:verify you are human' when 2 then 'texto_visible:checking your browser' end as reason_b, n % 6 = 5 as whole from (select page_id as n from pages)""",
@@ -188,6 +190,13 @@ def portal_cards(spark, sf_dir):
     return without_time(portals.cards(results_c(spark, sf_dir)))
 
 
+def portal_pairs(spark, sf_dir):
+    """The table function over detail pages, in SQL."""
+    register(spark)
+    pages = details_a(spark, sf_dir).select("url", "html")
+    return spark.sql("SELECT * FROM html_pairs(TABLE(SELECT * FROM {pages}), 'Superficie total', 'ambientes', 'cochera')", pages=pages)
+
+
 def portal_blocks(spark, sf_dir):
     """Why pages look blocked, to either portal, and whether a response is whole. Six kinds of pages: a title; a text with a
     widget of both, with a widget of the second only, with none; a widget alone; a long page."""
@@ -201,4 +210,4 @@ def portal_blocks(spark, sf_dir):
     return a.join(portals.classified(pages, features.WIDGETS_B).select("n", F.col("block_reason").alias("reason_b")), "n")
 
 
-QUERIES = {f.__name__: f for f in (portal_links, portal_b_links, portal_listing, portal_b_listing, portal_detail, portal_b_detail, portal_cards, portal_blocks)}
+QUERIES = {f.__name__: f for f in (portal_links, portal_b_links, portal_listing, portal_b_listing, portal_detail, portal_b_detail, portal_cards, portal_pairs, portal_blocks)}

@@ -1,16 +1,22 @@
 """SQL names for the library's functions: SQL user-defined functions, whose bodies Catalyst inlines, and table functions
-over pages, which parse a page as html_page does."""
+over pages, which parse a page as html_page does. html_pairs has two forms:
+
+    SELECT p.* FROM pages, LATERAL html_pairs(html) p                                       -- pos, key, value
+    SELECT * FROM html_pairs(TABLE(SELECT url, html FROM pages), 'ambientes', 'cocheras')   -- url, and a column for each key
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from parcela.functions.address import COMMUNES
-from parcela.functions.text import NO, YES, folding
-from parcela.sources.html import html_page, page_of
+from parcela.functions.text import NO, YES, folding, key_of
+from parcela.sources.html import html_page, page_of, pairs_of
 
 
 def listed(names) -> str:
@@ -18,6 +24,7 @@ def listed(names) -> str:
 
 
 NUMBER = "[0-9][0-9.,]*"
+CLEAN = r"nullif(trim(regexp_replace(s, r'(?U)\s+', ' ')), '')"
 FOLD = r"lower(translate(regexp_replace(coalesce(s, ''), r'\p{M}+', ''), '%s', '%s'))" % tuple(x.replace("\\", r"\\").replace("'", r"\'") for x in folding())
 # tags and comments out, entities decoded, white space collapsed
 PLAIN = r"regexp_replace(s, r'(?s)<!--.*?-->|</?[A-Za-z][^>]*>', ' ')"
@@ -26,9 +33,19 @@ for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '
 FIRST = f"nullif(regexp_extract({PLAIN}, '-?{NUMBER}', 0), '')"
 COUNTED = "SELECT n, length(n) - length(replace(n, '.', '')) AS p, length(n) - length(replace(n, ',', '')) AS k"
 
+# The marks of streets, floors and units, as parcela.functions.address has them.
+STREET, CARD_STREET = r"r'^(.*?)\s+([0-9]{1,6})(?:\s|$)'", r"r'^(.*?)(?:\s+([0-9]{1,6}))?$'"
+FLOOR, UNIT = r"r'(?i)\b(?:piso|p\.?)[\s:]*([A-Za-z0-9-]+)'", r"r'(?i)\b(?:depto|dpto|unidad|uf)[\s:]*([A-Za-z0-9-]+)'"
+ENDS_STREET = r"r'(?i),|\bpiso\b|\bdpto\b|\bdepto\b|\bunidad\b'"
+# a number of a card, of which x holds nothing else
+CARD_NUMBER = (
+    "try_cast(CASE WHEN contains(x, ',') THEN replace(replace(x, '.', ''), ',', '.') "
+    "WHEN length(x) - length(replace(x, '.', '')) > 1 OR (contains(x, '.') AND length(substring_index(x, '.', -1)) = 3) THEN replace(x, '.', '') ELSE x END AS DOUBLE)"
+)
+
 # SQL bodies for the functions whose Column forms are in parcela.functions. Later ones call earlier ones.
 BODIES = {
-    "clean_text": ("s STRING", "STRING", r"nullif(trim(regexp_replace(s, r'(?U)\s+', ' ')), '')"),
+    "clean_text": ("s STRING", "STRING", CLEAN),
     "fold": ("s STRING", "STRING", FOLD),
     "normalize_key": ("s STRING", "STRING", "regexp_replace(regexp_replace(fold(s), '[^a-z0-9]+', '_'), '^_+|_+$', '')"),
     "parse_bool": ("s STRING", "INT", f"CASE WHEN s IS NULL THEN NULL WHEN normalize_key(s) IN ({listed(YES)}) THEN 1 WHEN normalize_key(s) IN ({listed(NO)}) THEN 0 END"),
@@ -52,6 +69,25 @@ BODIES = {
     ),
     "currency": ("s STRING", "STRING", r"CASE WHEN lower(clean_text(s)) RLIKE r'\b(usd|u\$s|us\$|d[oó]lares?)\b' THEN 'USD' WHEN lower(clean_text(s)) RLIKE r'\b(ars|pesos?)\b|\$' THEN 'ARS' END"),
     "commune": ("s STRING", "INT", "CASE " + " ".join(f"WHEN contains(fold(s), '{k}') THEN {v}" for k, v in COMMUNES) + " END"),
+    "number_range": (
+        "s STRING", "STRUCT<low: DOUBLE, high: DOUBLE>",
+        f"(SELECT named_struct('low', get(n, 0), 'high', coalesce(get(n, 1), get(n, 0))) FROM (SELECT filter(transform(regexp_extract_all(s, '({NUMBER})', 1), x -> {CARD_NUMBER}), x -> x IS NOT NULL) AS n))",
+    ),
+    "parse_address": (
+        "s STRING", "STRUCT<full: STRING, street: STRING, number: STRING, floor: STRING, unit: STRING>",
+        f"(SELECT named_struct('full', full, 'street', CASE WHEN base RLIKE {STREET} THEN trim(regexp_extract(base, {STREET}, 1)) WHEN part <> '' THEN base END, "
+        f"'number', CASE WHEN base RLIKE {STREET} THEN regexp_extract(base, {STREET}, 2) END, 'floor', nullif(regexp_extract(full, {FLOOR}, 1), ''), 'unit', nullif(regexp_extract(full, {UNIT}, 1), '')) "
+        f"FROM (SELECT full, part, trim(part) AS base FROM (SELECT {CLEAN} AS full, get(split(coalesce({CLEAN}, ''), {ENDS_STREET}, 2), 0) AS part)))",
+    ),
+    "card_address": (
+        "s STRING", "STRUCT<street: STRING, number: INT>",
+        f"(SELECT named_struct('street', trim(regexp_extract(a, {CARD_STREET}, 1)), 'number', try_cast(nullif(regexp_extract(a, {CARD_STREET}, 2), '') AS INT)) FROM (SELECT trim(substring_index(coalesce(s, ''), ',', 1)) AS a))",
+    ),
+    "place_parts": (
+        "s STRING", "STRUCT<district: STRING, town: STRING, province: STRING>",
+        "(SELECT named_struct('district', CASE WHEN size(p) >= 3 THEN try_element_at(p, -2) END, 'town', CASE WHEN size(p) > 0 THEN try_element_at(p, -1) END, 'province', CASE WHEN contains(lower(s), 'capital federal') THEN 'Capital Federal' END) "
+        "FROM (SELECT filter(transform(split(coalesce(s, ''), ','), x -> trim(x)), x -> x <> '') AS p))",
+    ),
 }
 
 
@@ -72,7 +108,32 @@ class JsonldObjects:
         yield from enumerate((page_of(html) or {"jsonld": []})["jsonld"])
 
 
-TABLES = {"html_links": HtmlLinks, "jsonld_objects": JsonldObjects}
+class HtmlPairs:
+    """Pairs of table rows and of definition lists. Of a text: pos, key, value. Of a table with a column html, and names: the
+    table's other columns, and the last value of each name (as normalize_key() has it); null where a page has none."""
+
+    @staticmethod
+    def analyze(source: AnalyzeArgument, *names: AnalyzeArgument) -> AnalyzeResult:
+        if not source.isTable:
+            if names:
+                raise ValueError("names are for tables: html_pairs(TABLE(...), 'name', ...)")
+            return AnalyzeResult(T.StructType().add("pos", T.IntegerType()).add("key", T.StringType()).add("value", T.StringType()))
+        if "html" not in source.dataType.names:
+            raise ValueError("the table has no column html")
+        if not names or any(n.value is None for n in names):
+            raise ValueError("the names must be constants, and one at least")
+        kept = [f for f in source.dataType.fields if f.name != "html"]
+        return AnalyzeResult(T.StructType(kept + [T.StructField(key_of(n.value), T.StringType()) for n in names]))
+
+    def eval(self, source: Row | str | None, *names: str) -> Iterator[tuple]:
+        if not isinstance(source, Row):
+            yield from ((i, k, v) for i, (k, v) in enumerate(pairs_of(page_of(source))))
+            return
+        own = {key_of(k): v for k, v in pairs_of(page_of(source["html"]))}
+        yield (*(x for f, x in source.asDict(recursive=False).items() if f != "html"), *(own.get(key_of(n)) for n in names))
+
+
+TABLES = {"html_pairs": F.udtf(HtmlPairs), "html_links": HtmlLinks, "jsonld_objects": JsonldObjects}
 
 
 def register(spark: SparkSession) -> list[str]:

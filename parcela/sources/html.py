@@ -107,6 +107,23 @@ def page_of(html: str | None) -> dict | None:
     return {"title": squeeze(page.texts[titles[0]["t0"] : titles[0]["t1"]]) if titles else None, "visible": squeeze(page.shown), "elements": page.rows, "texts": page.texts, "jsonld": found}
 
 
+def pairs_of(page: dict | None) -> list[tuple[str, str]]:
+    """Pairs of a page_of(): two-cell table rows, then dt and the dd that follows it, as portals.table_pairs() finds them."""
+    rows, texts = (page["elements"], page["texts"]) if page else ([], [])
+    text = lambda r: " ".join(" ".join(texts[r["t0"] : r["t1"]]).split())
+    below: dict[int, list[dict]] = {}
+    for r in rows:
+        below.setdefault(r["parent"], []).append(r)
+    cells = [[c for c in below.get(r["pos"], ()) if c["tag"] in ("th", "td")] for r in rows if r["tag"] == "tr"]
+    found = [(k, v) for k, v in (map(text, c) for c in cells if len(c) == 2) if k and v and len(k) <= 80]
+    for r in rows:
+        if r["tag"] == "dt":
+            after = next((d for d in below[r["parent"]] if d["pos"] > r["pos"] and d["tag"] == "dd"), None)
+            if after and text(r) and text(after):
+                found.append((text(r), text(after)))
+    return found
+
+
 def html_page():
     """The user-defined function behind parse_html(), to register for SQL."""
 

@@ -6,7 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcela.functions import address, features, numbers, text, urls
+from parcela.plans import portals
 from parcela.register import register
+from parcela.sources.html import parse_html
 
 
 def column(spark, values, f, kind="string"):
@@ -145,3 +147,27 @@ def test_sql_tables(spark):
     spark.createDataFrame([(page,), (None,)], "html string").createOrReplaceTempView("captured")
     assert sorted(map(tuple, spark.sql("select l.pos, l.href from captured, lateral html_links(html) l").collect())) == [(0, "/a"), (1, "/b")]
     assert sorted(map(tuple, spark.sql("select l.pos, l.object from captured, lateral jsonld_objects(html) l").collect())) == [(0, '{"b": {"c": 1}}'), (1, '{"c": 1}')]
+
+
+def test_sql_names_of_addresses_and_ranges(spark):
+    register(spark)
+    texts = ["Gorriti 4500 Piso 3 Depto B", "Av. Siempre Viva", " Gorriti 4500, Palermo, Capital Federal", "piso 2", "", None, "2 a 3 ambs.", "45,5 - 1.060 m²", "1.234.567", "a, ,b", "Callao 12 unidad 7", "1.5,x 99.999", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for name, f in (("parse_address", address.parse_address), ("card_address", address.card_address), ("place_parts", address.place_parts), ("number_range", numbers.number_range)):
+        rows = df.select("s", F.expr(f"{name}(s)").alias("sql"), f("s").alias("own")).collect()
+        assert [(r.s, tuple(r.sql)) for r in rows] == [(r.s, tuple(r.own or (None, None))) for r in rows], name
+
+
+def test_pairs_in_sql(spark):
+    register(spark)
+    html = """<table><tr><th>Ambientes</th><td>3</td></tr><tr><td>a</td><td>b</td><td>c</td></tr><tr><td></td><td>x</td></tr></table>
+    <dl><dt>Cocheras<dd>1<dd>2<dt>Sin</dl><table><tr><th>Ambientes</th><td> 4  o 5 </td></tr></table>"""
+    spark.createDataFrame([(1, html, "x"), (2, None, "y"), (3, "<p>nada</p>", None)], "id int, html string, other string").createOrReplaceTempView("some_pages")
+    got = spark.sql("SELECT id, p.* FROM some_pages, LATERAL html_pairs(html) p").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "Ambientes", "3"), (1, 1, "Ambientes", "4 o 5"), (1, 2, "Cocheras", "1")]
+    got = spark.sql("SELECT * FROM html_pairs(TABLE(some_pages), 'Ambientes', 'cochéras', 'nada')")
+    assert got.columns == ["id", "other", "ambientes", "cocheras", "nada"]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", "4 o 5", "1", None), (2, "y", None, None, None), (3, None, None, None, None)]
+    plan = portals.table_pairs(F.col("doc.elements"), F.col("doc.texts"))
+    own = spark.table("some_pages").select("id", parse_html(F.col("html")).alias("doc")).select("id", F.posexplode(plan)).collect()
+    assert sorted((r.id, r.pos, r.col.k, r.col.v) for r in own) == [(1, 0, "Ambientes", "3"), (1, 1, "Ambientes", "4 o 5"), (1, 2, "Cocheras", "1")]
