@@ -1,7 +1,7 @@
 """A run over captured pages, as a command: python -m parcela.jobs --input PAGES --output DIR --portal a --mode listing
 
 Pages in the range and budget asked for become rows; rows that the journal doesn't have yet are appended; the snapshot,
-the state, the failures and the dumps of intermediate responses are written anew, so a run that is repeated changes
+the state, the failures, the counters and the dumps of intermediate responses are written anew, so a run that is repeated changes
 nothing. Pages are parsed once and written, and so are the rows, under DIR/work. Results pages end at the second empty
 one in a row. Everything but the one-row state stays distributed.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.operators import incremental as inc
+from parcela.operators.observed import Counters
 from parcela.plans import portals
 from parcela.sources import files, tables
 
@@ -61,18 +62,21 @@ def run(spark: SparkSession, options: Options) -> None:
     pages = spark.read.parquet(options.input)
     pages = inc.page_range(pages, "page", options.page_start, options.max_pages) if "page" in pages.columns else pages
     widgets = portals.features.WIDGETS_B if options.portal == "b" else portals.features.WIDGETS_A
-    seen = written(portals.classified(pages, widgets, parsed=True), "pages")
+    counters = Counters(spark)
+    pages = portals.classified(pages, widgets, parsed=True)
+    seen = written(counters.watch(pages, "pages", n_ok=F.count(F.when(F.col("response") == "ok", 1)), n_intermediate=F.count(F.when(F.col("status") == 202, 1))), "pages")
     good = seen.filter("response = 'ok'").drop("block_reason", "response")
     failed = seen.filter("response <> 'ok'").withColumn("reason", F.coalesce(F.concat(F.col("response"), F.lit(":"), F.col("block_reason")), F.col("response")))
     tables.failures(failed, "reason", "captured_at").write.mode("overwrite").json(f"{options.output}/failures")
     tables.diagnostics(seen).write.mode("overwrite").parquet(f"{options.output}/diagnostics")
     rows, key = rows_of(good, options)
-    rows = written(inc.earliest(rows.filter(F.col(key).isNotNull()), [key], "pagina_origen"), "rows")
+    rows = written(counters.watch(inc.earliest(rows.filter(F.col(key).isNotNull()), [key], "pagina_origen"), "rows"), "rows")
     rows = rows if options.mode == "detail" else up_to_empty_pages(good, rows)
     journal = f"{options.output}/journal"
     new = inc.new_only(rows, spark.read.parquet(journal), key).select(*rows.columns) if files.exists(spark, journal) else rows
     new = inc.budget(new, ["pagina_origen", key], options.max_properties) if options.max_properties else new
-    new.write.mode("append").parquet(journal)
+    counters.watch(new, "new").write.mode("append").parquet(journal)
+    counters.save(f"{options.output}/counters")
     whole = spark.read.parquet(journal)
     tables.write_snapshot(whole, f"{options.output}/snapshot", parts=options.snapshot_files)
     done = tables.last_completed(good, "page", inc.new_only(rows, whole, key), "pagina_origen")

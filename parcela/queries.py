@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from parcela import portal_queries
 from parcela.functions import address, features, numbers, text, urls
 from parcela.operators import incremental as inc
+from parcela.operators.observed import Counters
 from parcela.plans import portals
 from parcela.sources import snapshots, tables
+from parcela.sources.keys import KnownKeys
 from parcela.streaming import crawl, journal
 
 QUERIES, ORACLE_SQL = {**portal_queries.QUERIES}, {**portal_queries.ORACLE_SQL}
@@ -345,3 +347,28 @@ def stream_crawl(spark, sf_dir):
         events = crawl.crawl(crawl.captured_pages(spark, f"{base}/in", files=1000, fmt="parquet"))
         events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(crawl.EVENTS).parquet(f"{base}/out").drop("empty_in_a_row")
+
+
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_totalprice > 250000)")
+def known_keys(spark, sf_dir):
+    """Customers without large orders: the large orders' customers are the keys of two earlier runs."""
+    known = KnownKeys(spark, scratch(spark, "keys"), "bigint", buckets=16)
+    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 250000").select("o_orderkey", "o_custkey")
+    for k in (0, 1):
+        known.add(orders.filter(F.col("o_orderkey") % 2 == k), "o_custkey")
+    return known.new_only(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("select event_type, count(*) as n_rows, count(value) as n_values, count(distinct user_id) as n_keys from events group by event_type")
+def observed_counts(spark, sf_dir):
+    """Counters of a run that splits events by type: taken while the parts and their keys are written, in one pass each."""
+    counters, base = Counters(spark), scratch(spark, "observed")
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value")
+    types = [r[0] for r in events.select("event_type").distinct().collect()]  # a handful, as the schema says
+    per_type = {f"{m}_{i}": F.count(F.when(F.col("event_type") == t, F.col(c))) for i, t in enumerate(types) for m, c in (("rows", "event_type"), ("values", "value"))}
+    counters.watch(events, "events", **per_type).write.parquet(f"{base}/events")
+    keys = spark.read.schema(events.schema).parquet(f"{base}/events").groupBy("event_type", "user_id").count()
+    counters.watch(keys, "keys", **{f"keys_{i}": F.count(F.when(F.col("event_type") == t, 1)) for i, t in enumerate(types)}).write.parquet(f"{base}/keys")
+    found = counters.found
+    rows = [(t, found["events"][f"rows_{i}"], found["events"][f"values_{i}"], found["keys"][f"keys_{i}"]) for i, t in enumerate(types)]
+    return spark.createDataFrame(rows, "event_type string, n_rows long, n_values long, n_keys long")

@@ -1,10 +1,15 @@
 """Journals, snapshots, streams and dead letters."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from parcela.functions import address
 from parcela.operators import incremental as inc
+from parcela.operators.observed import Counters, ProgressTable
 from parcela.sources import files, snapshots, tables
+from parcela.sources.keys import KnownKeys
 from parcela.streaming import crawl, journal
 
 LINES = ['{"url":"a","n":1}', '{"url":"b","n":null,"extra":5}', '{"url":"a","n":2}', '{"n":9}', '{"url":"c","n']
@@ -210,3 +215,47 @@ def test_crawl_is_taken_up_again(spark, tmp_path):
     put(8)
     links, last = run()
     assert last == (6, 5, 2, 4, True) and len(links) == 4  # two in a row: the end; what comes later is dropped
+
+
+def test_known_keys_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    known = KnownKeys(spark, path, buckets=8)
+    found = spark.createDataFrame([(f"k{i % 50}", i) for i in range(200)] + [(None, -1)], "url string, n int")
+    assert known.new_only(found, "url").count() == 201
+    known.add(found.filter("n < 20"), "url")
+    known.add(found.filter("n < 30"), "url")
+    assert sorted(r[0] for r in known.table().collect()) == sorted(f"k{i}" for i in range(30))  # each once
+    new = known.new_only(found, "url")
+    assert {r.url for r in new.collect()} == {None, *(f"k{i}" for i in range(30, 50))}
+    plan = new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    side = plan[plan.index("known_key") :]
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "Exchange" not in side[side.index("FileScan") - 200 :].split("FileScan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastExchange" not in plan
+    known.compact()
+    assert known.new_only(found, "url").count() == new.count() and len(list((tmp_path / "keys").glob("part-*"))) <= 8
+    spark.sql(f"DROP TABLE {known.name}")  # a session that doesn't know it yet
+    assert KnownKeys(spark, path, buckets=8).new_only(found, "url").count() == new.count()
+
+
+def test_counters_of_batches_and_streams(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "url string, n int")
+    counters = Counters(spark)
+    watched = counters.watch(rows, "rows", n_known=F.count("n"), most=F.max("n"))
+    watched.write.parquet(str(tmp_path / "out"))
+    assert counters.found == {"rows": {"n_rows": 3, "n_known": 2, "most": 3}}
+    counters.save(str(tmp_path / "counters"))
+    assert spark.read.json(str(tmp_path / "counters")).first()[:] == ('{"most": 3, "n_known": 2, "n_rows": 3}', "rows")
+    rows.coalesce(1).write.option("ignoreNullFields", "false").json(str(tmp_path / "in"))
+    table = ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(table)
+    try:
+        stream = journal.captured_rows(spark, str(tmp_path / "in"), "url string, n int").observe("seen", F.count("n").alias("n_known"))
+        journal.write_journal(stream, str(tmp_path / "journal"), str(tmp_path / "state")).awaitTermination()
+        for _ in range(100):
+            if any(not n.startswith(".") for n in files.names(spark, table.path)):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(table)
+    got = spark.read.json(table.path).first()
+    assert (got["n_input"], got["observed"]["seen"]["n_known"]) == (3, 2)
