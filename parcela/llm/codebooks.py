@@ -162,6 +162,8 @@ def compress(vectors: DataFrame, scale: int = SCALE, parts: int = PARTS, entries
     books = first_codebooks(kept, parts, entries)
     for _ in range(rounds if books.size else 0):
         books = updated(kept, books)
+    if not books.size:
+        return kept.select("vec_id", "label", F.lit(None).cast("array<int>").alias("entries"), F.lit(None).cast("long").alias("error")), books
     return coded(kept, books), books
 
 
