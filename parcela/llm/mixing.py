@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import documents, n_words, ranked
+from parcela.llm.common import documents, materialize, n_words, ranked
 
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3.0, 20240611
 #: Names that documents are unlikely to have: stages carry all their columns.
@@ -39,7 +39,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
         shared = (F.lit(float(total)) - F.col("held")) / (F.lit(float(all_weights)) - F.col("used"))
         level = own.filter(shared <= F.col("top")).agg(F.min_by(shared, "place")).first()[0]
         own = own.drop("top", "place", "held", "used")
-    return own.withColumn("target", F.least(most, F.lit(level) * F.col("weight")).cast("double"))
+    # written: Spark knows how small it is, and broadcasts it instead of dealing documents by their source
+    return materialize(own.withColumn("target", F.least(most, F.lit(level) * F.col("weight")).cast("double")), "targets")
 
 
 def uniform(seed: int, *columns: Column) -> Column:

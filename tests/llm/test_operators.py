@@ -376,8 +376,8 @@ def test_url_model_on_held_out_urls(spark):
         for r in urls.judged(held, table.filter(F.col("part") != part), rules=()).collect():
             caught[r.y, r.judged.verdict] += 1
     assert sum(caught.values()) == table.count() >= 150
-    assert caught[1.0, "block"] >= 0.9 * (caught[1.0, "block"] + caught[1.0, "allow"])  # recall
-    assert caught[1.0, "block"] >= 0.9 * (caught[1.0, "block"] + caught[0.0, "block"])  # precision
+    assert caught[1.0, "block"] >= 0.8 * (caught[1.0, "block"] + caught[1.0, "allow"])  # recall
+    assert caught[1.0, "block"] >= 0.92 * (caught[1.0, "block"] + caught[0.0, "block"])  # precision
 
 
 def test_url_columns_of_the_caller_stay(spark):
