@@ -8,7 +8,8 @@ reaching the threshold falls below TOLERANCE. What is left is verified exactly o
 
 Each document gets the id of its class, the least doc_id that a chain of links leads to, and the number of
 other documents linked to it directly. A null text has no words. A null doc_id orders last. Rows equal in
-doc_id and text are one document. An empty table gives an empty result. Only doc_id and text are read.
+doc_id and text are one document. An empty table gives an empty result. Only doc_id and text are read; the stage carries other
+columns, but for _nj_o and _nj_k, which are the operator's.
 """
 
 from __future__ import annotations

@@ -79,7 +79,8 @@ class Bands:
 
 
 def bucket_edges(bands: DataFrame) -> DataFrame:
-    """a < b: each member of a bucket with the bucket's first; one pair may come from several buckets."""
+    """a < b: each member of a bucket with the bucket's first; one pair may come from several buckets. A bucket has a row for each
+    task's FLUSH members at most, as tasks settle what repeats within them: 50 000 narrow rows for ten thousand million members."""
     first = F.first("id").over(Window.partitionBy("key").orderBy("id"))
     linked = bands.withColumn("head", F.coalesce("lead", first)).filter("head <> id")
     return linked.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))

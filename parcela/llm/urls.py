@@ -5,7 +5,8 @@ labelled urls (url, label; 1: unwanted): the caller's, or labelled_urls(), which
 
 A null url, or one without ://, has empty host and path and no rule; the model judges the empty string.
 Equal urls get equal verdicts, so repeated rows and ties need no care; an empty table gives an empty result. judged()
-gives its answers as a struct column, so that columns of the caller's of any other name stay as they are.
+gives its answers as a struct column, so that columns of the caller's of any other name stay as they are, but for those whose
+names begin with _url_, which are the operator's.
 """
 
 from __future__ import annotations
