@@ -1,5 +1,8 @@
 """Golden values of the scalar functions, as stated in FIXTURES.md."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from parcela.functions import address, features, numbers, text, urls
 from parcela.plans import portals
 from parcela.register import register
-from parcela.sources.html import parse_html
+from parcela.sources.html import PAGE_TYPE, html_page, page_of, parse_html
 
 
 def column(spark, values, f, kind="string"):
@@ -171,3 +174,19 @@ def test_pairs_in_sql(spark):
     plan = portals.table_pairs(F.col("doc.elements"), F.col("doc.texts"))
     own = spark.table("some_pages").select("id", parse_html(F.col("html")).alias("doc")).select("id", F.posexplode(plan)).collect()
     assert sorted((r.id, r.pos, r.col.k, r.col.v) for r in own) == [(1, 0, "Ambientes", "3"), (1, 1, "Ambientes", "4 o 5"), (1, 2, "Cocheras", "1")]
+
+
+def test_parsing_holds_a_part_of_a_batch():
+    """What a worker holds doesn't grow with the pages of a batch."""
+    html = '<div class="card"><a href="/a">x</a><p>Depto <b>lindo</b></p></div>' * 200
+    peaks, parse = [], html_page().func
+    for n in (60, 600):
+        batch = pa.array([html] * (n - 2) + [None, ""], pa.string())
+        tracemalloc.start()
+        rows = sum(len(part) for part in parse(iter([batch, pa.array([], pa.string())])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 1.5 * peaks[0]
+    some = [html, None, "<p>a"] * 40
+    assert [x for part in parse(iter([pa.array(some)])) for x in part.to_pylist()] == pa.array([page_of(x) for x in some], PAGE_TYPE).to_pylist()
