@@ -15,7 +15,7 @@ from parcela.functions import features, numbers, urls
 from parcela.functions.address import card_address, commune, parse_address, place_parts
 from parcela.functions.text import clean_text, first_filled, flag, fold, found, normalize_key, once, parse_bool, plain_text, rounded, token_count, warnings
 from parcela.plans.schema import CARD, LISTING, aligned
-from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, places, subtree, text_of, under
+from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, parse_shown, places, subtree, text_of, under
 
 tag = lambda *names: lambda e: e["tag"].isin(*names)
 like = lambda part: lambda e: class_like(e, part)
@@ -31,17 +31,17 @@ class Portal:
 PORTAL_A, PORTAL_B = Portal("Argenprop", "a"), Portal("Zonaprop", "b")
 
 
-def captured(pages: DataFrame) -> DataFrame:
+def captured(pages: DataFrame, parse=parse_html) -> DataFrame:
     """pages with every column that the plans read, and the parsed page (doc), unless they have it."""
     for name, kind in (("search_url", "string"), ("page", "int"), ("status", "int"), ("captured_at", "timestamp")):
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
-    return pages if "doc" in pages.columns else pages.withColumn("doc", parse_html(F.col("html")))
+    return pages if "doc" in pages.columns else pages.withColumn("doc", parse(F.col("html")))
 
 
 def classified(pages: DataFrame, widgets=features.WIDGETS_A, parsed: bool = False) -> DataFrame:
     """pages with block_reason and response (what the capture is), and if asked for with the parsed page."""
-    out = captured(pages)
+    out = captured(pages, parse_html if parsed else parse_shown)
     reason = features.block_reason(F.col("doc.title"), F.col("doc.visible"), F.col("html"), widgets)
     out = out.withColumn("block_reason", reason)
     out = out.withColumn("response", features.response_class(F.col("status"), F.col("block_reason"), F.col("html")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parcela.functions import address, features, numbers, text, urls
 from parcela.plans import portals
 from parcela.register import register
-from parcela.sources.html import PAGE_TYPE, html_page, page_of, parse_html
+from parcela.sources.html import PAGE_TYPE, html_page, page_of, parse_html, parse_shown
 
 
 def column(spark, values, f, kind="string"):
@@ -190,3 +190,13 @@ def test_parsing_holds_a_part_of_a_batch():
     assert peaks[1] < 1.5 * peaks[0]
     some = [html, None, "<p>a"] * 40
     assert [x for part in parse(iter([pa.array(some)])) for x in part.to_pylist()] == pa.array([page_of(x) for x in some], PAGE_TYPE).to_pylist()
+
+
+def test_classes_need_no_elements(spark):
+    """What block_reason() reads is the same without the page's elements, which the plan of classified() doesn't carry."""
+    some = ["<title> a  b</title><p>c<noscript>d</noscript>", None, "", "<title></title>x", "<style>a</style><title>b"]
+    df = spark.createDataFrame([(1, x) for x in some], "id int, html string")
+    for r in df.select(parse_html(F.col("html")).alias("whole"), parse_shown(F.col("html")).alias("shown")).collect():
+        assert (r.whole and (r.whole.title, r.whole.visible)) == (r.shown and tuple(r.shown))
+    plan = portals.classified(df.withColumn("status", F.lit(200)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "html_shown" in plan and "html_page" not in plan
