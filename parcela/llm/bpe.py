@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -59,6 +60,19 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class Index(dict):
+    """Words and their numbers; a word that is looked up and isn't there gets the next one."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -74,40 +88,44 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.byte_len = np.array([len(x) for x in raw], np.int64)
         self.byte_start = np.cumsum(self.byte_len) - self.byte_len
-        self.of_byte = np.zeros(256, np.int64)
+        # pairs of symbols are keys; of 32 bits where those do
+        self.key_type = np.uint32 if self.size**2 < 1 << 32 else np.int64
+        self.of_byte = np.zeros(256, self.key_type)
         for c, b in symbols.items():
             self.of_byte[b] = vocab[c]
         pairs = [(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
-        self.key_type = np.uint32 if self.size**2 < 1 << 32 else np.int64
-        self.keys, self.ranks = keys[order].astype(self.key_type), order
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.keys, self.ranks = keys[order].astype(self.key_type), order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], self.key_type)
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.arena, self.start, self.length = [], [], []
-        self.flat, self.starts, self.lengths = (np.empty(0, np.int64),) * 3
+        # a special token is met as a word of its own only where it was split off: no word that the
+        # pattern yields holds both letters and signs
+        self.index = Index(zip(self.special, range(len(self.special)), strict=True))
+        self.flat = np.array([*self.special.values()], np.int32)
+        self.starts, self.lengths = np.arange(len(self.flat)), np.ones(len(self.flat), np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; len(keys) where a pair doesn't merge."""
-        key = (left * self.size + right).astype(self.key_type)
+        key = (left * self.key_type(self.size) + right).astype(self.key_type, copy=False)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], len(self.keys))
-
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self.merge_long(w)
-        ids = np.array([i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD], np.int64)
-        sym = self.of_byte[np.frombuffer(b"".join(words[i] for i in ids), np.uint8)]
-        word = np.repeat(ids, [len(words[i]) for i in ids]) if len(ids) else np.empty(0, np.int64)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(len(self.keys)))
+
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words, in any order, where those of each word start, and how many they are."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+        at, found = np.flatnonzero(size > LONG_WORD), []
+        for i in at:
+            found.append(self.merge_long(words[i]))
+        ends, counts = [at], [np.array([len(x) for x in found], np.int64)]
+        sym = self.of_byte[np.frombuffer(b"".join(words if len(short) == len(words) else [words[i] for i in short]), np.uint8)]
+        word = np.repeat(short.astype(np.int32), size[short])
         none = len(self.keys)
-        rank, fresh = np.full(len(sym), none), np.arange(len(sym))
+        rank, fresh = np.full(len(sym), none, np.int32), np.arange(len(sym))
         while len(sym):
             fresh = fresh[fresh < len(sym) - 1]
             fresh = fresh[word[fresh] == word[fresh + 1]]
@@ -116,20 +134,25 @@ class Codec:
             count = np.diff(np.r_[first, len(sym)])
             least = np.minimum.reduceat(rank, first)
             done = least == none
-            for i, a, n in zip(word[first[done]], first[done], count[done], strict=True):
-                out[i] = sym[a : a + n]
+            goes = np.repeat(done, count)
+            ends.append(word[first[done]])
+            counts.append(count[done])
+            found.append(sym[goes])
             hit = (rank == np.repeat(least, count)) & (rank < none)
             # of overlapping pairs (the same symbol again and again) every second one, from the left
             place = np.arange(len(sym))
             run = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
             hit &= (place - run) % 2 == 0
             sym = np.where(hit, self.merged[np.minimum(rank, none - 1)], sym)
-            keep = ~np.r_[False, hit[:-1]] & np.repeat(~done, count)
+            keep = ~np.r_[False, hit[:-1]] & ~goes
             # only pairs with a merged symbol have another rank
             other = hit | np.r_[hit[1:], False] | np.r_[hit[2:], False, False][: len(hit)]
-            rank = np.where(other, none, rank)[keep]
+            rank = np.where(other, np.int32(none), rank)[keep]
             sym, word, fresh = sym[keep], word[keep], np.flatnonzero(other[keep])
-        return out
+        at, count = np.concatenate(ends), np.concatenate(counts)
+        starts, lengths = np.zeros((2, len(words)), np.int64)
+        starts[at], lengths[at] = np.cumsum(count) - count, count
+        return np.concatenate([np.empty(0, np.int32), *found]).astype(np.int32), starts, lengths
 
     def merge_long(self, text: bytes) -> np.ndarray:
         """The same for one long word: a heap of (rank, place)."""
@@ -158,16 +181,17 @@ class Codec:
                         heapq.heappush(heap, (known[pair], x, *pair))
         return np.array([s for s in sym if s >= 0], np.int64)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        found = self.merge_words([w.encode("utf-8", "surrogatepass") for w in new])
-        length = np.array([len(x) for x in found], np.int64)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(length) - length]
-        self.lengths = np.r_[self.lengths, length]
-        self.flat = np.concatenate([self.flat, *found])
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.merge_words([w.encode("utf-8", "surrogatepass") for w in words])
+
+    def learn(self) -> None:
+        """Finds the ids of the words that the index has got since the last time."""
+        new, self.index.new = self.index.new, []
+        if new:
+            flat, starts, lengths = self.ids_of(new)
+            self.starts = np.r_[self.starts, len(self.flat) + starts]
+            self.lengths = np.r_[self.lengths, lengths]
+            self.flat = np.concatenate([self.flat, flat])
 
     def pieces(self, text: str) -> list[str]:
         """Words of the text; special tokens stand alone, as a tuple would, by their own string."""
@@ -183,19 +207,14 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.index) > KEPT_WORDS:
             self.forget()
-        if not self.index:
-            # a special token is met as a word of its own only where it was split off: no word that the
-            # pattern yields holds both letters and signs
-            self.index = dict(zip(self.special, range(len(self.special)), strict=True))
-            self.flat = np.array([*self.special.values()], np.int64)
-            self.starts, self.lengths = np.arange(len(self.flat)), np.ones(len(self.flat), np.int64)
         split = [self.pieces(t) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws})
-        out = []
-        for ws in split:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            out.append(self.flat[gather(self.starts[at], self.lengths[at])])
-        return out
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64)
+        self.learn()
+        lengths = self.lengths[at]
+        ids = self.flat[gather(self.starts[at], lengths)]
+        # each text's ids lie next to each other
+        ends = np.r_[0, np.cumsum(lengths)][np.cumsum([0, *map(len, split)])].tolist()
+        return [ids[a:b] for a, b in pairwise(ends)]
 
     def decode(self, ids: np.ndarray) -> str:
         at = self.bytes[gather(self.byte_start[ids], self.byte_len[ids])]

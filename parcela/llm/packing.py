@@ -66,32 +66,31 @@ class WordCodec(Codec):
         vocab, end = spec["vocab"], self.size
         ends = [(vocab[c], end, vocab[c + self.SUFFIX]) for c in byte_symbols()]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
-        left, right, self.merged = np.array(ends + [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64).T
+        left, right, merged = np.array(ends + [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64).T
         self.size += 1
-        self.of_byte[255] = end
         self.key_type = np.uint32 if self.size**2 < 1 << 32 else np.int64
+        self.of_byte, self.merged = self.of_byte.astype(self.key_type), merged.astype(self.key_type)
+        self.of_byte[255] = end
         keys = left * self.size + right
         self.ranks = np.argsort(keys)
-        self.keys = keys[self.ranks].astype(self.key_type)
+        self.keys, self.ranks = keys[self.ranks].astype(self.key_type), self.ranks.astype(np.int32)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return super().merge_words([w + b"\xff" for w in words])
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        odd = [w for w in new if not latin(w)]
-        super().learn({*new}.difference(odd))
-        if not odd:
-            return
-        found = [np.array(x.ids, np.int64) for x in self.library.encode_batch(odd, add_special_tokens=False)]
-        length = np.array([len(x) for x in found], np.int64)
-        self.index.update(zip(odd, range(len(self.index), len(self.index) + len(odd)), strict=True))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(length) - length]
-        self.lengths = np.r_[self.lengths, length]
-        self.flat = np.concatenate([self.flat, *found])
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if latin("".join(words)):
+            return super().ids_of(words)
+        odd = np.array([not latin(w) for w in words])
+        starts, lengths = np.zeros((2, len(words)), np.int64)
+        flat, starts[~odd], lengths[~odd] = super().ids_of([w for w, o in zip(words, odd, strict=True) if not o])
+        found = [np.array(x.ids, np.int32) for x in self.library.encode_batch([w for w, o in zip(words, odd, strict=True) if o], add_special_tokens=False)]
+        lengths[odd] = [len(x) for x in found]
+        starts[odd] = len(flat) + np.cumsum(lengths[odd]) - lengths[odd]
+        return np.concatenate([flat, *found]), starts, lengths
 
     def words(self, text: str) -> list[str]:
         if latin(text):

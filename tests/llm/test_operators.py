@@ -1,7 +1,9 @@
 """The ten operators against plain statements, on the small tables and on edge cases."""
 
+import cProfile
 import hashlib
 import math
+import pstats
 import random
 import zlib
 from collections import Counter
@@ -582,3 +584,22 @@ def test_bounds_of_segments_lose_nothing():
     book = codebooks.Codebook(centres)
     book.nearest(centres[rng.integers(0, 256, 2000)] + rng.integers(-30, 30, (2000, 16)))
     assert book.kept < 0.1 * book.asked
+
+
+def test_codecs_look_words_up_once():
+    """Ids of many texts at once are the library's, also when words come again; a new word costs few calls."""
+    odd = ["", None, "Ab ab AB", "日本 ab ñandú", "é" * 3000, "x<|endoftext|>y \x1c\x85z", "don't 12½"]
+    some = odd + [" ".join(f"w{i}x{j}" for j in range(2000)) for i in range(5)] + odd[::-1]
+    for name, kind in (("word_bpe_49k.json", packing.WordCodec), ("byte_bpe_50k.json", bpe.Codec)):
+        path = public_tokenizers.path(name)
+        own, codec = Tokenizer.from_file(path), kind(path)
+        want = [own.encode(t or "", add_special_tokens=False).ids for t in some]
+        for _ in range(2):
+            assert [x.tolist() for x in codec.encode(some)] == want
+        codec.forget()
+        assert [x.tolist() for x in codec.encode(some)] == want
+    profile = cProfile.Profile()
+    letters = str.maketrans("0123456789", "bcdfghjklm")
+    fresh = [" ".join(f"q{i}z{j}".translate(letters) for j in range(2000)) for i in range(5)]
+    profile.runcall(packing.word_codec(public_tokenizers.path("word_bpe_49k.json")).encode, fresh)
+    assert pstats.Stats(profile).total_calls < 7 * 10_000
