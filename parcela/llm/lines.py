@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.llm.common import documents, gram_hashes, materialize, mixed, order_id, text_key
-from parcela.llm.neardup import BANDS, Bands, Forest, Pairs, band_keys, bucket_edges, by_cell, cells, components, jaccard
+from parcela.llm.neardup import BANDS, Bands, Forest, Pairs, band_keys, bucket_edges, by_cell, cells, components
 
 SHINGLE, THRESHOLD, N_BANDS, ROWS = 9, 0.8, 12, 4
 #: Characters hashed at once; the arrays then fit a core's cache.
 CHUNK_CHARS = 100_000
+#: Lines that one is compared with at once.
+AT_ONCE = 64
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -62,12 +64,16 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndar
     bins = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
     np.minimum.at(flat, owner * k + bins.astype(np.int64), hashes)
     out = flat.reshape(n, k)
-    place = np.where(np.concatenate([out, out], axis=1) != NONE, np.arange(2 * k), 4 * k)
+    # few things have a bin without a hash
+    rows = np.flatnonzero((out == NONE).any(axis=1))
+    some = out[rows]
+    place = np.where(np.concatenate([some, some], axis=1) != NONE, np.arange(2 * k), 4 * k)
     after = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :k]
     empty = after != np.arange(k)
     far = (after - np.arange(k)).astype(np.uint64)
-    borrowed = np.take_along_axis(out, np.minimum(after, 2 * k - 1) % k, axis=1)
-    return np.where(empty, mixed(borrowed + far * np.uint64(0xD6E8FEB86659FD93)), out)
+    borrowed = np.take_along_axis(some, np.minimum(after, 2 * k - 1) % k, axis=1)
+    out[rows] = np.where(empty, mixed(borrowed + far * np.uint64(0xD6E8FEB86659FD93)), some)
+    return out
 
 
 def parts_of(lines: list[str]) -> Iterator[list[str]]:
@@ -99,12 +105,14 @@ def longs(values: Sequence[int]) -> pa.Array:
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, id2, ord, tkey, line of every line."""
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
         found = [lines_of(t.as_py()) for t in batch["text"]]
         each = [len(x) for x in found]
-        ids = [line_ids(x) for ls in found for _, x in ls]
+        # the bits of line_ids(), the higher ones first
+        ids = np.frombuffer(b"".join(digest(x.encode("utf-8", "surrogatepass")) for ls in found for _, x in ls), ">i8").reshape(-1, 2).astype(np.int64)
         at = np.array([i for ls in found for i, _ in ls], np.int32)
-        yield pa.RecordBatch.from_arrays([longs([a for a, _ in ids]), longs([b for _, b in ids]), *(pa.array(np.repeat(batch[c].to_numpy(), each)) for c in ("ord", "tkey")), pa.array(at)], names=["id", "id2", "ord", "tkey", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 1]), pa.array(ids[:, 0]), *(pa.array(np.repeat(batch[c].to_numpy(), each)) for c in ("ord", "tkey")), pa.array(at)], names=["id", "id2", "ord", "tkey", "line"])
 
 
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,21 +151,45 @@ def prepared(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(keys), sets
 
 
+def distinct_sorted(hashes: np.ndarray) -> np.ndarray:
+    out = np.sort(hashes)
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out if new.all() else out[new]
+
+
+def similarities(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of a set to each of some (sorted, distinct values; none is empty)."""
+    values = np.concatenate(others) if len(others) > 1 else others[0]
+    at = one.searchsorted(values)
+    at[at == len(one)] = 0
+    found = one[at] == values
+    size = np.array([*map(len, others)])
+    common = np.add.reduceat(found, size.cumsum() - size, dtype=np.int64)
+    return common / (len(one) + size - common)
+
+
 def verified(cell: pa.Table, keys: np.ndarray, hashes: list[np.ndarray]) -> pa.RecordBatch | None:
     """EDGES: enough pairs of the cell that share a bucket and are similar to connect all that are."""
     if len(hashes) < 2:
         return None
-    ids, more = cell["id"].to_numpy(), cell["id2"].to_numpy()
-    pairs, sets = Pairs(cell, keys), [frozenset(x.tolist()) for x in hashes]
-    forest, out = Forest(len(sets)), []
+    pairs, sets = Pairs(cell, keys), [*map(distinct_sorted, hashes)]
+    size = np.array([len(x) for x in sets])
+    forest, found = Forest(len(sets)), []
     for i in range(len(sets) - 1):
-        for j in pairs.of(i):
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small >= THRESHOLD * large and forest.root(i) != forest.root(j) and jaccard(sets[i], sets[j]) >= THRESHOLD:
-                forest.join(i, j)
-                out.append((ids[i], more[i], ids[j], more[j]))
-    found = np.array(out, np.int64).reshape(-1, 4)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], names=["a", "a2", "b", "b2"]) if out else None
+        near = pairs.of(i)
+        near = near[np.minimum(size[near], size[i]) >= THRESHOLD * np.maximum(size[near], size[i])]
+        for part in range(0, len(near), AT_ONCE):
+            # those that i has been joined with meanwhile need no look
+            some = [j for j in near[part : part + AT_ONCE].tolist() if forest.root(i) != forest.root(j)]
+            if some:
+                alike = similarities(sets[i], [sets[j] for j in some]) >= THRESHOLD
+                found += [(i, j) for j, same in zip(some, alike.tolist(), strict=True) if same and forest.join(i, j)]
+    if not found:
+        return None
+    ids, more = cell["id"].to_numpy(), cell["id2"].to_numpy()
+    a, b = np.array(found).T
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[a], more[a], ids[b], more[b])], names=["a", "a2", "b", "b2"])
 
 
 def line_components(docs: DataFrame) -> DataFrame:

@@ -185,28 +185,33 @@ def by_cell(prepare: Callable[[pa.RecordBatch], Prepared], work: Callable[[pa.Ta
     """Calls work with all rows of each cell, their band keys and what else prepare() makes of each row, a batch at a
     time; a cell may go on in the next batch."""
 
-    def whole(parts: list[tuple[pa.Table, np.ndarray, list]]) -> Iterator[pa.RecordBatch]:
-        tables, keys, items = zip(*parts, strict=True)
-        done = work(pa.concat_tables(tables), np.concatenate(keys), [x for own in items for x in own])
-        if done is not None:
-            yield done
+    def whole(parts: list[tuple[pa.Table, np.ndarray, list]]) -> list[pa.RecordBatch]:
+        if len(parts) == 1:
+            done = work(*parts[0])
+        else:
+            tables, keys, items = zip(*parts, strict=True)
+            done = work(pa.concat_tables(tables), np.concatenate(keys), [x for own in items for x in own])
+        return [] if done is None else [done]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple[pa.Table, np.ndarray, list]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got, cell = pa.Table.from_batches([batch]), batch["cell"].to_numpy()
+            got, cell, done = pa.Table.from_batches([batch]), batch["cell"].to_numpy(), []
             keys, items = prepare(batch)
             cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
             if rest and rest[0][0]["cell"][0].as_py() != cell[0]:
-                yield from whole(rest)
+                done += whole(rest)
                 rest = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 rest.append((got.slice(a, b - a), keys[a:b], items[a:b]))
                 if b < len(cell):
-                    yield from whole(rest)
+                    done += whole(rest)
                     rest = []
+            # most cells are small: what they give goes on together
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
         if rest:
             yield from whole(rest)
 

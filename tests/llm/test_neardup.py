@@ -98,3 +98,34 @@ def test_recall_of_bands(kind):
             n += 1
             met += bool((keys[0] == keys[1]).any())
     assert met >= 0.99 * n
+
+
+def test_cells_of_a_batch_are_answered_together():
+    """Small cells give one batch of edges, and the same edges as comparing every pair of sets does."""
+    rng = random.Random(5)
+    rows = []
+    for cell in range(60):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(120))
+        for k in range(2 + cell % 3):
+            rows.append((cell, line[: 120 - 2 * k] if cell % 4 else "".join(rng.choice("xyz") for _ in range(40 + k))))
+    ids = [lines.line_ids(x) for _, x in rows]
+    signed = [lines.longs([i[n] for i in ids]) for n in (0, 1)]
+    n = len(rows)
+    batch = pa.RecordBatch.from_arrays(
+        [*signed, pa.array([x for _, x in rows]), pa.array([c for c, _ in rows], pa.int64()), pa.array([0] * n, pa.int32()), pa.array([True] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))],
+        names=["id", "id2", "value", "cell", "side", "alone", "key", "heavy"],
+    )
+    got = [*neardup.by_cell(lines.prepared, lines.verified)(iter([batch]))]
+    assert len(got) <= 2
+    found = {(r["a"], r["b"]) for b in got for r in b.to_pylist()}
+    grams = lambda x: {x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)}
+    want, (keys, _) = set(), lines.prepared(batch)
+    for c in range(60):
+        own = [i for i in range(n) if rows[i][0] == c]
+        forest = neardup.Forest(n)
+        for i in own:
+            for j in own:
+                a, b = grams(rows[i][1]), grams(rows[j][1])
+                if i < j and (keys[i] == keys[j]).any() and len(a & b) >= lines.THRESHOLD * len(a | b) and forest.join(i, j):
+                    want.add((signed[0][i].as_py(), signed[0][j].as_py()))
+    assert found == want and len(want) > 50
