@@ -1,7 +1,15 @@
 """Synthetic pages through the three portals' plans."""
 
+import tracemalloc
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from parcela import portal_queries
 from parcela.plans import portals
 from parcela.plans.schema import CARD, LISTING, unified
+from parcela.sources.html import html_page
 
 DETAIL = """<html><head><title>Depto</title><meta property="og:title" content=""><meta name="description" content="Lindo con piscina y luz">
 <script type="application/ld+json">{broken</script>
@@ -67,3 +75,22 @@ def test_classified_and_unified(spark):
     detail = portals.detail(pages(spark, ("https://www.argenprop.com/depto-1", "s", DETAIL)), portals.PORTAL_A)
     both = unified(detail, portals.cards(pages(spark, ("https://h/l", "https://h/l", CARDS))))
     assert dict(both.dtypes)["altura"] == "string" and both.count() == 2
+
+
+@pytest.mark.parametrize("name, pages_of", [("portal_listing", portal_queries.results_a)])
+def test_listing_pages_in_bounded_memory(spark, sf_dir, name, pages_of):
+    """A worker of the query parses its pages once, and holds no more of a batch of ten times the pages but their text."""
+    plan = portal_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    html = [r.html for r in pages_of(spark, sf_dir).filter(F.length("html") < 40_000).limit(15).collect()]
+    assert len(html) == 15
+    peaks, parse = [], html_page().func
+    for times in (4, 40):
+        batch, rows = pa.array(html * times, pa.string()), 0
+        tracemalloc.start()
+        for part in parse(iter([batch])):
+            rows += len(part)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == len(batch)
+    assert peaks[1] < 1.3 * peaks[0]
