@@ -77,7 +77,7 @@ def test_classified_and_unified(spark):
     assert dict(both.dtypes)["altura"] == "string" and both.count() == 2
 
 
-@pytest.mark.parametrize("name, pages_of", [("portal_listing", portal_queries.results_a)])
+@pytest.mark.parametrize("name, pages_of", [("portal_listing", portal_queries.results_a), ("portal_b_listing", portal_queries.results_b)])
 def test_listing_pages_in_bounded_memory(spark, sf_dir, name, pages_of):
     """A worker of the query parses its pages once, and holds no more of a batch of ten times the pages but their text."""
     plan = portal_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
