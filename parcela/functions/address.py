@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcela.functions.text import clean_text, col, fold, found
+from parcela.functions.text import clean_text, col, fold, found, once
 from parcela.sources.tables import shared_dir
 
 # Neighbourhoods and their communes, in the order in which they are tried.
@@ -27,41 +27,52 @@ COMMUNES = (
 def parse_address(c: Column | str) -> Column:
     """struct<full, street, number, floor, unit>; number stays text. The floor's mark may be a bare p, so
     any word that starts with p counts as one."""
-    full = clean_text(c)
-    raw = F.coalesce(full, F.lit(""))
-    # fixed values: the marks of floors, units and numbers
-    floor = found(raw, r"(?i)\b(?:piso|p\.?)[\s:]*([A-Za-z0-9-]+)", 1)
-    unit = found(raw, r"(?i)\b(?:depto|dpto|unidad|uf)[\s:]*([A-Za-z0-9-]+)", 1)
-    base = F.get(F.split(raw, r"(?i),|\bpiso\b|\bdpto\b|\bdepto\b|\bunidad\b", 2), F.lit(0))
+    return once(address_of, clean_text(c))
+
+
+# What ends a street and its number, and the marks of floors, units and numbers.
+BASE_END = r"(?is)(?:,|\bpiso\b|\bdpto\b|\bdepto\b|\bunidad\b).*"
+
+
+def address_of(full: Column) -> Column:
+    """parse_address() of a cleaned text, a column or bound by once(), as it is named many times."""
+    floor = found(full, r"(?i)\b(?:piso|p\.?)[\s:]*([A-Za-z0-9-]+)", 1)
+    unit = found(full, r"(?i)\b(?:depto|dpto|unidad|uf)[\s:]*([A-Za-z0-9-]+)", 1)
     pattern = r"^(.*?)\s+([0-9]{1,6})(?:\s|$)"
-    has = F.trim(base).rlike(pattern)
-    street = F.when(has, F.trim(F.regexp_extract(F.trim(base), pattern, 1))).when(base != "", F.trim(base))
-    number = F.when(has, F.regexp_extract(F.trim(base), pattern, 2))
-    return F.struct(full.alias("full"), street.alias("street"), number.alias("number"), floor.alias("floor"), unit.alias("unit"))
+    read = lambda base, number: F.struct(
+        full.alias("full"), F.when(number.isNotNull(), F.trim(F.regexp_extract(base, pattern, 1))).when(base != "", base).alias("street"), number.alias("number"), floor.alias("floor"), unit.alias("unit")
+    )
+    return once(lambda base: once(lambda number: read(base, number), found(base, pattern, 2)), F.trim(F.regexp_replace(full, BASE_END, "")))
 
 
 def card_address(c: Column | str) -> Column:
     """struct<street, number>: the part before the first comma, and a number at its end. The street of a
     missing address is an empty string."""
-    first = F.trim(F.substring_index(F.coalesce(col(c), F.lit("")), ",", 1))
     pattern = r"^(.*?)(?:\s+([0-9]{1,6}))?$"
-    return F.struct(F.trim(F.regexp_extract(first, pattern, 1)).alias("street"), found(first, pattern, 2).try_cast("int").alias("number"))
+    read = lambda first: F.struct(F.trim(F.regexp_extract(first, pattern, 1)).alias("street"), found(first, pattern, 2).try_cast("int").alias("number"))
+    return once(read, F.trim(F.substring_index(F.coalesce(col(c), F.lit("")), ",", 1)))
 
 
 def place_parts(c: Column | str) -> Column:
     """struct<district, town, province> of a comma-separated place."""
     text = F.coalesce(col(c), F.lit(""))
-    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
-    district = F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(-2)))
-    town = F.try_element_at(parts, F.lit(-1))
     province = F.when(F.contains(F.lower(text), F.lit("capital federal")), "Capital Federal")
-    return F.struct(district.alias("district"), F.when(F.size(parts) > 0, town).alias("town"), province.alias("province"))
+
+    def read(parts: Column) -> Column:
+        district, town = F.when(F.size(parts) >= 3, F.try_element_at(parts, F.lit(-2))), F.when(F.size(parts) > 0, F.try_element_at(parts, F.lit(-1)))
+        return F.struct(district.alias("district"), town.alias("town"), province.alias("province"))
+
+    return once(read, F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def commune(c: Column | str) -> Column:
     """The commune of the first neighbourhood whose name the place contains. An ordered chain of cases: no
     join, no shuffle."""
-    key, out = fold(c), F.lit(None).cast("int")
+    return once(commune_of, fold(c))
+
+
+def commune_of(key: Column) -> Column:
+    out = F.lit(None).cast("int")
     for name, number in reversed(COMMUNES):
         out = F.when(F.contains(key, F.lit(name)), number).otherwise(out)
     return out

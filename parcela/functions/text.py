@@ -17,14 +17,19 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def filled(text: Column) -> Column:
+    """text, or null if it is empty. nullif() in a lambda would work out its argument twice."""
+    return F.when(text != "", text)
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """The first match, or null: regexp_extract itself gives an empty string for none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return once(filled, F.regexp_extract(text, pattern, group))
 
 
 def clean_text(c: Column | str) -> Column:
     """White space, of Unicode too, collapsed; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(col(c), r"(?U)\s+", " ")), F.lit(""))
+    return once(filled, F.trim(F.regexp_replace(col(c), r"(?U)\s+", " ")))
 
 
 def plain_text(c: Column | str) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parcela.functions.text import col, first_filled, found
+from parcela.functions.text import col, first_filled, found, once
 
 PAGE_SIZE = 48
+#: White space, of Unicode too.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Path parts that property pages don't have.
 NOT_PROPERTY_A = ("/buscar", "/emprendimientos", "/inmobiliarias", "/blog", "/ayuda")
 NOT_PROPERTY_B = ("/desarrollos", "/inmobiliarias", "/blog", "/ayuda", "/mapa", "/emprendimientos")
@@ -36,7 +38,10 @@ def base_parts(base: Column | str) -> Column:
 def resolved(base: Column, href: Column | str) -> Column:
     """href as seen from the page with base_parts() base: absolute, with or without scheme, from the root, a bare query or
     fragment, or relative to the page's folder (leading ./ and ../ too)."""
-    href = F.trim(col(href))
+    return once(lambda x: joined(base, x), F.trim(col(href)))
+
+
+def joined(base: Column, href: Column) -> Column:
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(base["scheme"], href))
@@ -55,7 +60,7 @@ def resolve(base: Column | str, href: Column | str) -> Column:
 def stable_id(url: Column, external: Column | None = None) -> Column:
     """The first 20 hex digits of the SHA-1 of the id the page gives, or else of its url."""
     source = url if external is None else first_filled(external, url)
-    return F.substring(F.sha1(F.regexp_replace(source, r"(?U)^\s+|\s+$", "")), 1, 20)
+    return F.substring(F.sha1(F.btrim(source, F.lit(SPACES))), 1, 20)
 
 
 # The patterns of page addresses, items and images below.
@@ -86,12 +91,11 @@ def has_part(text: Column, parts) -> Column:
 
 
 def is_property_a(url: Column | str, host: str = "argenprop.com") -> Column:
-    return F.contains(authority(url), F.lit(host)) & ~has_part(F.lower(path(url)), NOT_PROPERTY_A) & (F.length(path(url)) > 12)
+    return F.contains(authority(url), F.lit(host)) & once(lambda p: ~has_part(F.lower(p), NOT_PROPERTY_A) & (F.length(p) > 12), path(url))
 
 
 def is_property_b(url: Column | str, host: str = "zonaprop.com.ar") -> Column:
-    p = F.lower(path(url))
-    return F.contains(authority(url), F.lit(host)) & ~has_part(p, NOT_PROPERTY_B) & p.rlike(r"-[0-9]{6,}\.html?$|/propiedades/.+[0-9]{6,}")
+    return F.contains(authority(url), F.lit(host)) & once(lambda p: ~has_part(p, NOT_PROPERTY_B) & p.rlike(r"-[0-9]{6,}\.html?$|/propiedades/.+[0-9]{6,}"), F.lower(path(url)))
 
 
 def item_id(url: Column | str) -> Column:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.functions import features, numbers, urls
-from parcela.functions.address import card_address, commune, parse_address, place_parts
-from parcela.functions.text import clean_text, first_filled, flag, fold, found, normalize_key, once, parse_bool, plain_text, rounded, token_count, warnings
+from parcela.functions.address import address_of, card_address, commune, parse_address, place_parts
+from parcela.functions.text import clean_text, contains_any, first_filled, flag, fold, found, normalize_key, once, parse_bool, plain_text, rounded, token_count, warnings
 from parcela.plans.schema import CARD, LISTING, aligned
-from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, parse_shown, places, subtree, text_of, under
+from parcela.sources.html import attr, attr_is, attr_like, class_like, closest, first, first_text, has_class, meta, parse_html, parse_shown, subtree, text_of, under
 
 tag = lambda *names: lambda e: e["tag"].isin(*names)
 like = lambda part: lambda e: class_like(e, part)
@@ -31,6 +31,13 @@ class Portal:
 PORTAL_A, PORTAL_B = Portal("Argenprop", "a"), Portal("Zonaprop", "b")
 
 
+def dealt(pages: DataFrame) -> DataFrame:
+    """pages dealt out by url, a few parts for each core. A table of pages is small beside the work on it, and its files or row groups,
+    which are Spark's parts of it, may be fewer than the cores. Rows of one url then lie together, so cards() needs no other shuffle."""
+    spark = pages.sparkSession
+    return pages.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "url")
+
+
 def captured(pages: DataFrame, parse=parse_html) -> DataFrame:
     """pages with every column that the plans read, and the parsed page (doc), unless they have it."""
     for name, kind in (("search_url", "string"), ("page", "int"), ("status", "int"), ("captured_at", "timestamp")):
@@ -74,13 +81,25 @@ def _all(e: Column, tests) -> Column:
     return out
 
 
-def property_links(portal: Portal, els: Column, base: Column) -> Column:
-    """map<int, string>: where the page's links to properties are, and their urls. base: base_parts() of the page's url."""
+def anchors_of(portal: Portal, els: Column, base: Column) -> Column:
+    """array<struct<at, href, url, goal>>: where the page's links are, their hrefs and urls, and the urls they may be a property by.
+    base: base_parts() of the page's url."""
+    b = portal.variant == "b"
+    full = lambda x: urls.canonical(urls.resolved(base, x))
+    other = lambda e: F.nullif(attr(e, "data-to-posting"), F.lit("")) if b else F.lit(None).cast("string")
+
+    def read(e: Column) -> Column:
+        goal = lambda href, url: F.when(href != "", url).otherwise(full(other(e)) if b else F.lit(None).cast("string"))
+        whole = lambda href: once(lambda url: F.struct(e["pos"].alias("at"), href.alias("href"), url.alias("url"), goal(href, url).alias("goal")), full(href))
+        return once(whole, attr(e, "href"))
+
+    return F.transform(F.filter(els, lambda e: (e["tag"] == "a") & F.coalesce(attr(e, "href"), other(e)).isNotNull()), read)
+
+
+def property_links(portal: Portal, anchors: Column) -> Column:
+    """map<int, string>: where the links to properties are, of a page's anchors_of(), and their urls."""
     is_property = urls.is_property_a if portal.variant == "a" else urls.is_property_b
-    target = (lambda e: F.nullif(attr(e, "href"), F.lit(""))) if portal.variant == "a" else (lambda e: first_filled(attr(e, "href"), attr(e, "data-to-posting")))
-    anchors = F.filter(els, lambda e: (e["tag"] == "a") & target(e).isNotNull())
-    found = F.transform(anchors, lambda e: F.struct(e["pos"].alias("at"), urls.canonical(urls.resolved(base, target(e))).alias("url")))
-    return F.map_from_entries(F.filter(found, lambda x: is_property(x["url"])))
+    return F.map_from_entries(F.transform(F.filter(anchors, lambda x: is_property(x["goal"])), lambda x: F.struct(x["at"], x["goal"])))
 
 
 def listing_links(portal: Portal, els: Column, known: Column) -> Column:
@@ -95,9 +114,9 @@ def listing_links(portal: Portal, els: Column, known: Column) -> Column:
 
 
 def with_links(own: DataFrame, portal: Portal, els: Column, url: Column) -> DataFrame:
-    """own with links, the property urls of a page."""
-    base = once(lambda b: property_links(portal, els, b), urls.base_parts(url))
-    return own.withColumn("links", once(lambda known: listing_links(portal, els, known), base))
+    """own with anchors, a page's anchors_of(), and links, its property urls."""
+    own = own.withColumn("anchors", once(lambda base: anchors_of(portal, els, base), urls.base_parts(url)))
+    return own.withColumn("links", once(lambda known: listing_links(portal, els, known), property_links(portal, F.col("anchors"))))
 
 
 def links(pages: DataFrame, portal: Portal) -> DataFrame:
@@ -117,50 +136,49 @@ def listing(pages: DataFrame, portal: Portal) -> DataFrame:
     own = with_links(own, portal, els, F.col("url"))
     named = lambda pattern: lambda e: F.coalesce(attr(e, "class").rlike(pattern), F.lit(False))
     tops = [lambda e: attr(e, "data-posting-type").isNotNull(), named("(?i)postingCard|posting-card|card"), tag("article")] if b else [tag("article"), named("(?i)listing__item|card|posting")]
-    anchors = F.filter(els, lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull())
-    full = lambda base: lambda e: urls.canonical(urls.resolved(base, attr(e, "href")))
-
-    def index_of(anchors: Column) -> Column:
-        """What links are looked up in, found once a page: the anchors, their hrefs and urls, and where cards begin."""
-        whole = once(lambda base: F.transform(anchors, full(base)), urls.base_parts("url"))
-        return F.struct(anchors.alias("anchors"), F.transform(anchors, lambda e: attr(e, "href")).alias("hrefs"), whole.alias("urls"), *[places(els, t).alias(f"top{i}") for i, t in enumerate(tops)])
 
     def card(index: Column, link: Column) -> Column:
         """The card around the first anchor of a link."""
-        at = lambda where, x: F.nullif(F.array_position(index[where], x), F.lit(0).cast("long"))
-        place = F.coalesce(at("hrefs", urls.path(link)), at("hrefs", link), at("urls", link)).cast("int") - 1
-        return once(lambda a: F.coalesce(*[closest(els, a, index[f"top{i}"]) for i in range(len(tops))], F.get(els, a["parent"])), F.get(index["anchors"], place))
+        at = lambda where, x: once(lambda n: F.when(n > 0, n), F.array_position(index[where], x))
+        place = F.get(index["at"], F.coalesce(at("href", urls.path(link)), at("href", link), at("url", link)).cast("int") - 1)
+        return once(lambda a: F.coalesce(*[closest(els, a, t) for t in tops], F.get(els, a["parent"])), F.get(els, place))
 
     # each link with its card, cut out of the page before rows are made: no row carries the page
     cut = lambda index: F.transform("links", lambda u: F.struct(u.alias("link"), once(lambda c: subtree(c, els, texts), card(index, u)).alias("sub")))
-    own = own.withColumn("found", F.filter(once(lambda anchors: once(cut, index_of(anchors)), anchors), lambda x: x["sub"]["top"].isNotNull()))
+    index = F.struct(*[F.col("anchors")[name].alias(name) for name in ("at", "href", "url")])
+    own = own.withColumn("found", F.filter(once(cut, index), lambda x: x["sub"]["top"].isNotNull()))
     # outer: else Spark infers a filter that works all of this out a second time
     own = own.select("search_url", "page", "status", "captured_at", F.explode_outer("found").alias("found")).filter("found is not null")
     own = own.select("search_url", "page", "status", "captured_at", "found.link", F.col("found.sub.top").alias("card"), "found.sub.els", "found.sub.texts")
     own = own.withColumn("text", F.coalesce(text_of(F.col("card"), texts), F.lit("")))
     value = lambda qa_name, *classes: first_text(F.col("els"), F.col("texts"), *([qa(qa_name)] if b and qa_name else []), *map(like, classes))
-    text = F.col("text")
+    text, lower = F.col("text"), F.col("lower")
+    own = own.withColumn("lower", F.lower(text))
+    # most texts lack a word that a pattern needs: a plain search for it comes first
+    seen = lambda words, pattern, group=0: F.when(contains_any(lower, words), found(text, pattern, group))
+    area = lambda pattern: once(numbers.read_number, seen(("m²", "m2"), rf"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*{pattern}", 1))
     titles = [*([qa("POSTING_CARD_DESCRIPTION")] if b else []), tag("h2"), tag("h3"), like("title"), like("titulo")]
     amount = r"(?:USD|U\$S|US\$|ARS|\$)\s*"
     own = own.withColumns({
         "title": first_text(els, F.col("texts"), *titles),
         "raw_money": F.coalesce(value("POSTING_CARD_PRICE", "price", "precio"), found(text, f"(?i){amount}[0-9][0-9.,]*")),
-        "raw_costs": F.coalesce(value("POSTING_CARD_EXPENSES") if b else F.lit(None).cast("string"), found(text, rf"(?i)expensas?\s*(?:{amount})?[0-9][0-9.,]*")),
+        "raw_costs": F.coalesce(value("POSTING_CARD_EXPENSES") if b else F.lit(None).cast("string"), seen(("expensa",), rf"(?i)expensas?\s*(?:{amount})?[0-9][0-9.,]*")),
         "raw_place": value("POSTING_CARD_LOCATION", "address", "direccion", "location", "ubicacion"),
         "seller": value("POSTING_CARD_PUBLISHER", "seller", "inmobiliaria", "publisher"),
         "images": F.filter(els, tag("img")),
-        "area": once(numbers.parse_number, found(text, r"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*(?:totales?|total)?", 1)),
+        "area": area("(?:totales?|total)?"),
     })
-    own = own.withColumns({"money": once(numbers.parse_money, "raw_money"), "costs": once(numbers.parse_money, "raw_costs"), "place": once(parse_address, "raw_place")})
-    count = lambda pattern: once(numbers.parse_integer, found(text, f"(?i)([0-9]+)\\s*(?:{pattern})", 1))
+    # these texts are clean: they come from text_of(), or lie in it between two visible characters
+    own = own.withColumns({"money": once(numbers.money_of, "raw_money"), "costs": once(numbers.money_of, "raw_costs"), "place": once(address_of, "raw_place")})
+    count = lambda pattern, *words: once(numbers.read_number, seen(words, f"(?i)([0-9]+)\\s*(?:{pattern})", 1)).try_cast("int")
     image = first(F.col("images"))
     values = {
         "property_id": urls.stable_id(F.col("link")), "fuente": F.lit(portal.name), "url": F.col("link"), "scraped_at_utc": F.col("captured_at"), "search_url": F.col("search_url"),
         "pagina_origen": F.col("page"), "http_status": F.col("status"), "parse_ok": F.lit(1), "parse_warnings": F.lit("modo_listado_sin_ficha_detallada"), "titulo": F.col("title"),
         "tipo_operacion": urls.operation(F.col("search_url"), "-" if b else "/"), "tipo_propiedad": F.lit(None) if b else urls.property_type(F.col("search_url")), "inmobiliaria": F.col("seller"),
         "moneda": F.col("money.currency"), "precio": F.col("money.amount"), "precio_texto": F.col("money.text"), "expensas_moneda": F.col("costs.currency"), "expensas": F.col("costs.amount"), "expensas_texto": F.col("costs.text"),
-        **address_columns(F.col("place")), "ambientes": count(r"ambientes?|amb\b"), "dormitorios": count(r"dormitorios?|dorm\b"), "banios": count("baños?|banos?"), "cocheras": count("cocheras?|garages?"),
-        "superficie_total_m2": F.col("area"), "superficie_cubierta_m2": once(numbers.parse_number, found(text, r"(?i)([0-9][0-9.,]*)\s*m(?:²|2)\s*(?:cubiertos?|cubierta)", 1)),
+        **address_columns(F.col("place")), "ambientes": count(r"ambientes?|amb\b", "amb"), "dormitorios": count(r"dormitorios?|dorm\b", "dorm"), "banios": count("baños?|banos?", "baño", "bano"), "cocheras": count("cocheras?|garages?", "cochera", "garage"),
+        "superficie_total_m2": F.col("area"), "superficie_cubierta_m2": F.when(F.contains(lower, F.lit("cubiert")), area("(?:cubiertos?|cubierta)")),
         "imagen_principal": first_filled(attr(image, "src"), attr(image, "data-src"), *([attr(image, "data-flickity-lazyload")] if b else [])), "cantidad_imagenes": F.nullif(F.size("images"), F.lit(0)),
         "cantidad_atributos_extra": F.lit(1), "atributos_extra_json": F.to_json(F.struct(text.alias("texto_tarjeta"))), "precio_m2_calculado": rounded(numbers.per_unit(F.col("money.amount"), F.col("area"))),
     }
@@ -334,12 +352,15 @@ def cards(pages: DataFrame) -> DataFrame:
     })
     slot = lambda pattern: F.get(F.filter("attributes", lambda a: a.rlike(f"(?i){pattern}")), F.lit(0))
     ranges = {name: once(numbers.number_range, slot(p)) for name, p in (("ambientes", "amb"), ("banios", "bañ|ban"), ("dormitorios", "dorm"))}
-    area, money, place = once(numbers.number_range, slot("m²|m2")), once(numbers.card_money, "price_text"), once(place_parts, "place_text")
+    # each of these in a column of its own: what reads them names them more than once
+    own = own.withColumns(ranges | {"surface": slot("m²|m2"), "money": once(numbers.card_money, "price_text"), "place": once(place_parts, "place_text")})
+    own = own.withColumn("area", once(numbers.number_range, "surface"))
+    area, money, place = F.col("area"), F.col("money"), F.col("place")
     values = {
         "item_id": F.col("item_id"), "fuente": F.lit("Mercado Libre"), "url": F.col("item_url"), "search_url": F.col("search_url"), "pagina_origen": F.col("page"), "scraped_at_utc": F.col("captured_at"), "titulo": F.col("title"),
         "tipo_propiedad": F.lit("departamento"), "tipo_operacion": F.lit("venta"), "moneda": money["currency"], "precio": money["amount"], "precio_texto": F.col("price_text"), "desde": flag(F.col("text").rlike(r"(?i)\bdesde\b")), "inmobiliaria": F.col("seller"),
         "direccion": F.col("place_text"), "barrio": place["district"], "localidad": place["town"], "provincia": place["province"],
-        **{f"{k}_{end}": v[side].try_cast("int") for k, v in ranges.items() for end, side in (("min", "low"), ("max", "high"))}, "superficie_min_m2": area["low"], "superficie_max_m2": area["high"], "tipo_superficie": features.surface_kind(slot("m²|m2")),
+        **{f"{k}_{end}": F.col(k)[side].try_cast("int") for k in ranges for end, side in (("min", "low"), ("max", "high"))}, "superficie_min_m2": area["low"], "superficie_max_m2": area["high"], "tipo_superficie": features.surface_kind(F.col("surface")),
         "imagen_principal": F.get("images", F.lit(0)), "destacado": flag(F.contains("text", F.lit("Destacado"))), "emprendimiento": flag(F.contains(F.upper("text"), F.lit("EMPRENDIMIENTO"))), "posesion": F.col("possession"),
         "unidades_disponibles": numbers.parse_card_number("units"), "atributos_texto": F.array_join("attributes", " | "), "texto_tarjeta": F.col("text"), "parse_warnings": warnings(sin_titulo=F.col("title").isNull(), sin_precio=money["amount"].isNull()),
     }

@@ -36,8 +36,8 @@ def repeated(template: str, **of) -> Column:
 
 
 def captured(spark, sf_dir: str, url: str, search_url: str, html: Column) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select(text(url, n=F.col("page_id")).alias("url"), F.lit(search_url).alias("search_url"), F.col("page_id").cast("int").alias("page"), F.lit(200).alias("status"), F.concat(html, F.col("html")).alias("html"))
+    pages = portals.dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", text(url, n=F.col("page_id")).alias("url")))
+    return pages.select("url", F.lit(search_url).alias("search_url"), F.col("page_id").cast("int").alias("page"), F.lit(200).alias("status"), F.concat(html, F.col("html")).alias("html"))
 
 
 def results_a(spark, sf_dir: str) -> DataFrame:

@@ -1,15 +1,19 @@
 """Synthetic pages through the three portals' plans."""
 
 import tracemalloc
+from html.parser import HTMLParser
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from parcela import portal_queries
+from parcela.functions import numbers
+from parcela.functions.address import parse_address
+from parcela.functions.text import once
 from parcela.plans import portals
 from parcela.plans.schema import CARD, LISTING, unified
-from parcela.sources.html import html_page
+from parcela.sources.html import Elements, html_page
 
 DETAIL = """<html><head><title>Depto</title><meta property="og:title" content=""><meta name="description" content="Lindo con piscina y luz">
 <script type="application/ld+json">{broken</script>
@@ -94,3 +98,40 @@ def test_listing_pages_in_bounded_memory(spark, sf_dir, name, pages_of):
         tracemalloc.stop()
         assert rows == len(batch)
     assert peaks[1] < 1.3 * peaks[0]
+
+
+@pytest.mark.parametrize("name", ["portal_b_listing", "portal_listing"])
+def test_listing_is_dealt_over_the_cores(spark, sf_dir, name):
+    """Pages of one small file are work for every core."""
+    assert portal_queries.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_read_once(spark):
+    """What is worked out of a text inside a lambda is bound, not written out wherever it is named."""
+    one, patterns = spark.createDataFrame([("USD 1",)], "s string"), (r"(?U)\s+", "[0-9]")
+    for f, most in ((numbers.parse_money, (4, 2)), (parse_address, (2, 4)), (numbers.number_range, (0, 2))):
+        plan = one.select(once(f, "s"))._jdf.queryExecution().optimizedPlan().toString()
+        assert all(plan.count(p) <= n for p, n in zip(patterns, most, strict=True)), f.__name__
+
+
+class Plain(Elements):
+    """Without matches of simple tags: HTMLParser reads everything."""
+
+    updatepos = HTMLParser.updatepos
+
+
+def test_simple_tags_are_read_by_one_match(monkeypatch):
+    steps, parse = [], HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: steps.append(i) or parse(self, i))
+    pieces = [
+        DETAIL, LIST_A, LIST_B, CARDS, "<p>a < b & c &amp; d\xa0\x1c e</p >", "<a b='1' c=2 d>x</a b=\">\">", "<div\xa0class='x'><div\x0bid=\"y\">", "<!-- a > b --><!doctype html><?pi ?><![CDATA[x]]>", "<script>if (a<b) {'</p>'}</script><style>a>b</style>",
+        "<TITLE>T &copy <b></title>", "<br/><p/><a / >", '<a b="1"c="2" B="3" b="4"', "</>text</ x><\x00a>&#x41", '<input disabled value="&quot;x>"><p\n\tclass="u  v">', "<template>a</template><noscript>b</noscript>",
+    ]
+    columns = "tags parents lasts t0s t1s depths ups attrs texts shown scripts".split()
+    for i, x in enumerate(pieces):
+        for y in ["", *pieces[i:]]:
+            got, want = vars(Elements(x + y)), vars(Plain(x + y))
+            assert {k: got[k] for k in columns} == {k: want[k] for k in columns}, x + y
+    steps.clear()
+    assert len(Elements('<div class="card"><a href="/a?b=1&amp;c">Depto <b>lindo</b></a><br></div>' * 100).tags) == 400
+    assert len(steps) <= 1
