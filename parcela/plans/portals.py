@@ -33,7 +33,7 @@ PORTAL_A, PORTAL_B = Portal("Argenprop", "a"), Portal("Zonaprop", "b")
 
 def dealt(pages: DataFrame) -> DataFrame:
     """pages dealt out by url, a few parts for each core. A table of pages is small beside the work on it, and its files or row groups,
-    which are Spark's parts of it, may be fewer than the cores. Rows of one url then lie together, so cards() needs no other shuffle."""
+    which are Spark's parts of it, may be fewer than the cores."""
     spark = pages.sparkSession
     return pages.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "url")
 

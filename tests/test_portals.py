@@ -135,3 +135,8 @@ def test_simple_tags_are_read_by_one_match(monkeypatch):
     steps.clear()
     assert len(Elements('<div class="card"><a href="/a?b=1&amp;c">Depto <b>lindo</b></a><br></div>' * 100).tags) == 400
     assert len(steps) <= 1
+
+
+def test_cards_are_dealt_over_the_cores(spark, sf_dir):
+    plan = portal_queries.QUERIES["portal_cards"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
